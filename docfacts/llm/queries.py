@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, quality_cnn, quality_rules, simhash
+from . import (
+    chat_format,
+    decontaminate,
+    html_extract,
+    language_id,
+    license_scan,
+    packing,
+    quality_cnn,
+    quality_rules,
+    sharding,
+    simhash,
+)
 from .common import id_fold, table
 
 
@@ -19,6 +30,18 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     held = id_fold(F.col("doc_id"), 4) == 2
@@ -35,6 +58,46 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("items")
 
 
+def tokenizer_path() -> str:
+    """Where the public vocabulary lies; every machine has it installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("id")
+    extra = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        n.alias("turn"),
+        F.when(n == 0, "user").otherwise("assistant").alias("role"),
+        F.lit("</s>[INST] ok [/INST]").alias("text"),
+    )
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    back = chat_format.read_back(chat_format.format_chats(rows))
+    joined = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(joined.cast("binary"), 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2(F.col("loss_text").cast("binary"), 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     rules = quality_rules.fit(documents, table(spark, sf_dir, "labels"))
@@ -45,6 +108,17 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_classifier, op3_language_id, op4_simhash_near_dedup, op5_decontamination, op10_quality_rules)
+    for f in (
+        op1_quality_classifier,
+        op2_sharding,
+        op3_language_id,
+        op4_simhash_near_dedup,
+        op5_decontamination,
+        op6_packing,
+        op7_license_scan,
+        op8_html_extraction,
+        op9_chat_formatting,
+        op10_quality_rules,
+    )
 }
 ORACLE: dict[str, str] = {}
