@@ -1,0 +1,37 @@
+"""Registered queries over whole small tables."""
+
+import zlib
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from docfacts.llm.queries import QUERIES
+
+SF = "/root/testdata/sf0.01"
+
+
+def test_held_out_accuracy(spark):
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    rows = QUERIES["op1_quality_classifier"](spark, SF).collect()
+    held = [r for r in rows if r["held_out"] and r["doc_id"] in labels]
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in rows)
+    assert sum(r["predicted"] == labels[r["doc_id"]] for r in held) / len(held) > 0.9
+    lang = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang").collect()}
+    rows = [r for r in QUERIES["op3_language_id"](spark, SF).collect() if r["held_out"]]
+    assert sum(r["lang_pred"] == lang[r["doc_id"]] for r in rows) / len(rows) > 0.97
+
+
+def test_pipeline_stages(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    columns, before = docs.columns, docs.count()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, sf).cache()
+        assert docs.columns == columns, name
+        assert 0 < docs.count() <= before
+        before = docs.count()
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
+    assert last.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+    assert last.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").count() == 0
