@@ -1,11 +1,7 @@
 """All registered queries of the library's own operators, and the SQL that each must equal."""
 
-from __future__ import annotations
+from . import queries_search, queries_text
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+QUERIES = {**queries_text.QUERIES, **queries_search.QUERIES}
+ORACLE = {**queries_text.ORACLE, **queries_search.ORACLE}
 FLAGSHIP = "heading_facts"
