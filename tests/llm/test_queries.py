@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from docfacts.llm.queries import QUERIES
+from docfacts.llm.queries import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.01"
 
@@ -35,3 +35,16 @@ def test_pipeline_stages(spark):
     last = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
     assert last.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
     assert last.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE))
+def test_against_sql(name, spark):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    cur = con.execute(ORACLE[name])
+    columns = [d[0] for d in cur.description]
+    got = QUERIES[name](spark, SF)
+    assert sorted(columns) == sorted(got.columns)
+    assert Counter(cur.fetchall()) == Counter(map(tuple, got.select(*columns).collect()))
