@@ -1,7 +1,7 @@
 """All registered queries of the library's own operators, and the SQL that each must equal."""
 
-from . import queries_search, queries_text
+from . import queries_records, queries_search, queries_text
 
-QUERIES = {**queries_text.QUERIES, **queries_search.QUERIES}
-ORACLE = {**queries_text.ORACLE, **queries_search.ORACLE}
+QUERIES = {**queries_text.QUERIES, **queries_search.QUERIES, **queries_records.QUERIES}
+ORACLE = {**queries_text.ORACLE, **queries_search.ORACLE, **queries_records.ORACLE}
 FLAGSHIP = "heading_facts"
