@@ -71,6 +71,17 @@ def id_fold(doc_id: Column, parts: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(parts))
 
 
+def labelled_sample(labels: DataFrame, most_rows: int) -> DataFrame:
+    """doc_id and quality of at most most_rows labelled ids, chosen by hash. Rows without a label or an id are left out,
+    of several labels of an id the smallest counts. A hash threshold thins a large table before the rows are ordered, so
+    what meets in one place is about most_rows whatever the table's size."""
+    marked = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    n = marked.count()
+    if n > most_rows:
+        marked = marked.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1.1e6 * most_rows / n) + 1)
+    return marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
+
+
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [t or "" for t in batch.column(column).to_pylist()]
 

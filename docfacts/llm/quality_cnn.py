@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow
+from .common import labelled_sample, map_arrow
 
 CELL, WIDTH, STEP, EMBED, FILTERS = 256, 8, 4, 6, 24
 #: Bytes that numpy works on at once. A longer text is one block of its own, taken in runs of this many bytes.
@@ -176,13 +176,7 @@ def train(texts: list[bytes], good: np.ndarray, steps: int = 600, batch: int = 3
 def fit(documents: DataFrame, labels: DataFrame, most_rows: int = 3000, most_bytes: int = 12_000_000, **options) -> Network:
     """Train on labelled rows in the order of a hash of their ids: at most `most_rows` of them, and as many as fit into
     `most_bytes` of text. These two bounds hold whatever the size of the tables."""
-    marked = (
-        labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
-        .groupBy("doc_id")
-        .agg(F.min("quality").alias("quality"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(most_rows)
-    )
+    marked = labelled_sample(labels, most_rows)
     rows = (
         documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
         .where(F.octet_length("text") <= most_bytes // 50)

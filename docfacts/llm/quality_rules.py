@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, map_arrow
+from .common import fresh, labelled_sample, map_arrow
 
 COUNTS = (
     "n_words",
@@ -222,13 +222,7 @@ def verdict(rules: list[Rule], stats: str) -> Column:
 def fit(documents: DataFrame, labels: DataFrame, most_rows: int = 20_000, **options) -> list[Rule]:
     """Learn from labelled rows, at most `most_rows` of them in the order of a hash of their ids; only their statistics
     (a few numbers a row) come to the driver. Rows without a label or an id teach nothing."""
-    marked = (
-        labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
-        .groupBy("doc_id")
-        .agg(F.min("quality").alias("quality"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(most_rows)
-    )
+    marked = labelled_sample(labels, most_rows)
     rows = with_counts(documents.select("doc_id", "text").join(F.broadcast(marked), "doc_id"), "stats")
     x = features("stats")
     found = rows.select("quality", *[c.alias(k) for k, c in x.items()]).limit(2 * most_rows).toPandas()
