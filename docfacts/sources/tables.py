@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Words of a line that are placed together.
+RUN = 16
 EVAL_SCHEMA = "id string, category string, question string, ground_truth string, test_type string"
 LOG_COLUMNS = ("id", "created_at", "path", "intent", "icao", "similarity", "charts", "needs_review", "reviewed", "feedback", "query")
 
@@ -22,8 +24,19 @@ def words_from_text(df: DataFrame, id_column: str = "doc_id", text: str = "text"
         body = F.regexp_replace(F.regexp_replace(body, r"(?is)<(script|style)\b.*?</\1\s*>", ""), r"(?i)</(?:p|div|li|h[1-6]|tr|article|nav|footer)\s*>|<br\s*/?>", "\n")
         body = F.regexp_replace(body, r"<[^>]*>", "")
     lines = df.select(F.col(id_column).alias("doc_id"), F.posexplode(F.split(body, "\n")).alias("line_no", "line"))
-    words = lines.select("doc_id", "line_no", F.posexplode(F.split(F.trim("line"), r"\s+")).alias("word_no", "text"), "line").where("text != ''")
-    at = F.length(F.array_join(F.slice(F.split(F.trim("line"), r"\s+"), F.lit(1), F.col("word_no")), " ")) + F.when(F.col("word_no") > 0, 1).otherwise(0)
+    lines = lines.select("doc_id", "line_no", F.split(F.trim("line"), r"\s+").alias("w"))
+
+    def before(words: Column, n: Column) -> Column:
+        """Characters in front of the n-th word (from 0)."""
+        return F.length(F.array_join(F.slice(words, F.lit(1), n), " ")) + F.when(n > 0, 1).otherwise(0)
+
+    # runs of RUN words first, so that a line of many words is not gone through again for each of them
+    run = lambda c: F.struct((c * RUN).alias("first"), F.slice("w", c * RUN + 1, F.lit(RUN)).alias("part"), before(F.col("w"), c * RUN).alias("base"))
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / RUN).cast("int")), run)
+    lines = lines.select("doc_id", "line_no", F.explode(runs).alias("r")).select("doc_id", "line_no", "r.*")
+    words = lines.select("doc_id", "line_no", "first", "base", "part", F.posexplode("part").alias("k", "text")).where("text != ''")
+    words = words.select("doc_id", "line_no", (F.col("first") + F.col("k")).alias("word_no"), (F.col("base") + before(F.col("part"), F.col("k"))).alias("at"), "text")
+    at = F.col("at")
     top = (F.col("line_no") % lines_per_page) * 12.0 + 20
     return words.select(
         "doc_id",
