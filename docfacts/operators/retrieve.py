@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +25,53 @@ def cosine_similarity(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
+#: Rows of a scope, and queries to it, that one task multiplies.
+BLOCK_ROWS, BLOCK_QUERIES = 4096, 1024
+
+
+def _blocks(df: DataFrame, keys: list[str], ids: list[str], size: int, name: str) -> DataFrame:
+    """Blocks of about size rows of each group: the ids as arrays in their order, the unit vectors as one flat array."""
+    n = df.groupBy(*keys).agg(F.ceil(F.count("*") / size).cast("int").alias("_n"))
+    dealt = normalise(df).join(n, keys).withColumn("_b", F.pmod(F.xxhash64(*ids), F.col("_n")).cast("int"))
+    one = F.array_sort(F.collect_list(F.struct(*ids, "embedding")))
+    packed = dealt.groupBy(*keys, F.col("_b").alias(f"{name}_no")).agg(one.alias("_a"))
+
+    def column(c: str) -> Column:
+        return F.transform("_a", lambda x: x[c]).alias(f"{name}_{c}")
+
+    cols = [column(c) for c in ids]
+    return packed.select(*keys, f"{name}_no", *cols, F.flatten(F.transform("_a", lambda x: x["embedding"])).alias(f"{name}_v"))
+
+
+def nearest(queries: DataFrame, rows: DataFrame, keys: list[str], query_key: list[str], ties: list[str], k: int) -> DataFrame:
+    """The k nearest rows of the same keys for each query, by exact blocked products: query_key, ties, similarity, rank.
+
+    A group's rows are cut into blocks of bounded size, as are its queries; every two blocks meet in one task, which
+    returns the k best of each query, so a hot group spreads over many tasks and nothing returns all pairs. Ties in
+    similarity go by the tie columns, which tell rows apart. All vectors of a group have one width."""
+    q = _blocks(queries.select(*keys, *query_key, "embedding"), keys, query_key, BLOCK_QUERIES, "q")
+    r = _blocks(rows.select(*keys, *ties, "embedding"), keys, ties, BLOCK_ROWS, "r")
+    kinds = dict(queries.dtypes) | dict(rows.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in [*query_key, *ties]) + ", similarity double"
+
+    def meet(frame: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, x in frame.iterrows():
+            a = np.asarray(x["q_v"], float).reshape(len(x[f"q_{query_key[0]}"]), -1)
+            b = np.asarray(x["r_v"], float).reshape(len(x[f"r_{ties[0]}"]), -1)
+            for at in range(0, len(a), 256):
+                s = np.round(a[at : at + 256] @ b.T, 12)
+                best = np.argsort(-s, axis=1, kind="stable")[:, :k]
+                i, j = np.repeat(np.arange(len(s)), best.shape[1]), best.ravel()
+                got = {c: np.asarray(x[f"q_{c}"])[at + i] for c in query_key} | {c: np.asarray(x[f"r_{c}"])[j] for c in ties}
+                out.append(pd.DataFrame(got | {"similarity": s[i, j]}))
+        return pd.concat(out)
+
+    hits = q.join(r, keys).groupBy(*keys, "q_no", "r_no").applyInPandas(meet, schema)
+    order = Window.partitionBy(*query_key).orderBy(F.desc("similarity"), *ties)
+    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
 def search_attempts(queries: DataFrame) -> DataFrame:
     """query_id, attempt, part, reference: distinct pairs in order. A query with an id tries AD, ENR, GEN for it; others
     try the tags, the preferred one first, by the parts, the preferred one first."""
@@ -57,15 +106,16 @@ def gated_search(hits: DataFrame, queries: DataFrame, threshold: float = 0.40) -
 
 
 def topk_facts(queries: DataFrame, facts: DataFrame, k: int = 8) -> DataFrame:
-    """query columns and the k nearest facts of the same scope (and subsection, if the query names one). k is kept in
-    1..50; facts without a vector never match."""
+    """The k nearest facts of a query's scope (and subsection, if it names one) with similarity and rank; facts are told
+    apart by their key. k is kept in 1..50; facts without a vector never match."""
     k = max(1, min(50, k))
     scope = ["scope_kind", "scope_id"]
-    q = queries.select("query_id", *scope, F.col("subsection").alias("_s"), F.col("embedding").alias("_v"))
-    j = q.join(facts.where("embedding is not null"), scope).where(F.col("_s").isNull() | (F.col("_s") == F.col("subsection")))
-    j = j.withColumn("similarity", cosine_similarity(F.col("_v"), F.col("embedding"))).drop("embedding", "_v", "_s")
-    order = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("similarity"), "subsection", "entity", "label")
-    return j.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    named, open_ = queries.where("subsection is not null"), queries.where("subsection is null").drop("subsection")
+    held, ties = facts.where("embedding is not null"), ["subsection", "entity", "label"]
+    own = nearest(named, held.withColumn("_s", F.col("subsection")), [*scope, "subsection"], ["query_id"], ["_s", "entity", "label"], k).withColumnRenamed("_s", "subsection")
+    hits = nearest(open_, held, scope, ["query_id"], ties, k).unionByName(own)
+    back = hits.join(queries.select("query_id", *scope), "query_id")
+    return back.join(held.drop("embedding"), [*scope, *ties])
 
 
 def list_scope_ids(facts: DataFrame, kind: str) -> DataFrame:
