@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 #: Rows an Arrow batch may hold. Texts are long, so batches are kept small.
 BATCH_ROWS = 1000
 
-_UPPER = bytes(range(65, 91))
 #: A-Z to a-z; every ASCII byte that is neither a letter nor a digit to a space; bytes over 0x7F stay.
 WORD_TABLE = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
@@ -82,10 +81,6 @@ def labelled_sample(labels: DataFrame, most_rows: int) -> DataFrame:
     return marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
 
 
-def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
-    return [t or "" for t in batch.column(column).to_pylist()]
-
-
 def plain_words(text: str) -> list[bytes]:
     """Lower-cased words: ASCII letters and digits and all characters beyond ASCII."""
     return text.encode("utf-8", "replace").translate(WORD_TABLE).split()
