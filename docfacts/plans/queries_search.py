@@ -119,7 +119,7 @@ def alias_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Endings that give every turn of the conversations a question to route.
 ENDINGS = ("", " length of the runway", " tower frequency", " TORA for 18L", " bird hazard", " decision height", " night flying", " VOR frequency", " obstacles", " runway markings", " PAPI", " true bearing")
 QUESTION = "coalesce(text, '') || [" + ", ".join(f"'{e}'" for e in ENDINGS) + f"][CAST(conv_id % {len(ENDINGS)} AS INT) + 1]"
-_m = lambda p: f"regexp_matches(q, '{p}')".replace("(?i)", "(?i)")
+_m = lambda p: f"regexp_matches(q, '{p}')"
 SUBSECTION = f"CASE WHEN {_m(resolve.FLIGHT_PROCEDURES)} THEN 'AD 2.22' " + " ".join(f"WHEN {_m(p)} THEN '{s}'" for s, p in resolve.SECTION_TERMS) + " END"
 
 

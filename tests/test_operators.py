@@ -3,7 +3,6 @@
 import datetime as dt
 import json
 
-import pandas as pd
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -289,7 +288,7 @@ def test_fact_shapes(spark):
     assert [r["fact_value"] for r in facts.service_facts(sv).orderBy("seq").collect()] == ["118.1MHZ, 121.5MHZ", "TWR text"]
     nv = facts.navaid_facts(rec(spark, subsection="2.19", aid_type="NDB", ident="KN", frequency=365.0, freq_unit="KHZ", hours="H24", lat=12.0)).orderBy("seq").collect()
     assert [(r["entity"], r["label"], r["fact_value"]) for r in nv][:2] == [("NDB KN", "Frequency", "365.0 KHZ"), ("NDB KN", "Hours of operation", "H24")]
-    en = facts.facts_from_entities(rec(spark, scope_kind="ENR_AREA", scope_id="DNR1", subsection="5.1", family="restricted", name=None or " ", coordinates=["a", "b"], vertical_limits="FL 1")).orderBy("seq").collect()
+    en = facts.facts_from_entities(rec(spark, scope_kind="ENR_AREA", scope_id="DNR1", subsection="5.1", family="restricted", name=" ", coordinates=["a", "b"], vertical_limits="FL 1")).orderBy("seq").collect()
     assert [(r["label"], r["fact_value"]) for r in en] == [("Type of area", "restricted"), ("Vertical limits", "FL 1"), ("Coordinates", "a b")]
     assert en[2]["fact_text"] == "DNR1 ENR 5.1 Coordinates (2 points): a b"
 
@@ -485,7 +484,7 @@ def test_scores(spark):
         ("answer", "AD 2.4", "exact", "q", "clarify", "Which runway?", False), ("answer", "AD 2.4", "exact", "q", "clarify", "5", False), ("answer", "AD 2.4", "exact", "q", None, "publishes several", False), ("x", "AD 2.4", "exact", "q", None, "", True), ("answer", "AD 2.5", "tokens", "alpha beta", None, "AD 2.5 alpha", False),
     ]
     df = spark.createDataFrame(rows, "path string, subsection string, match_mode string, expected_value string, expected_behaviour string, reply string, harness_error boolean")
-    assert [r["verdict"] for r in evaluate.verdicts(df).collect()] == ["PASS", "VALUE_MISS", "ROUTE_MISS", "VALUE_MISS" if False else "ROUTE_MISS", "CLARIFY_OK", "CLARIFY_MISS", "GUARD_REFUSAL", "HARNESS_ERROR", "PASS"]
+    assert [r["verdict"] for r in evaluate.verdicts(df).collect()] == ["PASS", "VALUE_MISS", "ROUTE_MISS", "ROUTE_MISS", "CLARIFY_OK", "CLARIFY_MISS", "GUARD_REFUSAL", "HARNESS_ERROR", "PASS"]
     gt = [("out_of_scope", "", "", "abstain", 0, None), ("multimodal", "DNAA chart", "", "chart", 1, "DNAA"), ("multimodal", "DNAA chart", "", "chart", 1, "DNBB"), ("mapping", "DNAA is Abuja", "abuja", "x", 0, None), ("currency", "", "AIRAC 03/2026", "x", 0, None), ("no_hallucination", "NIL", "it is nil", "x", 0, None), ("retrieval", "3 610 and 60", "3610 only", "answer", 0, None), ("retrieval", "3610", "", "not_in_aip", 0, None), ("retrieval", "words", "words", "answer", 0, None), ("structure", "ENR 5.1", "see ENR 5.1", "answer", 0, None)]
     g = spark.createDataFrame([(*r, None) for r in gt], "test_type string, ground_truth string, reply string, path string, charts int, icao string, sections array<string>")
     scored = evaluate.score_ground_truth(g)

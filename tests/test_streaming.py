@@ -3,8 +3,6 @@
 import datetime as dt
 
 import numpy as np
-import pytest
-from pyspark.sql import functions as F
 
 from docfacts.operators import log
 from docfacts.streaming import stateful, updates
