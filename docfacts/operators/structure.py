@@ -137,17 +137,35 @@ def cluster_lines(top: np.ndarray, tolerance: float) -> np.ndarray:
 
 
 def reading_lines(words: DataFrame, tolerance: float = 4.0) -> DataFrame:
-    """Words with `line`: proximity clusters of a page's words by top, each in x0 order as `pos`."""
-
-    def page(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["top", "x0", "word_no"], kind="stable", ignore_index=True)
-        frame["line"] = cluster_lines(frame["top"].to_numpy(), tolerance)
-        frame = frame.sort_values(["line", "x0", "word_no"], kind="stable", ignore_index=True)
-        return frame.assign(pos=frame.groupby("line").cumcount())
+    """Words with `line`: proximity clusters of a page's words by top, each in x0 order as `pos`. Many pages go through
+    one vectorised walk; only the page that a batch breaks off waits for the next batch."""
+
+    def clustered(frame: pd.DataFrame, page: np.ndarray) -> pd.DataFrame:
+        top = frame["top"].to_numpy()
+        apart = page * (np.ptp(top) + tolerance + 1)  # pages far from each other on one axis
+        frame = frame.assign(page_no=page, line=cluster_lines(top + apart, tolerance))
+        frame["line"] -= frame.groupby("page_no")["line"].transform("min")
+        frame = frame.sort_values(["page_no", "line", "x0", "word_no"], kind="stable", ignore_index=True)
+        return frame.assign(pos=frame.groupby(["page_no", "line"]).cumcount()).drop(columns="page_no")
+
+    def run(batches):
+        rest = None
+        for b in batches:
+            frame = b if rest is None else pd.concat([rest, b], ignore_index=True)
+            if frame.empty:
+                continue
+            page = frame.groupby(["doc_id", "page"], sort=False, dropna=False).ngroup().to_numpy()
+            whole = page != page[-1]
+            if whole.any():
+                yield clustered(frame[whole], page[whole])
+            rest = frame[~whole]
+        if rest is not None and len(rest):
+            yield clustered(rest, np.zeros(len(rest), np.int64))
 
     cols = ["doc_id", "page", "word_no", "x0", "top", "x1", "text"]
     kind = ", ".join(f"{c} {t}" for c, t in words.select(*cols).dtypes)
-    return words.select(*cols).groupBy("doc_id", "page").applyInPandas(page, f"{kind}, line long, pos long")
+    ordered = words.select(*cols).repartition("doc_id", "page").sortWithinPartitions("doc_id", "page", "top", "x0", "word_no")
+    return ordered.mapInPandas(run, f"{kind}, line long, pos long")
 
 
 def drop_chrome(lines: DataFrame, profile: Profile = AIP) -> DataFrame:
