@@ -17,8 +17,9 @@ def dot(a: Column, b: Column) -> Column:
 def normalise(df: DataFrame, column: str = "embedding") -> DataFrame:
     """Vectors of length 1 as doubles; a zero vector stays."""
     v = F.col(column)
-    norm = F.sqrt(dot(v, v))
-    return df.withColumn(column, F.transform(v, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(F.lit(0.0))))
+    once = F.array(F.struct(v.alias("v"), F.sqrt(dot(v, v)).alias("n")))  # the length is worked out once a vector
+    unit = F.transform(once, lambda s: F.transform(s["v"], lambda x: F.when(s["n"] > 0, x.cast("double") / s["n"]).otherwise(F.lit(0.0))))
+    return df.withColumn(column, unit[0])
 
 
 def cosine_similarity(a: Column, b: Column) -> Column:
@@ -30,9 +31,9 @@ BLOCK_ROWS, BLOCK_QUERIES = 4096, 1024
 
 
 def _blocks(df: DataFrame, keys: list[str], ids: list[str], size: int, name: str) -> DataFrame:
-    """Blocks of about size rows of each group: the ids as arrays in their order, the unit vectors as one flat array."""
+    """Blocks of about size rows of each group: the ids as arrays in their order, the vectors as one flat array."""
     n = df.groupBy(*keys).agg(F.ceil(F.count("*") / size).cast("int").alias("_n"))
-    dealt = normalise(df).join(n, keys).withColumn("_b", F.pmod(F.xxhash64(*ids), F.col("_n")).cast("int"))
+    dealt = df.join(n, keys).withColumn("_b", F.pmod(F.xxhash64(*ids), F.col("_n")).cast("int"))
     one = F.array_sort(F.collect_list(F.struct(*ids, "embedding")))
     packed = dealt.groupBy(*keys, F.col("_b").alias(f"{name}_no")).agg(one.alias("_a"))
 
@@ -43,27 +44,41 @@ def _blocks(df: DataFrame, keys: list[str], ids: list[str], size: int, name: str
     return packed.select(*keys, f"{name}_no", *cols, F.flatten(F.transform("_a", lambda x: x["embedding"])).alias(f"{name}_v"))
 
 
-def nearest(queries: DataFrame, rows: DataFrame, keys: list[str], query_key: list[str], ties: list[str], k: int) -> DataFrame:
-    """The k nearest rows of the same keys for each query, by exact blocked products: query_key, ties, similarity, rank.
+def _unit(m: np.ndarray) -> np.ndarray:
+    """Rows of length 1; a zero row stays."""
+    norm = np.sqrt((m * m).sum(1, keepdims=True))
+    return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+
+
+def nearest(queries: DataFrame, rows: DataFrame, keys: list[str], query_key: list[str], ties: list[str], k: int, same: str | None = None) -> DataFrame:
+    """The k nearest rows of the same keys for each query, by exact blocked products: keys, query_key, ties, similarity,
+    rank. With `same`, a query that has a value in that column only meets rows that have it too (a tie column).
 
     A group's rows are cut into blocks of bounded size, as are its queries; every two blocks meet in one task, which
     returns the k best of each query, so a hot group spreads over many tasks and nothing returns all pairs. Ties in
     similarity go by the tie columns, which tell rows apart. All vectors of a group have one width."""
-    q = _blocks(queries.select(*keys, *query_key, "embedding"), keys, query_key, BLOCK_QUERIES, "q")
+    asked = [*query_key, *([same] if same else [])]
+    q = _blocks(queries.select(*keys, *asked, "embedding"), keys, asked, BLOCK_QUERIES, "q")
     r = _blocks(rows.select(*keys, *ties, "embedding"), keys, ties, BLOCK_ROWS, "r")
     kinds = dict(queries.dtypes) | dict(rows.dtypes)
-    schema = ", ".join(f"{c} {kinds[c]}" for c in [*query_key, *ties]) + ", similarity double"
+    schema = ", ".join(f"{c} {kinds[c]}" for c in [*keys, *query_key, *ties]) + ", similarity double"
 
     def meet(frame: pd.DataFrame) -> pd.DataFrame:
         out = []
         for _, x in frame.iterrows():
-            a = np.asarray(x["q_v"], float).reshape(len(x[f"q_{query_key[0]}"]), -1)
-            b = np.asarray(x["r_v"], float).reshape(len(x[f"r_{ties[0]}"]), -1)
+            a = _unit(np.asarray(x["q_v"], float).reshape(len(x[f"q_{query_key[0]}"]), -1))
+            b = _unit(np.asarray(x["r_v"], float).reshape(len(x[f"r_{ties[0]}"]), -1))
             for at in range(0, len(a), 256):
                 s = np.round(a[at : at + 256] @ b.T, 12)
+                if same:
+                    held = np.asarray(x[f"r_{same}"], object)
+                    for row, wanted in enumerate(x[f"q_{same}"][at : at + 256]):
+                        if wanted is not None:
+                            s[row, held != wanted] = -np.inf
                 best = np.argsort(-s, axis=1, kind="stable")[:, :k]
                 i, j = np.repeat(np.arange(len(s)), best.shape[1]), best.ravel()
-                got = {c: np.asarray(x[f"q_{c}"])[at + i] for c in query_key} | {c: np.asarray(x[f"r_{c}"])[j] for c in ties}
+                i, j = i[s[i, j] > -np.inf], j[s[i, j] > -np.inf]
+                got = {c: x[c] for c in keys} | {c: np.asarray(x[f"q_{c}"])[at + i] for c in query_key} | {c: np.asarray(x[f"r_{c}"])[j] for c in ties}
                 out.append(pd.DataFrame(got | {"similarity": s[i, j]}))
         return pd.concat(out)
 
@@ -110,12 +125,9 @@ def topk_facts(queries: DataFrame, facts: DataFrame, k: int = 8) -> DataFrame:
     apart by their key. k is kept in 1..50; facts without a vector never match."""
     k = max(1, min(50, k))
     scope = ["scope_kind", "scope_id"]
-    named, open_ = queries.where("subsection is not null"), queries.where("subsection is null").drop("subsection")
     held, ties = facts.where("embedding is not null"), ["subsection", "entity", "label"]
-    own = nearest(named, held.withColumn("_s", F.col("subsection")), [*scope, "subsection"], ["query_id"], ["_s", "entity", "label"], k).withColumnRenamed("_s", "subsection")
-    hits = nearest(open_, held, scope, ["query_id"], ties, k).unionByName(own)
-    back = hits.join(queries.select("query_id", *scope), "query_id")
-    return back.join(held.drop("embedding"), [*scope, *ties])
+    hits = nearest(queries, held, scope, ["query_id"], ties, k, "subsection")
+    return hits.join(held.drop("embedding"), [*scope, *ties])
 
 
 def list_scope_ids(facts: DataFrame, kind: str) -> DataFrame:
