@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.profile import AIP, Profile
 from ..operators import evaluate, extract, facts, log, retrieve, route, structure
+from ..sources.stages import durable
 
 
 @dataclass
@@ -22,14 +23,16 @@ class Ingested:
 
 def ingest(words: DataFrame, sections: DataFrame, names: DataFrame, labels: dict[str, list[tuple[str, str]]] | None = None, profile: Profile = AIP) -> Ingested:
     """Words of pages to facts. sections: boundaries; names(scope_id, scope_name); labels: the label patterns of each
-    label/value section. A result with an error is not stored at all; its issues are."""
+    label/value section. A result with an error is not stored at all; its issues are. Pages, segments, placed words and
+    records are read by several later steps, so each is written once and read again, and so are the facts."""
     text = structure.page_text(words)
     blob = structure.header_blob(words)
-    pages = structure.classify_pages(structure.assign_section(text.join(blob, ["doc_id", "page"], "left"), sections), profile)
+    pages = durable(structure.classify_pages(structure.assign_section(text.join(blob, ["doc_id", "page"], "left"), sections), profile), "pages")
     lines = structure.drop_chrome(structure.visual_lines(words), profile)
-    segments = structure.segment_sections(lines, pages, profile=profile)
+    segments = durable(structure.segment_sections(lines, pages, profile=profile), "segments")
     own = segments.where(~F.col("excluded")).withColumnRenamed("section_id", "scope_id")
     placed = words.withColumn("line", F.rint(F.col("top") / 3).cast("int")).join(own.select("doc_id", "scope_id", "subsection", "page", "line"), ["doc_id", "page", "line"])
+    placed = durable(placed, "placed")
     section = lambda df, n: df.where(F.col("subsection") == n)
     records = {
         "runway": extract.runways(section(own, "2.12")),
@@ -42,10 +45,12 @@ def ingest(words: DataFrame, sections: DataFrame, names: DataFrame, labels: dict
         rows = extract.canonicalize_labels(extract.label_value_rows(section(placed, n)), mapping)
         records[f"label {n}"] = rows.select(*extract.SECTION, "row_no", "field", F.col("label").alias("raw_label"), F.col("value").alias("detail"))
         shapes[f"label {n}"] = "label"
+    records = {k: durable(df, k.replace(" ", "-")) for k, df in records.items()}
     issues = None
     for k, shape in shapes.items():
         found = extract.validate_records(records[k], extract.RULES[shape])
         issues = found if issues is None else issues.unionByName(found)
+    issues = durable(issues, "issues")
     out = None
     for k, df in records.items():
         shape = "label" if k.startswith("label ") else k
@@ -55,7 +60,8 @@ def ingest(words: DataFrame, sections: DataFrame, names: DataFrame, labels: dict
         out = made if out is None else out.unionByName(made)
     texts = structure.section_text(segments.where(F.col("subsection").isin("2.10", "2.23"))).select(F.col("section_id").alias("scope_id"), "subsection", "text")
     texts = texts.join(names, "scope_id", "left").select(F.lit("AD").alias("scope_kind"), "scope_id", F.coalesce("scope_name", "scope_id").alias("scope_name"), "subsection", "text")
-    return Ingested(pages, segments, records, issues, facts.dedupe_facts(out.unionByName(facts.facts_from_text(texts, profile))))
+    store = durable(facts.dedupe_facts(out.unionByName(facts.facts_from_text(texts, profile))), "facts")
+    return Ingested(pages, segments, records, issues, store)
 
 
 def _order(records: DataFrame, shape: str) -> Column:
