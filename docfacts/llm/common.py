@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.stages import durable, shared_dir
+
+__all__ = ["durable", "shared_dir", "table"]
+
 #: Rows an Arrow batch may hold. Texts are long, so batches are kept small.
 BATCH_ROWS = 1000
 
@@ -23,27 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share.
-
-    Only where it is unset, a folder is chosen: a temporary one in local mode (tests), else one in the warehouse.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        local = spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master
-        found = tempfile.mkdtemp(prefix="docfacts-") if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/_stages"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def durable(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it again: cuts lineage and outlives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/docfacts-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small_batches(spark: SparkSession) -> None:
     """Bound the rows of an Arrow batch, unless the session sets its own bound."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
