@@ -31,7 +31,7 @@ PIECE = 400_000
 def _letters() -> np.ndarray:
     """For each code point: its lower-case letter, or a blank."""
     out = np.full(0x110000, 0x20, np.uint32)
-    for c in range(0x30000):
+    for c in range(0x110000):
         x = chr(c)
         if x.isalpha():
             low = x.lower()
