@@ -6,8 +6,9 @@ shingle. Rarity is counted over all documents first. Documents are then scanned
 the shingle's offset in the window bounds where the window would lie (position) and must fit (length), and the words are
 compared exactly.
 
-Benchmark windows reach the tasks in blocks of bounded size (`block_words`), one pass for each block over the same
-partitions, so any size of benchmark works; documents are never shuffled.
+Benchmark windows reach the tasks in blocks of bounded size (`block_words`). Up to `pass_blocks` blocks take one pass and
+documents are not shuffled. A larger benchmark takes a pass for each pass_blocks blocks, so neither driver nor task ever
+holds more of it; the hits of each pass are written, and meet by document at the end.
 
 Null texts have no words; items without words give no windows; items with equal ids and texts count once, a null
 item_id counts as the empty string. Documents come back as often as they are repeated, with further columns left alone.
@@ -18,16 +19,19 @@ from __future__ import annotations
 
 import hashlib
 from collections import defaultdict
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, plain_words
+from .common import durable, fresh, map_arrow, plain_words
 
 WINDOW, SHINGLE = 13, 3
+REPORT = ("n_words", "n_hit", "n_items", "items", "items_sha256", "contaminated")
+KINDS = "n_words long, n_hit long, n_items long, items array<string>, items_sha256 string, contaminated boolean"
 
 
 @dataclass
@@ -107,13 +111,16 @@ def count_shingles(documents: DataFrame, wanted: set[bytes]) -> dict[bytes, int]
     return {bytes(r["shingle"]): r["n"] for r in rows.collect()}
 
 
-def blocks(documents: DataFrame, benchmark: DataFrame, block_words: int = 200_000) -> list[Block]:
-    """The benchmark's windows with their prefixes, in blocks of about block_words words (one item at least)."""
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text").where(F.col("text").isNotNull()).distinct()
+def block_count(items: DataFrame, block_words: int) -> int:
+    """Blocks of about block_words words, at six bytes a word."""
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-size // (6 * block_words)))
+    return max(1, -(-size // (6 * block_words)))
+
+
+def blocks(documents: DataFrame, items: DataFrame, n: int, which: Iterable[int]) -> list[Block]:
+    """Of the items' n blocks those asked for, with the prefix of each window (one item a block at least)."""
     out = []
-    for k in range(n):
+    for k in which:
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()
         found = windows([(r["item_id"], r["text"]) for r in own])
         if not found:
@@ -129,10 +136,10 @@ def blocks(documents: DataFrame, benchmark: DataFrame, block_words: int = 200_00
     return out
 
 
-def matches(text: str, found: list[Block]) -> tuple[int, int, list[str]]:
-    """Words, words hit, ids of the items that have a window in the text."""
+def find(text: str, found: list[Block]) -> tuple[int, set[tuple[int, int]], set[str]]:
+    """Words; first word and word after the last of each window in the text; ids of the items these belong to."""
     w = Words(text)
-    edge, items, ready = None, set(), False
+    spans, items, ready = set(), set(), False
     for block in found:
         at = w.places(block.first)
         if at and not ready:
@@ -145,50 +152,123 @@ def matches(text: str, found: list[Block]) -> tuple[int, int, list[str]]:
                 for window, size, before in block.prefix.get(w.run(i, i + n), ()):
                     a = i - before
                     if a >= 0 and a + size <= w.n and w.run(a, a + size) == window:
-                        if edge is None:
-                            edge = np.zeros(w.n + 1, np.int64)
-                        edge[a] += 1
-                        edge[a + size] -= 1
+                        spans.add((a, a + size))
                         items.update(block.items[window])
-    hit = 0 if edge is None else int(np.count_nonzero(np.cumsum(edge[:-1])))
-    return w.n, hit, sorted(items)
+    return w.n, spans, items
+
+
+def covered(spans: Iterable[tuple[int, int]]) -> int:
+    """Words inside any of the spans."""
+    hit, end = 0, 0
+    for a, z in sorted(spans):
+        if z > end:
+            hit += z - max(a, end)
+            end = z
+    return hit
+
+
+def matches(text: str, found: list[Block]) -> tuple[int, int, list[str]]:
+    """Words, words hit, ids of the items that have a window in the text."""
+    n, spans, items = find(text, found)
+    return n, covered(spans), sorted(items)
 
 
 def contaminated(n_words: int, n_hit: int) -> bool:
     return n_hit > 0 and 20 * n_hit >= n_words
 
 
-def scan(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items (ids, sorted as strings), items_sha256, contaminated."""
-    found = blocks(documents, benchmark, **options)
-    kind = dict(documents.dtypes)["doc_id"]
+def _print() -> Column:
+    return F.xxhash64("text")
+
+
+def _report(ids: list[pa.Array], names: list[str], rows: list[tuple[int, int, list[str]]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [
+            *ids,
+            pa.array([r[0] for r in rows], pa.int64()),
+            pa.array([r[1] for r in rows], pa.int64()),
+            pa.array([len(r[2]) for r in rows], pa.int64()),
+            pa.array([r[2] for r in rows], pa.list_(pa.string())),
+            pa.array([hashlib.sha256(",".join(r[2]).encode()).hexdigest() for r in rows], pa.string()),
+            pa.array([contaminated(r[0], r[1]) for r in rows], pa.bool_()),
+        ],
+        names=[*names, *REPORT],
+    )
+
+
+def _hits(documents: DataFrame, found: list[Block]) -> DataFrame:
+    """doc_id, print (hash of the text), spans, items of the documents in which a window of these blocks stands."""
 
     def run(batches):
         for b in batches:
-            rows = [matches(t or "", found) for t in b.column("text").to_pylist()]
+            rows = [find(t or "", found) for t in b.column("text").to_pylist()]
+            some = [k for k, r in enumerate(rows) if r[1]]
             yield pa.RecordBatch.from_arrays(
                 [
-                    b.column("doc_id"),
-                    pa.array([r[0] for r in rows], pa.int64()),
-                    pa.array([r[1] for r in rows], pa.int64()),
-                    pa.array([len(r[2]) for r in rows], pa.int64()),
-                    pa.array([r[2] for r in rows], pa.list_(pa.string())),
-                    pa.array([hashlib.sha256(",".join(r[2]).encode()).hexdigest() for r in rows], pa.string()),
-                    pa.array([contaminated(r[0], r[1]) for r in rows], pa.bool_()),
+                    *(b.column(c).take(pa.array(some, pa.int64())) for c in ("doc_id", "print")),
+                    pa.array([[{"a": a, "z": z} for a, z in sorted(rows[k][1])] for k in some], pa.list_(pa.struct([("a", pa.int64()), ("z", pa.int64())]))),
+                    pa.array([sorted(rows[k][2]) for k in some], pa.list_(pa.string())),
                 ],
-                names=["doc_id", "n_words", "n_hit", "n_items", "items", "items_sha256", "contaminated"],
+                names=["doc_id", "print", "spans", "items"],
             )
 
-    return map_arrow(
-        documents.select("doc_id", "text"),
-        run,
-        f"doc_id {kind}, n_words long, n_hit long, n_items long, items array<string>, items_sha256 string, contaminated boolean",
+    kind = dict(documents.dtypes)["doc_id"]
+    return map_arrow(documents.select("doc_id", "text", _print().alias("print")), run, f"doc_id {kind}, print long, spans array<struct<a:long,z:long>>, items array<string>")
+
+
+def _in_passes(documents: DataFrame, items: DataFrame, n: int, pass_blocks: int) -> DataFrame:
+    """What scan returns, and print, for a benchmark of many blocks: each pass over the documents takes pass_blocks of
+    them and writes its hits; the hits of a document meet by its id and text."""
+    every = None
+    for k in range(0, n, pass_blocks):
+        hits = durable(_hits(documents, blocks(documents, items, n, range(k, min(n, k + pass_blocks)))), "hits")
+        every = hits if every is None else every.unionByName(hits)
+    met = every.groupBy(F.col("doc_id").alias("d"), F.col("print").alias("p")).agg(
+        F.array_distinct(F.flatten(F.collect_set("spans"))).alias("spans"),
+        F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"),
     )
+    rows = documents.select("doc_id", "text", _print().alias("print"))
+    rows = rows.join(met, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("print") == F.col("p")), "left").drop("d", "p")
+
+    def run(batches):
+        for b in batches:
+            found = zip(*(b.column(c).to_pylist() for c in ("text", "spans", "items")), strict=True)
+            made = [(len(plain_words(t or "")), covered((x["a"], x["z"]) for x in s or ()), sorted(i or ())) for t, s, i in found]
+            yield _report([b.column("doc_id"), b.column("print")], ["doc_id", "print"], made)
+
+    return map_arrow(rows, run, f"doc_id {dict(documents.dtypes)['doc_id']}, print long, {KINDS}")
+
+
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text").where(F.col("text").isNotNull()).distinct()
+
+
+def scan(documents: DataFrame, benchmark: DataFrame, block_words: int = 200_000, pass_blocks: int = 2) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items (ids, sorted as strings), items_sha256, contaminated."""
+    items = _items(benchmark)
+    n = block_count(items, block_words)
+    if n > pass_blocks:
+        return _in_passes(documents, items, n, pass_blocks).drop("print")
+    found = blocks(documents, items, n, range(n))
+
+    def run(batches):
+        for b in batches:
+            yield _report([b.column("doc_id")], ["doc_id"], [matches(t or "", found) for t in b.column("text").to_pylist()])
+
+    return map_arrow(documents.select("doc_id", "text"), run, f"doc_id {dict(documents.dtypes)['doc_id']}, {KINDS}")
 
 
-def keep_clean(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+def keep_clean(documents: DataFrame, benchmark: DataFrame, block_words: int = 200_000, pass_blocks: int = 2) -> DataFrame:
     """The documents that are not contaminated, with all their columns."""
-    found = blocks(documents, benchmark, **options)
+    items = _items(benchmark)
+    n = block_count(items, block_words)
+    if n > pass_blocks:
+        bad = _in_passes(documents, items, n, pass_blocks).where("contaminated").select(F.col("doc_id").alias("d"), F.col("print").alias("p")).distinct()
+        own = fresh(documents, "text_print")
+        bad = bad.toDF(f"{own}_id", f"{own}_hash")
+        same = F.col("doc_id").eqNullSafe(F.col(f"{own}_id")) & (F.col(own) == F.col(f"{own}_hash"))
+        return documents.withColumn(own, _print()).join(bad, same, "left_anti").drop(own)
+    found = blocks(documents, items, n, range(n))
 
     def run(batches):
         for b in batches:
