@@ -126,8 +126,9 @@ def links(nodes: DataFrame, fp: str = "fp", tile: int = TILE) -> DataFrame:
     return map_arrow(tiles, run, "a long, b long").distinct()
 
 
-def assign(prints: DataFrame, ids: list[str] | None = None) -> DataFrame:
+def assign(prints: DataFrame, ids: list[str] | None = None, link=links) -> DataFrame:
     """fp and its component's smallest id struct over `ids` (doc_id), as columns fp and least, one row a fingerprint.
+    link: from the distinct fp to links a, b between them.
 
     prints: a stored table with the ids and fp of each row, equal fingerprints as often as they come."""
     least = F.min(F.struct(*(ids or ["doc_id"])))
@@ -136,7 +137,7 @@ def assign(prints: DataFrame, ids: list[str] | None = None) -> DataFrame:
         prints.groupBy("fp").agg(F.min(F.when(F.col(first).isNotNull(), F.struct(*(ids or ["doc_id"])))).alias("least"), least.alias("any")),
         "nodes",
     )
-    roots = components(links(nodes.select("fp")))
+    roots = components(link(nodes.select("fp")))
     rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select(
         "fp", "least", "any", F.coalesce("root", "fp").alias("root")
     )
