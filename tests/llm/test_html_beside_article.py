@@ -1,0 +1,13 @@
+"""Lines that stand beside an article element are decided by comparison with the nearest page."""
+
+from docfacts.llm import html_extract
+
+
+def page(k):
+    return f"<body><div><p>Site name</p><h1>Headline {k}</h1></div><article><p>Lead {k}</p></article><div><p>Second part {k}</p><p>Read more here</p></div><div class='menu'>Menu {k}</div></body>"
+
+
+def test_own_lines_beside_an_article_stay_and_shared_ones_go(spark):
+    rows = [(k, f"http://h/a/{k}", page(k)) for k in (1, 2)]
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)).collect()
+    assert {r["page_id"]: r["text"] for r in got} == {k: f"Headline {k}\n\nLead {k}\n\nSecond part {k}" for k in (1, 2)}
