@@ -5,6 +5,7 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import permutations
 
 import numpy as np
 import pytest
@@ -328,18 +329,85 @@ def test_tokens_equal_the_tokenizer(vocabulary):
 
 def test_genetic_packing_over_blocks(spark, vocabulary):
     rng = np.random.default_rng(2)
-    length = rng.integers(1, 1500, 600).tolist()
-    bins = packing.evolve(length, [], 2048, 1)
-    assert sorted(i for b in bins for i in b) == list(range(600))
-    assert all(sum(length[i] for i in b) <= 2048 for b in bins)
-    child = packing.crossover(bins, packing.evolve(length, [], 2048, 2), length, 2048, rng)
-    assert sorted(i for b in child for i in b) == list(range(600))
-    docs = spark.createDataFrame([(i, "word " * (n // 3)) for i, n in enumerate(length)], "doc_id long, text string")
+    length = rng.integers(1, 1500, 600)
+    people = packing.evolve(length, [], None, 2048, 1)
+    child = packing.crossover(people[0], packing.evolve(length, [], None, 2048, 2)[0], length, 2048, rng)
+    for own in (*people, child):
+        assert sorted(set(own.tolist())) == list(range(own.max() + 1))
+        assert packing.fills(own, length).max() <= 2048
+    docs = spark.createDataFrame([(i, "word " * (n // 3)) for i, n in enumerate(length.tolist())], "doc_id long, text string")
     got = packing.pack(docs, vocabulary, block=100).groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()
     assert max(r["n"] for r in got) <= 2048
     assert len(got) <= 1.02 * math.ceil(sum(r["n"] for r in got) / 2048) + 1
 
 
+def triplets(bins, seed):
+    """Pieces that fill so many bins without waste, three each, hard for best fit."""
+    rng, out = np.random.default_rng(seed), []
+    for _ in range(bins):
+        a, b = rng.integers(512, 922, 2).tolist()
+        out += [a, b, 2048 - a - b]
+    return np.array(out)
+
+
+def test_genetic_packing_beats_best_fit(spark):
+    for seed in range(3):
+        length = triplets(40, seed)
+        plain = packing.pack_in_order(np.argsort(-length, kind="stable"), length, 2048).max() + 1
+        elite, people = plain, []
+        for n in range(6):
+            people = packing.evolve(length, people, None, 2048, n, children=100)
+            assert people[0].max() + 1 <= elite  # populations live on, so nothing is lost
+            elite = people[0].max() + 1
+        assert 40 <= elite < plain
+    items = spark.createDataFrame([(i, n) for i, n in enumerate(triplets(40, 0).tolist())], "uid long, length long")
+    rows = packing.pack_blocks(items, 1, 2048).collect()
+    assert len({r["bin"] for r in rows}) < packing.pack_in_order(np.argsort(-triplets(40, 0), kind="stable"), triplets(40, 0), 2048).max() + 1
+
+
+def test_small_blocks_are_packed_as_well_as_can_be():
+    rng = np.random.default_rng(9)
+    for _ in range(30):
+        length = rng.integers(200, 1500, 7)
+        best = min(_fewest(length.tolist(), order) for order in permutations(range(7)))
+        people = packing.evolve(length, [], None, 2048, 1, children=60)
+        assert people[0].max() + 1 == best
+
+
+def _fewest(length, order):
+    n, room = 0, 0
+    for i in order:
+        if length[i] > room:
+            n, room = n + 1, 2048
+        room -= length[i]
+    return n
+
+
+def test_lengths_that_fill_no_bin_are_dealt_to_the_end(spark, vocabulary):
+    docs = spark.createDataFrame([(i, "word " * 1100) for i in range(60)], "doc_id long, text string")
+    got = packing.pack(docs, vocabulary, block=8).groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()
+    assert len(got) == 60 and {r["n"] for r in got} == {1102}
+
+
+def test_other_vocabulary_files_are_left_to_the_library(vocabulary, tmp_path):
+    import json
+
+    spec = json.load(open(vocabulary, encoding="utf-8"))
+    assert packing.plain_ranks(spec) and packing.Tokens(vocabulary).encode
+    other = json.loads(json.dumps(spec))
+    other["normalizer"] = {"type": "Lowercase"}
+    swapped = json.loads(json.dumps(spec))
+    swapped["model"]["merges"][5:7] = swapped["model"]["merges"][6:4:-1]
+    for k, changed in enumerate((other, swapped)):
+        path = tmp_path / f"{k}.json"
+        path.write_text(json.dumps(changed), encoding="utf-8")
+        own = packing.Tokens(str(path))
+        assert own.encode is None
+        from tokenizers import Tokenizer
+
+        assert np.frombuffer(own("The Cat sat"), "<u4").tolist() == Tokenizer.from_file(str(path)).encode("The Cat sat", add_special_tokens=False).ids
+
+
 # license scan
 
 
