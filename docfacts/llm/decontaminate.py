@@ -1,26 +1,25 @@
 """Benchmark decontamination: a prefix-filtered set join between documents and benchmark windows.
 
 Each benchmark item gives windows of WINDOW consecutive words (a shorter item is one window). A document contains a
-window only if it contains all its shingles (SHINGLE words), so the necessary prefix of a window is its single rarest
-shingle. Rarity is counted over all documents first. Documents are then scanned for these prefix shingles; a hit with
-the shingle's offset in the window bounds where the window would lie (position) and must fit (length), and the words are
-compared exactly.
+window only if it contains all its shingles (SHINGLE words, or the whole of a shorter window), so the necessary prefix
+of a window is its single rarest shingle. How often each shingle of the benchmark stands in all documents is counted
+first. Documents then send the places of prefix shingles, with the words around them, to an equi-join with the windows;
+the shingle's offset bounds where the window would lie (position), the words there must be enough (length), and the
+words are compared exactly.
 
-Benchmark windows reach the tasks in blocks of bounded size (`block_words`). Up to `pass_blocks` blocks take one pass and
-documents are not shuffled. A larger benchmark takes a pass for each pass_blocks blocks, so neither driver nor task ever
-holds more of it; the hits of each pass are written, and meet by document at the end.
+Before each of the two passes over the documents, a bitmap of at most MOST_BITS bits goes to the tasks, so that only
+shingles that may be in the benchmark travel; what passes it in vain finds no partner in the join. A benchmark of any
+size takes two passes. Windows stay in tables, and neither driver nor task holds the benchmark.
 
 Null texts have no words; items without words give no windows; items with equal ids and texts count once, a null
-item_id counts as the empty string. Documents come back as often as they are repeated, with further columns left alone.
-An empty benchmark leaves all documents clean.
+item_id counts as the empty string. Ties between equally rare shingles go to the smaller hash. Documents come back as
+often as they are repeated, with further columns left alone. A very long text is cut into words whole in one task. An
+empty benchmark leaves all documents clean, an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections import defaultdict
-from collections.abc import Iterable
-from dataclasses import dataclass, field
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -30,249 +29,207 @@ from pyspark.sql import functions as F
 from .common import durable, fresh, map_arrow, plain_words
 
 WINDOW, SHINGLE = 13, 3
-REPORT = ("n_words", "n_hit", "n_items", "items", "items_sha256", "contaminated")
-KINDS = "n_words long, n_hit long, n_items long, items array<string>, items_sha256 string, contaminated boolean"
+#: Bits of a bitmap for each shingle it holds, and altogether (16 MB).
+BITS_EACH, MOST_BITS = 64, 1 << 27
+#: Windows of an item that a task holds at a time.
+PART = 20_000
 
 
-@dataclass
-class Block:
-    """Windows of some items, filed under their prefix shingle."""
+def shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
+    """A hash of every run of `size` words."""
+    n = len(words) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    each = np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
+    out = np.full(n, size, np.uint64)
+    for k in range(size):
+        out = (out ^ each[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out.view(np.int64)
 
-    #: window -> ids of its items
-    items: dict[bytes, list[str]] = field(default_factory=dict)
-    #: shingle -> (window, words, words before the shingle)
-    prefix: dict[bytes, list[tuple[bytes, int, int]]] = field(default_factory=dict)
 
-    def __post_init__(self) -> None:
-        self.index()
+def windows(items: DataFrame) -> DataFrame:
+    """window (its words, joined by blanks), n (words), hashes (of its shingles), items (ids that have it, sorted)."""
 
-    def index(self) -> None:
-        self.first = {s.split(b" ", 1)[0] for s in self.prefix}
-        self.sizes = sorted({s.count(b" ") + 1 for s in self.prefix})
-
-
-def windows(items: list[tuple[str, str]]) -> dict[bytes, list[str]]:
-    out: dict[bytes, set[str]] = defaultdict(set)
-    for item_id, text in items:
-        w = plain_words(text)
-        for i in range(max(1, len(w) - WINDOW + 1) if w else 0):
-            out[b" ".join(w[i : i + WINDOW])].add(item_id)
-    return {k: sorted(v) for k, v in out.items()}
-
-
-def shingles(window: bytes) -> list[bytes]:
-    w = window.split()
-    n = min(SHINGLE, len(w))
-    return [b" ".join(w[i : i + n]) for i in range(len(w) - n + 1)]
-
-
-class Words:
-    """A document's words, and any run of them as bytes."""
-
-    def __init__(self, text: str) -> None:
-        self.words = plain_words(text)
-        self.n = len(self.words)
-
-    def places(self, first: set[bytes]) -> list[int]:
-        return [i for i, w in enumerate(self.words) if w in first]
-
-    def lay_out(self) -> None:
-        self.joined = b" ".join(self.words)
-        ends = np.cumsum(np.fromiter(map(len, self.words), np.int64, self.n) + 1)
-        self.ends = (ends - 1).tolist()
-        self.starts = [0, *ends[:-1].tolist()]
-
-    def run(self, a: int, b: int) -> bytes:
-        return self.joined[self.starts[a] : self.ends[b - 1]]
-
-
-def count_shingles(documents: DataFrame, wanted: set[bytes]) -> dict[bytes, int]:
-    """How often each of the wanted shingles (a bounded set) stands in all documents."""
-    probe = Block(prefix={s: [] for s in wanted})
+    def run(batches):
+        for b in batches:
+            for item_id, text in zip(b.column("item_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+                w = plain_words(text)
+                n = min(WINDOW, len(w))
+                size = min(SHINGLE, n)
+                h = shingle_hashes(w, size) if n else np.zeros(0, np.int64)
+                last = len(w) - n + 1 if n else 0
+                for a in range(0, last, PART):
+                    own = range(a, min(last, a + PART))
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([item_id] * len(own), pa.string()),
+                            pa.array([b" ".join(w[i : i + n]).decode() for i in own], pa.string()),
+                            pa.array([n] * len(own), pa.int32()),
+                            pa.array([h[i : i + n - size + 1] for i in own], pa.list_(pa.int64())),
+                        ],
+                        names=["item_id", "window", "n", "hashes"],
+                    )
+
+    rows = map_arrow(items, run, "item_id string, window string, n int, hashes array<long>")
+    return rows.groupBy("window").agg(F.first("n").alias("n"), F.first("hashes").alias("hashes"), F.array_sort(F.collect_set("item_id")).alias("items"))
+
+
+class Bitmap:
+    """Which hashes may be among those given; bounded, so wrong (as yes, never as no) the more often the more there are."""
+
+    def __init__(self, hashes: DataFrame, most_bits: int = MOST_BITS) -> None:
+        n = hashes.count()
+        self.bits = min(most_bits, 1 << max(16, (BITS_EACH * n - 1).bit_length()))
+        at = F.pmod("h", F.lit(self.bits)) + 1  # Spark's bitmaps count from 1
+        parts = hashes.groupBy(F.bitmap_bucket_number(at).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+        self.raw = np.zeros(self.bits // 8, np.uint8)
+        for r in parts.collect():
+            own = np.frombuffer(bytes(r["bits"]), np.uint8)
+            start = (r["part"] - 1) * len(own)
+            self.raw[start : start + len(own)] = own[: len(self.raw) - start]
+
+    def holds(self, h: np.ndarray) -> np.ndarray:
+        at = h.view(np.uint64) & np.uint64(self.bits - 1)
+        return (self.raw[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+
+def count_shingles(documents: DataFrame, wanted: Bitmap, sizes: list[int]) -> DataFrame:
+    """h, seen: how often shingles that may be in the benchmark stand in all documents."""
+    sent = documents.sparkSession.sparkContext.broadcast(wanted)  # MOST_BITS at most
 
     def run(batches):
-        found: dict[bytes, int] = defaultdict(int)
         for b in batches:
+            found = [np.zeros(0, np.int64)]
             for t in b.column("text").to_pylist():
-                w = Words(t or "")
-                at = w.places(probe.first)
-                if not at:
-                    continue
-                w.lay_out()
-                for i in at:
-                    for n in probe.sizes:
-                        if i + n <= w.n and (s := w.run(i, i + n)) in wanted:
-                            found[s] += 1
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], names=["shingle", "n"]
-        )
-
-    rows = map_arrow(documents.select("text"), run, "shingle binary, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    return {bytes(r["shingle"]): r["n"] for r in rows.collect()}
-
-
-def block_count(items: DataFrame, block_words: int) -> int:
-    """Blocks of about block_words words, at six bytes a word."""
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return max(1, -(-size // (6 * block_words)))
-
-
-def blocks(documents: DataFrame, items: DataFrame, n: int, which: Iterable[int]) -> list[Block]:
-    """Of the items' n blocks those asked for, with the prefix of each window (one item a block at least)."""
-    out = []
-    for k in which:
-        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()
-        found = windows([(r["item_id"], r["text"]) for r in own])
-        if not found:
-            continue
-        seen = count_shingles(documents, {s for w in found for s in shingles(w)})
-        block = Block(found)
-        for w in found:
-            parts = shingles(w)
-            rarest = min(range(len(parts)), key=lambda i: (seen.get(parts[i], 0), parts[i]))
-            block.prefix.setdefault(parts[rarest], []).append((w, w.count(b" ") + 1, rarest))
-        block.index()
-        out.append(block)
-    return out
-
-
-def find(text: str, found: list[Block]) -> tuple[int, set[tuple[int, int]], set[str]]:
-    """Words; first word and word after the last of each window in the text; ids of the items these belong to."""
-    w = Words(text)
-    spans, items, ready = set(), set(), False
-    for block in found:
-        at = w.places(block.first)
-        if at and not ready:
-            w.lay_out()
-            ready = True
-        for i in at:
-            for n in block.sizes:
-                if i + n > w.n:
-                    break
-                for window, size, before in block.prefix.get(w.run(i, i + n), ()):
-                    a = i - before
-                    if a >= 0 and a + size <= w.n and w.run(a, a + size) == window:
-                        spans.add((a, a + size))
-                        items.update(block.items[window])
-    return w.n, spans, items
-
-
-def covered(spans: Iterable[tuple[int, int]]) -> int:
-    """Words inside any of the spans."""
-    hit, end = 0, 0
-    for a, z in sorted(spans):
-        if z > end:
-            hit += z - max(a, end)
-            end = z
-    return hit
-
-
-def matches(text: str, found: list[Block]) -> tuple[int, int, list[str]]:
-    """Words, words hit, ids of the items that have a window in the text."""
-    n, spans, items = find(text, found)
-    return n, covered(spans), sorted(items)
-
-
-def contaminated(n_words: int, n_hit: int) -> bool:
-    return n_hit > 0 and 20 * n_hit >= n_words
+                words = plain_words(t or "")
+                for size in sizes:
+                    h = shingle_hashes(words, size)
+                    found.append(h[sent.value.holds(h)])
+            h, n = np.unique(np.concatenate(found), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n, pa.int64())], names=["h", "n"])
+
+    return map_arrow(documents.select("text"), run, "h long, n long").groupBy("h").agg(F.sum("n").alias("seen"))
+
+
+def prefixes(documents: DataFrame, items: DataFrame, most_bits: int) -> DataFrame:
+    """window, n, items, and its rarest shingle: h, its offset (before), its size."""
+    every = durable(windows(items), "windows")
+    parts = every.select("window", "n", F.posexplode("hashes").alias("before", "h"))
+    sizes = _sizes(every)
+    seen = count_shingles(documents, Bitmap(parts.select("h").distinct(), most_bits), sizes)
+    rarest = (
+        parts.join(seen, "h", "left")
+        .groupBy("window")
+        .agg(F.min(F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), "h", "before")).alias("r"))
+        .select("window", "r.h", "r.before")
+    )
+    return durable(every.drop("hashes").join(rarest, "window"), "prefixes")
+
+
+def _sizes(found: DataFrame) -> list[int]:
+    """Sizes of the shingles of these windows: SHINGLE at most."""
+    return sorted(r["s"] for r in found.select(F.least("n", F.lit(SHINGLE)).alias("s")).distinct().collect())
 
 
 def _print() -> Column:
     return F.xxhash64("text")
 
 
-def _report(ids: list[pa.Array], names: list[str], rows: list[tuple[int, int, list[str]]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [
-            *ids,
-            pa.array([r[0] for r in rows], pa.int64()),
-            pa.array([r[1] for r in rows], pa.int64()),
-            pa.array([len(r[2]) for r in rows], pa.int64()),
-            pa.array([r[2] for r in rows], pa.list_(pa.string())),
-            pa.array([hashlib.sha256(",".join(r[2]).encode()).hexdigest() for r in rows], pa.string()),
-            pa.array([contaminated(r[0], r[1]) for r in rows], pa.bool_()),
-        ],
-        names=[*names, *REPORT],
-    )
+def candidates(documents: DataFrame, found: DataFrame, most_bits: int) -> DataFrame:
+    """doc_id, print (hash of the text), n_words, and places of prefix shingles: hash, words around, how many of these
+    come first, and where (places with the same words around are one entry)."""
+    sizes = _sizes(found)
+    sent = documents.sparkSession.sparkContext.broadcast(Bitmap(found.select("h").distinct(), most_bits))  # MOST_BITS at most
 
+    def places(words: list[bytes]) -> list[dict]:
+        out: dict[tuple, list[int]] = {}
+        for size in sizes:
+            h = shingle_hashes(words, size)
+            back, ahead = (WINDOW - SHINGLE, WINDOW) if size == SHINGLE else (0, size)
+            for i in np.flatnonzero(sent.value.holds(h)).tolist():
+                a = max(0, i - back)
+                out.setdefault((int(h[i]), b" ".join(words[a : i + ahead]), i - a), []).append(i)
+        return [{"h": h, "around": around.decode(), "lead": lead, "at": at} for (h, around, lead), at in out.items()]
 
-def _hits(documents: DataFrame, found: list[Block]) -> DataFrame:
-    """doc_id, print (hash of the text), spans, items of the documents in which a window of these blocks stands."""
+    kind = pa.list_(pa.struct([("h", pa.int64()), ("around", pa.string()), ("lead", pa.int32()), ("at", pa.list_(pa.int32()))]))
 
     def run(batches):
         for b in batches:
-            rows = [find(t or "", found) for t in b.column("text").to_pylist()]
-            some = [k for k, r in enumerate(rows) if r[1]]
+            rows = [plain_words(t or "") for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [
-                    *(b.column(c).take(pa.array(some, pa.int64())) for c in ("doc_id", "print")),
-                    pa.array([[{"a": a, "z": z} for a, z in sorted(rows[k][1])] for k in some], pa.list_(pa.struct([("a", pa.int64()), ("z", pa.int64())]))),
-                    pa.array([sorted(rows[k][2]) for k in some], pa.list_(pa.string())),
-                ],
-                names=["doc_id", "print", "spans", "items"],
+                [b.column("doc_id"), b.column("print"), pa.array(list(map(len, rows)), pa.int64()), pa.array([places(w) for w in rows], kind)],
+                names=["doc_id", "print", "n_words", "places"],
             )
 
-    kind = dict(documents.dtypes)["doc_id"]
-    return map_arrow(documents.select("doc_id", "text", _print().alias("print")), run, f"doc_id {kind}, print long, spans array<struct<a:long,z:long>>, items array<string>")
+    rows = documents.select("doc_id", _print().alias("print"), "text")
+    return map_arrow(
+        rows, run, f"doc_id {dict(documents.dtypes)['doc_id']}, print long, n_words long, places array<struct<h:long,around:string,lead:int,at:array<int>>>"
+    )
 
 
-def _in_passes(documents: DataFrame, items: DataFrame, n: int, pass_blocks: int) -> DataFrame:
-    """What scan returns, and print, for a benchmark of many blocks: each pass over the documents takes pass_blocks of
-    them and writes its hits; the hits of a document meet by its id and text."""
-    every = None
-    for k in range(0, n, pass_blocks):
-        hits = durable(_hits(documents, blocks(documents, items, n, range(k, min(n, k + pass_blocks)))), "hits")
-        every = hits if every is None else every.unionByName(hits)
-    met = every.groupBy(F.col("doc_id").alias("d"), F.col("print").alias("p")).agg(
-        F.array_distinct(F.flatten(F.collect_set("spans"))).alias("spans"),
-        F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"),
+def _covered(spans: Column) -> Column:
+    """Words inside any of the spans (first word, word after the last)."""
+    zero = F.struct(F.lit(0).alias("hit"), F.lit(0).alias("end"))
+
+    def step(a: Column, s: Column) -> Column:
+        more = F.greatest(s["z"] - F.greatest(s["a"], a["end"]), F.lit(0))
+        return F.struct((a["hit"] + more).alias("hit"), F.greatest(a["end"], s["z"]).alias("end"))
+
+    return F.aggregate(F.array_sort(spans), zero, step, lambda a: a["hit"].cast("long"))
+
+
+def _hits(placed: DataFrame, found: DataFrame) -> DataFrame:
+    """d, p (a document's id and print), n_hit, items of each document in which a window stands."""
+    one = placed.select("doc_id", "print", F.explode("places").alias("x")).select("doc_id", "print", "x.*")
+    start = F.col("lead") - F.col("before")
+    words = F.split("around", " ")
+    fits = (start >= 0) & (F.size(words) >= start + F.col("n"))
+    same = F.when(fits, F.array_join(F.slice(words, start + 1, F.col("n")), " ") == F.col("window"))
+    spans = F.transform("at", lambda i: F.struct((i - F.col("before")).alias("a"), (i - F.col("before") + F.col("n")).alias("z")))
+    return (
+        one.join(found, "h")
+        .where(same)
+        .select("doc_id", "print", spans.alias("spans"), "items")
+        .groupBy(F.col("doc_id").alias("d"), F.col("print").alias("p"))
+        .agg(F.flatten(F.collect_set("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+        .select("d", "p", _covered(F.col("spans")).alias("n_hit"), "items")
     )
-    rows = documents.select("doc_id", "text", _print().alias("print"))
-    rows = rows.join(met, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("print") == F.col("p")), "left").drop("d", "p")
 
-    def run(batches):
-        for b in batches:
-            found = zip(*(b.column(c).to_pylist() for c in ("text", "spans", "items")), strict=True)
-            made = [(len(plain_words(t or "")), covered((x["a"], x["z"]) for x in s or ()), sorted(i or ())) for t, s, i in found]
-            yield _report([b.column("doc_id"), b.column("print")], ["doc_id", "print"], made)
 
-    return map_arrow(rows, run, f"doc_id {dict(documents.dtypes)['doc_id']}, print long, {KINDS}")
+def _bad() -> Column:
+    return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
 
 
-def _items(benchmark: DataFrame) -> DataFrame:
-    return benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text").where(F.col("text").isNotNull()).distinct()
+def judged(documents: DataFrame, benchmark: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
+    """doc_id, print, n_words, n_hit, items, one row a row of documents."""
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text").where(F.col("text").isNotNull()).distinct()
+    found = prefixes(documents, items, most_bits)
+    placed = durable(candidates(documents, found, most_bits), "places")
+    met = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("print") == F.col("p"))
+    none = F.array().cast("array<string>")
+    return placed.join(_hits(placed, found), met, "left").select(
+        "doc_id", "print", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", none).alias("items")
+    )
 
 
-def scan(documents: DataFrame, benchmark: DataFrame, block_words: int = 200_000, pass_blocks: int = 2) -> DataFrame:
+def scan(documents: DataFrame, benchmark: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items (ids, sorted as strings), items_sha256, contaminated."""
-    items = _items(benchmark)
-    n = block_count(items, block_words)
-    if n > pass_blocks:
-        return _in_passes(documents, items, n, pass_blocks).drop("print")
-    found = blocks(documents, items, n, range(n))
-
-    def run(batches):
-        for b in batches:
-            yield _report([b.column("doc_id")], ["doc_id"], [matches(t or "", found) for t in b.column("text").to_pylist()])
-
-    return map_arrow(documents.select("doc_id", "text"), run, f"doc_id {dict(documents.dtypes)['doc_id']}, {KINDS}")
+    return judged(documents, benchmark, most_bits).select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        "items",
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        _bad().alias("contaminated"),
+    )
 
 
-def keep_clean(documents: DataFrame, benchmark: DataFrame, block_words: int = 200_000, pass_blocks: int = 2) -> DataFrame:
+def keep_clean(documents: DataFrame, benchmark: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
     """The documents that are not contaminated, with all their columns."""
-    items = _items(benchmark)
-    n = block_count(items, block_words)
-    if n > pass_blocks:
-        bad = _in_passes(documents, items, n, pass_blocks).where("contaminated").select(F.col("doc_id").alias("d"), F.col("print").alias("p")).distinct()
-        own = fresh(documents, "text_print")
-        bad = bad.toDF(f"{own}_id", f"{own}_hash")
-        same = F.col("doc_id").eqNullSafe(F.col(f"{own}_id")) & (F.col(own) == F.col(f"{own}_hash"))
-        return documents.withColumn(own, _print()).join(bad, same, "left_anti").drop(own)
-    found = blocks(documents, items, n, range(n))
-
-    def run(batches):
-        for b in batches:
-            clean = [not contaminated(*matches(t or "", found)[:2]) for t in b.column("text").to_pylist()]
-            yield b.filter(pa.array(clean, pa.bool_()))
-
-    return map_arrow(documents, run, documents.schema)
+    bad = judged(documents, benchmark, most_bits).where(_bad()).select("doc_id", "print").distinct()
+    own = fresh(documents, "text_print")
+    bad = bad.toDF(f"{own}_id", f"{own}_hash")
+    same = F.col("doc_id").eqNullSafe(F.col(f"{own}_id")) & (F.col(own) == F.col(f"{own}_hash"))
+    return documents.withColumn(own, _print()).join(bad, same, "left_anti").drop(own)
