@@ -2,14 +2,16 @@
 
 Every rolling word pair of every text is hashed and joined, in Spark, to the places of equal pairs in templates. A pair
 at word p of a text and place q of a template votes for diagonal p - q; votes are aggregated by text, template and
-diagonal. A phrase (base label) stands where its diagonal has all votes; votes of a notice on neighbouring diagonals are
-merged, so that a few words more or less do no harm. The spans found are then verified against the words themselves.
+diagonal. A phrase (base label) stands where its diagonal has all votes; votes of a notice on a diagonal and the SLACK
+ones after it are merged, so that a few words more or less do no harm, and a span is never longer than its template and
+SLACK words. The spans found are then verified against the words themselves: template and span are aligned in order.
 
 The template table is fixed and small, so it is broadcast. Spans found are broadcast for verification while they are few
 (`broadcast_rows`), else joined by shuffle.
 
 Null texts are empty. Equal rows share their spans and are all returned. Ties of spans change nothing. An empty table
-gives an empty result; further columns are left alone.
+gives an empty result; further columns are left alone. The words of a very long text are cut in one task, its pairs and
+votes are rows like any other's.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable, map_arrow, plain_words
@@ -46,6 +48,11 @@ NOTICES = {
 TEMPLATES = [(i, p.encode().split(), label, i < len(PHRASES)) for i, (p, label) in enumerate([*PHRASES.items(), *NOTICES.items()])]
 
 
+#: Votes of a template on a diagonal are bits of a whole number.
+if max(len(words) - K + 1 for _, words, *_ in TEMPLATES) > 63:
+    raise ValueError("templates have 64 words at most")
+
+
 def pair_hashes(words: list[bytes]) -> np.ndarray:
     """The crc32 of each word and of the next one, side by side in 64 bits."""
     n = len(words)
@@ -91,20 +98,33 @@ def spans(documents: DataFrame) -> DataFrame:
     exact = voted.where(phrase & (F.bit_count("mask") == words - K + 1)).select(
         "key", "template", F.col("diagonal").alias("first"), (F.col("diagonal") + words).alias("after")
     )
-    line = Window.partitionBy("key", "template").orderBy("diagonal")
-    apart = F.col("diagonal") - F.lag("diagonal").over(line) > SLACK
     merged = (
         voted.where(~phrase)
-        .withColumn("run", F.sum(F.coalesce(apart, F.lit(False)).cast("int")).over(line))
-        .groupBy("key", "template", "run")
-        .agg(F.bit_or("mask").alias("mask"), F.min("diagonal").alias("first"), F.max("diagonal").alias("last"))
+        .select("key", "template", "mask", F.explode(F.sequence(F.col("diagonal") - SLACK, F.col("diagonal"))).alias("first"))
+        .groupBy("key", "template", "first")
+        .agg(F.bit_or("mask").alias("mask"))
         .where(F.bit_count("mask") >= COVER * (words - K + 1))
-        .select("key", "template", F.greatest("first", F.lit(0)).alias("first"), (F.col("last") + words).alias("after"))
+        .select("key", "template", F.greatest("first", F.lit(0)).alias("first"), (F.col("first") + words + SLACK).alias("after"))
     )
     one = F.struct("template", "first", "after")
     return exact.unionByName(merged).groupBy("key").agg(F.array_sort(F.collect_list(one)).alias("found"))
 
 
+def aligned(template: list[bytes], own: list[bytes]) -> tuple[float, int, int]:
+    """Share of the template's pairs that stand in own in the same order, and the first and last such pair's places."""
+    want, have = list(zip(template, template[1:], strict=False)), list(zip(own, own[1:], strict=False))
+    # for each length, the alignment that ends earliest: (place of the last pair, place of the first)
+    ends: list[tuple[int, int]] = []
+    for x in want:
+        for k in range(len(ends), -1, -1):
+            start = ends[k - 1][0] + 1 if k else 0
+            at = next((i for i in range(start, len(have)) if have[i] == x), None)
+            if at is not None and (k == len(ends) or at < ends[k][0]):
+                found = (at, ends[k - 1][1] if k else at)
+                ends[k : k + 1] = [found]
+    return (len(ends) / len(want), ends[-1][1], ends[-1][0]) if ends else (0.0, 0, 0)
+
+
 def verify(words: list[bytes], found: list[dict]) -> tuple[list[int], set[str], set[str], float, list[tuple]]:
     """Starts of phrases, their labels, labels of notices, the best coverage, and the spans that hold."""
     starts, base, more, best, kept = [], set(), set(), 0.0, []
@@ -118,12 +138,12 @@ def verify(words: list[bytes], found: list[dict]) -> tuple[list[int], set[str],
                 best = 1.0
                 kept.append((x["first"], x["after"], label))
         else:
-            here = set(zip(own, own[1:], strict=False))
-            share = sum(p in here for p in zip(template, template[1:], strict=False)) / (len(template) - 1)
-            if share >= COVER:
+            share, first, last = aligned(template, own)
+            span = (x["first"] + first, x["first"] + last + K, label)
+            if share >= COVER and span not in kept:
                 more.add(label)
                 best = max(best, share)
-                kept.append((x["first"], min(x["after"], len(words)), label))
+                kept.append(span)
     return starts, base, more, best, kept
 
 
