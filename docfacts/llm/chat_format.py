@@ -6,7 +6,8 @@ loss flag each; segments joined give the formatted text. Control strings inside
 
 Null texts and roles are empty. Turns stand in the order of turn, role, text (ties and repeated rows stay, side by
 side). Conversations that the machine rejects are formatted too, with the place of the first fault. A null conv_id is a
-conversation of its own; further columns are left alone; no rows give no conversations.
+conversation of its own; further columns are left alone; no rows give no conversations. A conversation is one row, so
+its texts, however long, are held in one task; nothing is cut.
 """
 
 from __future__ import annotations
@@ -102,7 +103,8 @@ def format_chats(conversations: DataFrame, template: Template | None = None) ->
 
 
 def read_back(formatted: DataFrame, template: Template | None = None) -> DataFrame:
-    """conv_id, turns (role, text) read from the formatted text, loss_text from the segments, both unescaped."""
+    """conv_id, turns (role, text) read from the formatted text, loss_text from the segments, both unescaped; formatted,
+    valid and first_fault as they were."""
     t = template or Template()
 
     def quoted(s: str) -> str:
@@ -120,4 +122,6 @@ def read_back(formatted: DataFrame, template: Template | None = None) -> DataFra
         F.transform(parts, turn).alias("turns"),
         F.array_join(F.transform(learned, lambda s: unescape(s["text"], t)), "").alias("loss_text"),
         "formatted",
+        "valid",
+        "first_fault",
     )

@@ -86,7 +86,8 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("</s>[INST] ok [/INST]").alias("text"),
     )
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    back = chat_format.read_back(chat_format.format_chats(rows))
+    made = chat_format.format_chats(rows)
+    back = chat_format.read_back(made)
     joined = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(
         "conv_id",
@@ -95,6 +96,8 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("loss_text").cast("long").alias("loss_chars"),
         F.sha2(F.col("loss_text").cast("binary"), 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
+        "valid",
+        "first_fault",
     )
 
 
@@ -132,16 +135,25 @@ def _escaped(column: str) -> str:
     return out
 
 
+def _moves() -> str:
+    """The machine's moves, each as 'state>role'; its states but the first are named after the role that leads there."""
+    return ", ".join(f"'{state}>{role}'" for state, by in chat_format.Template().machine.items() for role in by)
+
+
 ORACLE: dict[str, str] = {
     "op5_decontamination": f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark),
         win AS (SELECT DISTINCT item, least({decontaminate.WINDOW}, len(w)) AS n, unnest(list_transform(range(1, greatest(len(w) - {decontaminate.WINDOW}, 0) + 2), lambda i: array_to_string(w[i:i + {decontaminate.WINDOW - 1}], ' '))) AS g FROM b WHERE len(w) > 0),
-        at AS (SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS p, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS g FROM d, (SELECT DISTINCT n FROM win) WHERE len(w) >= n),
-        hit AS (SELECT doc_id, p, n, item FROM at JOIN win USING (n, g)),
+        places AS (SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS p, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS g FROM d, (SELECT DISTINCT n FROM win) WHERE len(w) >= n),
+        hit AS (SELECT doc_id, p, n, item FROM places JOIN win USING (n, g)),
         cov AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS x FROM hit) GROUP BY doc_id),
         its AS (SELECT doc_id, list_sort(list(DISTINCT item)) AS items FROM hit GROUP BY doc_id)
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, CAST(coalesce(len(items), 0) AS BIGINT) AS n_items, sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-        FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id)""".replace(" at AS", " places AS").replace("FROM at JOIN", "FROM places JOIN"),
-    "op9_chat_formatting": f"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
-        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256, CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
-        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(length('{"".join((chat_format.Template().turn, chat_format.Template().text, chat_format.Template().end))}') + length({_escaped("role")}) + length({_escaped("text")})) AS BIGINT) AS formatted_chars FROM c GROUP BY conv_id""",
+        FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id)""",
+    "op9_chat_formatting": f"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+        n AS (SELECT conv_id, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS i FROM c),
+        m AS (SELECT conv_id, i, coalesce(lag(role) OVER (PARTITION BY conv_id ORDER BY i), 'start') || '>' || role AS move FROM n),
+        f AS (SELECT conv_id, CAST(min(i) AS INTEGER) AS first_fault FROM m WHERE move NOT IN ({_moves()}) GROUP BY conv_id),
+        d AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256, CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(length('{"".join((chat_format.Template().turn, chat_format.Template().text, chat_format.Template().end))}') + length({_escaped("role")}) + length({_escaped("text")})) AS BIGINT) AS formatted_chars FROM c GROUP BY conv_id)
+        SELECT d.*, first_fault IS NULL AS valid, first_fault FROM d LEFT JOIN f USING (conv_id)""",
 }

@@ -437,6 +437,28 @@ def test_notice_with_a_word_more(spark):
     assert got["labels"] == "bsd" and got["base_labels"] == "" and got["score"] > 0.7
 
 
+def test_pairs_of_a_notice_set_apart_are_no_notice(spark):
+    notice = next(iter(license_scan.NOTICES)).split()
+    apart = " ".join(f"{a} {b} and then words of its own {k}" for k, (a, b) in enumerate(zip(notice, notice[1:], strict=False)))
+    turned = " ".join(f"{a} {b}" for a, b in reversed(list(zip(notice[::2], notice[1::2], strict=False))))
+    rows = [(1, apart), (2, turned), (3, "so " * 9 + " ".join(notice) + " so" * 9), (4, " ".join(notice[4:])), (5, None)]
+    got = {r["doc_id"]: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[k]["labels"] for k in (1, 2, 3, 4, 5)] == ["", "", "mit", "mit", ""]
+    assert [tuple(x) for x in got[3]["spans"]] == [(9, 9 + len(notice), "mit")] and got[3]["score"] == 1.0
+
+
+def test_alignment_is_a_longest_common_subsequence():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        a, b = ([bytes([97 + k]) for k in rng.integers(0, 3, rng.integers(2, 10))] for _ in range(2))
+        x, y = list(zip(a, a[1:], strict=False)), list(zip(b, b[1:], strict=False))
+        t = np.zeros((len(x) + 1, len(y) + 1), int)
+        for i in range(len(x)):
+            for j in range(len(y)):
+                t[i + 1, j + 1] = t[i, j] + 1 if x[i] == y[j] else max(t[i, j + 1], t[i + 1, j])
+        assert round(license_scan.aligned(a, b)[0] * len(x)) == t[-1, -1]
+
+
 # HTML
 
 
@@ -546,3 +568,12 @@ def test_chat_round_trip(spark):
     valid = {r["conv_id"]: (r["valid"], r["first_fault"]) for r in made.collect()}
     assert valid == {1: (True, None), 2: (False, 0), 3: (False, 0), None: (False, 0)}
     assert chat_format.format_chats(chats.limit(0)).count() == 0
+
+
+def test_long_chats_keep_every_character(spark):
+    text = "a [INST] b\\\\ <|end|>\n" * 40_000
+    rows = [(1, t, "user" if t % 2 == 0 else "assistant", text + str(t)) for t in range(6)]
+    made = chat_format.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = chat_format.read_back(made).first()
+    assert [t["text"] for t in got["turns"]] == [r[3] for r in rows] and got["valid"]
+    assert got["loss_text"] == "".join(r[3] for r in rows[1::2])
