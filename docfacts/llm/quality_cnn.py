@@ -5,8 +5,9 @@ and cover the whole text. Bytes are embedded, with one more channel that tells w
 before in the same cell; learned filters WIDTH bytes wide run over them every STEP bytes, each filter's response is averaged within a chunk, the largest chunk counts (max-pooling), and a logistic layer combines the
 filters into one probability.
 
-Null and empty texts are scored by the bias alone. Equal texts get equal scores; further columns are left alone; with
-no labelled rows the network keeps its first weights and scores every text 0.5.
+Null and empty texts are scored by the bias alone. Equal texts get equal scores; ties between labels of an id go to the
+smaller one; further columns are left alone; an empty table gives an empty result; with no labelled rows the network
+keeps its first weights and scores every text 0.5. A long text is worked on in runs of BLOCK bytes, all of them.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import labelled_sample, map_arrow
@@ -46,9 +47,10 @@ class Network:
             np.zeros(FILTERS + 1, np.float32),
         )
 
-    def cells(self, raw: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """raw: whole cells of bytes and WIDTH - STEP more; live: bytes in each cell. The summed responses of each
-        cell, and what the backward pass needs."""
+    def cells(self, raw: np.ndarray, live: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """raw: whole cells of bytes and WIDTH - STEP more; live: bytes in each cell; last: whether a cell is the last
+        of its text, so that no filter looks into the next text. The summed responses of each cell, and what the
+        backward pass needs."""
         e = self.embed[raw]
         e[raw == 0] = 0
         n = (len(raw) - (WIDTH - STEP)) // STEP
@@ -58,6 +60,7 @@ class Network:
             + [again[k : k + n, None] for k in range(WIDTH // STEP)],
             1,
         )
+        x[beyond(last), STEP * EMBED : WIDTH * EMBED] = 0
         y = np.maximum(x @ self.filters + self.bias, 0)
         mask = np.arange(_AT)[None, :] * STEP < live[:, None]
         y = y.reshape(-1, _AT, FILTERS) * mask[:, :, None]
@@ -83,9 +86,10 @@ class Network:
 
     def _pool(self, texts: list[bytes], which: list[int], out: np.ndarray) -> None:
         raw, live, first = layout([texts[i] for i in which])
-        sums = np.concatenate(
-            [self.cells(raw[a : min(a + BLOCK, len(raw) - WIDTH + STEP) + WIDTH - STEP], live[a // CELL : (a + BLOCK) // CELL])[0] for a in range(0, len(raw) - WIDTH + STEP, BLOCK)]
-        )
+        last = last_cells(first)
+        size = len(raw) - WIDTH + STEP
+        runs = [(a, min(a + BLOCK, size)) for a in range(0, size, BLOCK)]
+        sums = np.concatenate([self.cells(raw[a : z + WIDTH - STEP], live[a // CELL : z // CELL], last[a // CELL : z // CELL])[0] for a, z in runs])
         means, _ = chunk_means(sums, live, first)
         out[which] = np.maximum.reduceat(means, first[:-1])
 
@@ -112,6 +116,17 @@ def layout(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(joined, np.uint8), np.clip(np.repeat(length, n) - inside * CELL, 0, CELL), first
 
 
+def last_cells(first: np.ndarray) -> np.ndarray:
+    out = np.zeros(first[-1], bool)
+    out[first[1:] - 1] = True
+    return out
+
+
+def beyond(last: np.ndarray) -> np.ndarray:
+    """Places of the filters whose second half lies behind the end of a text that fills its last cell."""
+    return (np.flatnonzero(last) + 1) * _AT - 1
+
+
 def chunk_means(sums: np.ndarray, live: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Mean response of the chunk that starts at each cell; a text's last cell joins the chunk before it."""
     count = -(-live // STEP).astype(np.float32)
@@ -143,7 +158,8 @@ def train(texts: list[bytes], good: np.ndarray, steps: int = 600, batch: int = 3
         for a in range(0, len(order), batch):
             own = order[a : a + batch]
             raw, live, first = layout([texts[i] for i in own])
-            sums, x, y = net.cells(raw, live)
+            last = last_cells(first)
+            sums, x, y = net.cells(raw, live, last)
             means, n = chunk_means(sums, live, first)
             pooled = np.maximum.reduceat(means, first[:-1])
             d = ((net.probability(pooled) - good[own]) / len(own)).astype(np.float32)
@@ -161,6 +177,7 @@ def train(texts: list[bytes], good: np.ndarray, steps: int = 600, batch: int = 3
             used = np.flatnonzero(np.any(d_y != 0, 1))
             d_y, xs = d_y[used], x[used]
             d_x = (d_y @ net.filters[: WIDTH * EMBED].T).reshape(-1, WIDTH, EMBED)
+            d_x[np.isin(used, beyond(last)), STEP:] = 0
             places = used[:, None] * STEP + np.arange(WIDTH)
             at = raw[places]
             g_embed = np.stack([np.bincount(at.ravel(), d_x[:, :, j].ravel(), 256) for j in range(EMBED)], 1).astype(np.float32)
@@ -173,21 +190,23 @@ def train(texts: list[bytes], good: np.ndarray, steps: int = 600, batch: int = 3
     return net
 
 
-def fit(documents: DataFrame, labels: DataFrame, most_rows: int = 3000, most_bytes: int = 12_000_000, **options) -> Network:
-    """Train on labelled rows in the order of a hash of their ids: at most `most_rows` of them, and as many as fit into
-    `most_bytes` of text. These two bounds hold whatever the size of the tables."""
+def sample(documents: DataFrame, labels: DataFrame, most_rows: int, most_bytes: int) -> DataFrame:
+    """text and quality of labelled rows in the order of a hash of their ids: at most most_rows of them, and the first
+    that fit into most_bytes of text. Both bounds hold before a row leaves the tasks."""
     marked = labelled_sample(labels, most_rows)
-    rows = (
-        documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-        .where(F.octet_length("text") <= most_bytes // 50)
-        .join(F.broadcast(marked), "doc_id")
-        .limit(most_rows)
-        .toPandas()
-    )
-    rows["raw"] = [t.encode("utf-8", "replace") for t in rows["text"]]
-    rows = rows.sort_values(["doc_id", "raw"], kind="stable")
-    fits = rows["raw"].map(len).cumsum() <= most_bytes
-    return train(rows["raw"][fits].tolist(), rows["quality"][fits].to_numpy(float), **options)
+    size = F.coalesce(F.octet_length("text"), F.lit(0))
+    held = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), size.alias("size"), F.xxhash64("text").alias("print"))
+    # a repeated row teaches once; ids are few here, so their rows meet in one place
+    few = held.select("doc_id", "print", "size").join(F.broadcast(marked), "doc_id").groupBy("doc_id", "print").agg(F.first("size").alias("size"), F.first("quality").alias("quality"))
+    line = Window.orderBy(F.xxhash64("doc_id"), "doc_id", "print")
+    few = few.orderBy(F.xxhash64("doc_id"), "doc_id", "print").limit(most_rows).withColumn("sum", F.sum("size").over(line)).where(F.col("sum") <= most_bytes)
+    return held.join(F.broadcast(few.drop("size")), ["doc_id", "print"]).dropDuplicates(["doc_id", "print"]).select("sum", "text", "quality", "doc_id", "print")
+
+
+def fit(documents: DataFrame, labels: DataFrame, most_rows: int = 3000, most_bytes: int = 12_000_000, **options) -> Network:
+    """Train on at most `most_rows` labelled rows and `most_bytes` of text, whatever the size of the tables."""
+    rows = sample(documents, labels, most_rows, most_bytes).toPandas().sort_values(["sum", "doc_id", "print"], kind="stable")
+    return train([t.encode("utf-8", "replace") for t in rows["text"]], rows["quality"].to_numpy(float), **options)
 
 
 def score(documents: DataFrame, net: Network) -> DataFrame:
