@@ -6,7 +6,8 @@ one ordered Spark conditional expression.
 
 Null texts count as empty (all statistics zero), ties keep the first threshold found, repeated rows are judged alike,
 empty tables give empty results, an unlabelled corpus gives an empty list (all kept that pass the base rule), and
-further columns of the input pass through `keep_documents` untouched whatever their names.
+further columns of the input pass through `keep_documents` untouched whatever their names. A very long text is counted
+whole in one task.
 """
 
 from __future__ import annotations
@@ -175,7 +176,8 @@ def _grow(x: dict[str, np.ndarray], bad: np.ndarray, longest: int, steps: int) -
                         best, gain = Condition(name, up, float(t)), g
         if best is None:
             break
-        chosen.append(best)
+        # a tighter threshold on the same side takes the looser one's place
+        chosen = [c for c in chosen if (c.feature, c.at_least) != (best.feature, best.at_least)] + [best]
         inside &= best.holds(x)
     return chosen
 
@@ -225,7 +227,9 @@ def fit(documents: DataFrame, labels: DataFrame, most_rows: int = 20_000, **opti
     marked = labelled_sample(labels, most_rows)
     rows = with_counts(documents.select("doc_id", "text").join(F.broadcast(marked), "doc_id"), "stats")
     x = features("stats")
-    found = rows.select("quality", *[c.alias(k) for k, c in x.items()]).limit(2 * most_rows).toPandas()
+    # of documents that share an id one teaches, so no more rows come than ids
+    one = rows.select("doc_id", F.struct(*[c.alias(k) for k, c in x.items()]).alias("x"), "quality").groupBy("doc_id").agg(F.min("x").alias("x"), F.first("quality").alias("quality"))
+    found = one.orderBy(F.xxhash64("doc_id"), "doc_id").select("quality", "x.*").toPandas()
     return learn({k: found[k].to_numpy(float) for k in x}, found["quality"].to_numpy() == 0, **options)
 
 

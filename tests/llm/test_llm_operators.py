@@ -145,13 +145,60 @@ def test_cnn_is_bounded_and_equal_texts_score_alike(documents, labels, empty):
     assert quality_cnn.score(empty, quality_cnn.fit(empty, labels)).count() == 0
 
 
-def test_cnn_gradient_matches_differences():
+def naive_pooled(net, raw):
+    """Every filter at every STEP bytes of every chunk, one by one."""
+    c, step, width = quality_cnn.CELL, quality_cnn.STEP, quality_cnn.WIDTH
+    n = max(1, -(-len(raw) // c))
+    padded = raw.ljust(n * c, b"\0") + b"\0" * width
+    responses = []
+    for cell in range(n):
+        own = []
+        for at in range(cell * c, min((cell + 1) * c, len(raw)), step):
+            x = [v for k in padded[at : at + width] for v in (net.embed[k] if k else [0.0] * quality_cnn.EMBED)]
+            for k in (at, at + step):
+                start, four = k // c * c, padded[k : k + 4]
+                own_four = k + 4 <= start + c and four != b"\0" * 4 and k < n * c
+                x.append(float(own_four and any(k - lag >= start and padded[k - lag : k - lag + 4] == four for lag in quality_cnn.LAGS)))
+            own.append(np.maximum(np.array(x) @ net.filters + net.bias, 0))
+        responses.append(own)
+    chunks = [responses[i] + responses[i + 1] for i in range(n - 1)] or [responses[0]]
+    return np.max([np.mean(x, 0) if x else np.zeros(quality_cnn.FILTERS) for x in chunks], 0)
+
+
+def test_cnn_against_a_naive_convolution():
+    rng = np.random.default_rng(12)
+    net = quality_cnn.Network.fresh()
+    net.out = rng.normal(0, 1, quality_cnn.FILTERS + 1).astype(np.float32)
+    texts = [b"", b"x", b"hello world " * 40, bytes(rng.integers(32, 127, 1500, dtype=np.uint8)), b"abab" * 64, b"q" * 257, bytes(rng.integers(1, 255, 512, dtype=np.uint8))]
+    got = net.pooled(texts)
+    for k, t in enumerate(texts):
+        assert np.allclose(got[k], naive_pooled(net, t), atol=1e-4), k
+        assert np.allclose(net.pooled([t]), got[k], atol=1e-5)  # whatever stands beside it in the batch
+
+
+def test_cnn_learns_and_its_loss_falls():
     texts, good = [b"hello world, plain text here", b"XX!! YY!! ZZ!! " * 30], np.array([1.0, 0.0])
     net = quality_cnn.train(texts * 8, np.tile(good, 8), steps=60, batch=4)
     p = net.probability(net.pooled(texts))
     assert p[0] > 0.7 and p[1] < 0.3
 
 
+def test_training_sample_is_bounded_before_it_travels(spark):
+    docs = spark.createDataFrame([(i, "x" * (100 if i % 3 else 900)) for i in range(90)] * 2, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, i % 2) for i in range(90)], "doc_id long, quality int")
+    rows = quality_cnn.sample(docs, marks, 40, 8000).collect()
+    assert 5 < len(rows) <= 40 and sum(len(r["text"]) for r in rows) <= 8000
+    assert sorted(r["sum"] for r in rows) == np.cumsum([len(r["text"]) for r in sorted(rows, key=lambda r: r["sum"])]).tolist()
+    assert quality_cnn.sample(docs, marks, 3000, 10**7).count() == 90
+
+
+def test_rules_hold_no_threshold_twice():
+    rng = np.random.default_rng(5)
+    x = {"a": rng.random(3000), "b": rng.random(3000)}
+    for rule in quality_rules.learn(x, x["a"] ** 2 + x["b"] ** 2 < 0.3):
+        assert len({(c.feature, c.at_least) for c in rule.conditions}) == len(rule.conditions)
+
+
 # language ID
 
 
