@@ -18,7 +18,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable, map_arrow
@@ -100,8 +100,9 @@ def links(nodes: DataFrame, fp: str = "fp", tile: int = TILE) -> DataFrame:
     one = F.col(fp)
     keys = F.array(*[F.struct(F.lit(i).cast("byte").alias("choice"), one.bitwiseAND(F.lit(m)).alias("part")) for i, m in enumerate(_masks())])
     filed = nodes.select(one.alias("fp"), F.explode(keys).alias("k")).select("fp", "k.choice", "k.part")
-    crowd = Window.partitionBy("choice", "part")
-    filed = filed.withColumn("n", F.count("*").over(crowd)).where("n > 1")
+    # counted and joined back, so that a crowded file can be split over tasks
+    crowd = filed.groupBy("choice", "part").agg(F.count("*").alias("n")).where("n > 1")
+    filed = filed.join(crowd, ["choice", "part"])
     # A file of n fingerprints has c parts by hash; every two parts meet in one tile, with c = 1 all in tile (0, 0).
     c = F.ceil(F.col("n") / tile).cast("int")
     own = F.pmod(F.xxhash64("fp"), c).cast("int")
