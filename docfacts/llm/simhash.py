@@ -78,7 +78,7 @@ def _masks() -> list[int]:
 
 def forest(fps: np.ndarray, distance: int = DISTANCE) -> tuple[np.ndarray, np.ndarray]:
     """Links (a, b) of a spanning forest over all pairs within the distance; each fingerprint is looked at once."""
-    left, a, b = np.unique(fps), [], []
+    left, a, b = np.unique(fps).view(np.uint64), [], []  # unsigned: numpy counts the bits of absolute values
     while len(left):
         queue, left = [left[:1]], left[1:]
         while queue and len(left):
@@ -92,7 +92,7 @@ def forest(fps: np.ndarray, distance: int = DISTANCE) -> tuple[np.ndarray, np.nd
                     queue.append(hit)
                     left = left[~near]
     none = np.zeros(0, np.int64)
-    return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
+    return (np.concatenate(a).view(np.int64), np.concatenate(b).view(np.int64)) if a else (none, none)
 
 
 def links(nodes: DataFrame, fp: str = "fp", tile: int = TILE) -> DataFrame:
