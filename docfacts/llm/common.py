@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,6 +63,29 @@ def labelled_sample(labels: DataFrame, most_rows: int) -> DataFrame:
     return marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
 
 
+#: Bits of a bitmap for each value it holds, as long as there are few.
+BITS_EACH = 64
+
+
+class Bitmap:
+    """Which hashes (a column h) may be among those given; bounded, so wrong (as yes, never as no) the more often the more there are."""
+
+    def __init__(self, hashes: DataFrame, most_bits: int) -> None:
+        n = hashes.count()
+        self.bits = min(most_bits, 1 << max(16, (BITS_EACH * n - 1).bit_length()))
+        at = F.pmod("h", F.lit(self.bits)) + 1  # Spark's bitmaps count from 1
+        parts = hashes.groupBy(F.bitmap_bucket_number(at).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+        self.raw = np.zeros(self.bits // 8, np.uint8)
+        for r in parts.collect():
+            own = np.frombuffer(bytes(r["bits"]), np.uint8)
+            start = (r["part"] - 1) * len(own)
+            self.raw[start : start + len(own)] = own[: len(self.raw) - start]
+
+    def holds(self, h: np.ndarray) -> np.ndarray:
+        at = h.view(np.uint64) & np.uint64(self.bits - 1)
+        return (self.raw[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+
 def plain_words(text: str) -> list[bytes]:
     """Lower-cased words: ASCII letters and digits and all characters beyond ASCII."""
     return text.encode("utf-8", "replace").translate(WORD_TABLE).split()

@@ -26,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, fresh, map_arrow, plain_words
+from .common import Bitmap, durable, fresh, map_arrow, plain_words
 
 WINDOW, SHINGLE = 13, 3
-#: Bits of a bitmap for each shingle it holds, and altogether (16 MB).
-BITS_EACH, MOST_BITS = 64, 1 << 27
+#: Bits of a bitmap at most (16 MB).
+MOST_BITS = 1 << 27
 #: Windows of an item that a task holds at a time.
 PART = 20_000
 
@@ -75,25 +75,6 @@ def windows(items: DataFrame) -> DataFrame:
     return rows.groupBy("window").agg(F.first("n").alias("n"), F.first("hashes").alias("hashes"), F.array_sort(F.collect_set("item_id")).alias("items"))
 
 
-class Bitmap:
-    """Which hashes may be among those given; bounded, so wrong (as yes, never as no) the more often the more there are."""
-
-    def __init__(self, hashes: DataFrame, most_bits: int = MOST_BITS) -> None:
-        n = hashes.count()
-        self.bits = min(most_bits, 1 << max(16, (BITS_EACH * n - 1).bit_length()))
-        at = F.pmod("h", F.lit(self.bits)) + 1  # Spark's bitmaps count from 1
-        parts = hashes.groupBy(F.bitmap_bucket_number(at).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
-        self.raw = np.zeros(self.bits // 8, np.uint8)
-        for r in parts.collect():
-            own = np.frombuffer(bytes(r["bits"]), np.uint8)
-            start = (r["part"] - 1) * len(own)
-            self.raw[start : start + len(own)] = own[: len(self.raw) - start]
-
-    def holds(self, h: np.ndarray) -> np.ndarray:
-        at = h.view(np.uint64) & np.uint64(self.bits - 1)
-        return (self.raw[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
-
-
 def count_shingles(documents: DataFrame, wanted: Bitmap, sizes: list[int]) -> DataFrame:
     """h, seen: how often shingles that may be in the benchmark stand in all documents."""
     sent = documents.sparkSession.sparkContext.broadcast(wanted)  # MOST_BITS at most

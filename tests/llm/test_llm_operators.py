@@ -289,6 +289,18 @@ def test_links_over_crowded_tiles(spark):
         assert {f: found.get(f, f) for f in fps} == want
 
 
+def test_links_that_differ_in_the_sign_bit(spark):
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        x = int(rng.integers(-(2**63), 2**63 - 1))
+        y = (x ^ (1 << 63) ^ (1 << int(rng.integers(0, 63)))) % 2**64
+        y -= (y >> 63) << 64
+        a, b = simhash.forest(np.array([x, y], np.int64))
+        assert {int(a[0]), int(b[0])} == {x, y}
+    nodes = spark.createDataFrame([(5,), (5 - 2**63,), (0xFFFF << 40,)], "fp long")
+    assert {tuple(sorted(r)) for r in simhash.links(nodes).collect()} == {(5 - 2**63, 5)}
+
+
 def test_components_of_a_chain_and_a_star(spark):
     chain = [(i, i + 1) for i in range(100, 140)] + [(7, k) for k in range(8, 60)]
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(chain, "a long, b long")).collect()}
