@@ -110,7 +110,7 @@ def split_subsections(df: DataFrame, text: str = "text", least: int = 30) -> Dat
     rest = [c for c in df.columns if c != text]
     parts = df.select(*rest, F.posexplode(F.split(text, rf"(?={head})(?<!DN[A-Z]{{2}}\s{{1,9}})")).alias("chunk_no", "chunk"))
     number = found(F.trim("chunk"), r"^(?:DN[A-Z]{2}\s+)?AD\s+([23]\.\d{1,2})\b")
-    return parts.withColumn("chunk", F.trim("chunk")).withColumn("subsection", number).where(F.col("subsection").isNotNull() & (F.length("chunk") > least))
+    return parts.withColumn("chunk", F.regexp_replace("chunk", r"^\s+|\s+$", "")).withColumn("subsection", number).where(F.col("subsection").isNotNull() & (F.length("chunk") > least))
 
 
 def pack_sections(df: DataFrame, text: str = "text", limit: int = 7500, heading: str = r"(?m)^(?=\s*2\.22\.\d+\b)") -> DataFrame:

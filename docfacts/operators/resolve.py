@@ -47,6 +47,7 @@ SECTION_TERMS = (
     ("AD 2.3", r"(?i)\b(operational\s+hours?|hours\s+of\s+operation|opening\s+hours?|customs|immigration|health\s+and\s+sanitation|ats\s+reporting|\baro\b|ais\s+briefing)\b"),
     ("AD 2.2", r"(?i)\b(arp\b|aerodrome\s+reference\s+point|magnetic\s+variation|mag\s*var|reference\s+temperature|aftn|geoid\s+undulation|aerodrome\s+(?:administration|operator))\b"),
 )
+# Fixed value: what asks for a place in the publication.
 STRUCTURE_QUESTION = r"(?i)\bwhich\s+(part|section|chapter)\b|\bwhat\s+(part|section|chapter)\b|\b(part|section|chapter)\s+of\s+the\s+aip\b|\bwhere\s+in\s+the\s+aip\b|\bwhere\s+(would|do|can|could|should)\s+i\s+find\b"
 
 
@@ -167,12 +168,12 @@ def detect_subsection(question: Column) -> Column:
 
 
 def toc_lookup(questions: DataFrame, toc: DataFrame) -> DataFrame:
-    """questions with reference and title of the first toc entry (rank, keyword, reference, title) one of whose keywords
-    they hold; null if they do not ask for structure. toc is a table of contents, a few hundred rows."""
-    rows = toc.orderBy("rank", "keyword").select("rank", "keyword", "reference", "title").limit(2000)
-    listed = rows.groupBy().agg(F.array_sort(F.collect_list(F.struct("rank", "keyword", "reference", "title"))).alias("_toc"))
-    asks = F.col("question").rlike(STRUCTURE_QUESTION)
-    low = F.concat(F.lit(" "), F.lower("question"), F.lit(" "))
-    first = F.get(F.filter("_toc", lambda t: F.contains(low, t["keyword"])), F.lit(0))
-    q = questions.withColumn("_one", F.lit(1)).join(F.broadcast(listed.withColumn("_one", F.lit(1))), "_one", "left")
-    return q.withColumn("_t", F.when(asks, first)).withColumns({"reference": F.col("_t.reference"), "title": F.col("_t.title")}).drop("_one", "_toc", "_t")
+    """questions with reference and title of the first toc entry (rank, keyword, reference, title) whose keyword they
+    hold as whole words; null if they do not ask for structure. Questions meet keywords by an equi-join over word runs,
+    however many there are. questions(query_id, question)."""
+    keys = toc.select(F.col("keyword").alias("alias"), F.struct("rank", "keyword", "reference", "title").alias("entry")).withColumn("run", normalised(F.col("alias")))
+    longest = toc.agg(F.max(F.size(F.split(normalised(F.col("keyword")), " ")))).first()[0] or 1
+    asked = questions.where(F.col("question").rlike(STRUCTURE_QUESTION))
+    hits = word_runs(asked, "query_id", "question", longest).join(keys.where("run <> ''"), "run")
+    first = hits.groupBy("query_id").agg(F.min("entry").alias("_t"))
+    return questions.join(first, "query_id", "left").withColumns({"reference": F.col("_t.reference"), "title": F.col("_t.title")}).drop("_t")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -31,17 +33,18 @@ BLOCK_ROWS, BLOCK_QUERIES = 4096, 1024
 
 
 def _blocks(df: DataFrame, keys: list[str], ids: list[str], size: int, name: str) -> DataFrame:
-    """Blocks of about size rows of each group: the ids as arrays in their order, the vectors as one flat array."""
+    """Blocks of about size rows of each group: the ids as arrays in their order, the vectors as one flat array, the
+    block's number and how many the group has."""
     n = df.groupBy(*keys).agg(F.ceil(F.count("*") / size).cast("int").alias("_n"))
     dealt = df.join(n, keys).withColumn("_b", F.pmod(F.xxhash64(*ids), F.col("_n")).cast("int"))
     one = F.array_sort(F.collect_list(F.struct(*ids, "embedding")))
-    packed = dealt.groupBy(*keys, F.col("_b").alias(f"{name}_no")).agg(one.alias("_a"))
+    packed = dealt.groupBy(*keys, F.col("_b").alias(f"{name}_no"), F.col("_n").alias(f"{name}_count")).agg(one.alias("_a"))
 
     def column(c: str) -> Column:
         return F.transform("_a", lambda x: x[c]).alias(f"{name}_{c}")
 
     cols = [column(c) for c in ids]
-    return packed.select(*keys, f"{name}_no", *cols, F.flatten(F.transform("_a", lambda x: x["embedding"])).alias(f"{name}_v"))
+    return packed.select(*keys, f"{name}_no", f"{name}_count", *cols, F.flatten(F.transform("_a", lambda x: x["embedding"])).alias(f"{name}_v"))
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -50,41 +53,62 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
 
 
-def nearest(queries: DataFrame, rows: DataFrame, keys: list[str], query_key: list[str], ties: list[str], k: int, same: str | None = None) -> DataFrame:
+def nearest(
+    queries: DataFrame, rows: DataFrame, keys: list[str], query_key: list[str], ties: list[str], k: int, same: str | None = None,
+    tier: tuple[list[str], Callable[[tuple, dict[str, np.ndarray]], np.ndarray]] | None = None,
+) -> DataFrame:
     """The k nearest rows of the same keys for each query, by exact blocked products: keys, query_key, ties, similarity,
-    rank. With `same`, a query that has a value in that column only meets rows that have it too (a tie column).
+    rank. With `same`, a query that has a value in that column only meets rows that have it too (a tie column). With
+    `tier` (query columns, and a function of a query's values and the rows' tie columns that numbers the rows), rows of a
+    smaller number come first, whatever their similarity.
 
-    A group's rows are cut into blocks of bounded size, as are its queries; every two blocks meet in one task, which
-    returns the k best of each query, so a hot group spreads over many tasks and nothing returns all pairs. Ties in
+    A group's rows are cut into blocks of bounded size, as are its queries; every two blocks are sent to one group of
+    their own, which returns the k best of each query, so a hot group spreads over many tasks and nothing returns all
+    pairs. Ties in
     similarity go by the tie columns, which tell rows apart. All vectors of a group have one width."""
-    asked = [*query_key, *([same] if same else [])]
+    asked = [*query_key, *([same] if same else []), *(tier[0] if tier else [])]
     q = _blocks(queries.select(*keys, *asked, "embedding"), keys, asked, BLOCK_QUERIES, "q")
     r = _blocks(rows.select(*keys, *ties, "embedding"), keys, ties, BLOCK_ROWS, "r")
     kinds = dict(queries.dtypes) | dict(rows.dtypes)
-    schema = ", ".join(f"{c} {kinds[c]}" for c in [*keys, *query_key, *ties]) + ", similarity double"
+    schema = ", ".join(f"{c} {kinds[c]}" for c in [*keys, *query_key, *ties]) + ", tier int, similarity double"
 
-    def meet(frame: pd.DataFrame) -> pd.DataFrame:
+    def meet(x) -> pd.DataFrame:
         out = []
-        for _, x in frame.iterrows():
-            a = _unit(np.asarray(x["q_v"], float).reshape(len(x[f"q_{query_key[0]}"]), -1))
-            b = _unit(np.asarray(x["r_v"], float).reshape(len(x[f"r_{ties[0]}"]), -1))
-            for at in range(0, len(a), 256):
-                s = np.round(a[at : at + 256] @ b.T, 12)
-                if same:
-                    held = np.asarray(x[f"r_{same}"], object)
-                    for row, wanted in enumerate(x[f"q_{same}"][at : at + 256]):
-                        if wanted is not None:
-                            s[row, held != wanted] = -np.inf
-                best = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                i, j = np.repeat(np.arange(len(s)), best.shape[1]), best.ravel()
-                i, j = i[s[i, j] > -np.inf], j[s[i, j] > -np.inf]
-                got = {c: x[c] for c in keys} | {c: np.asarray(x[f"q_{c}"])[at + i] for c in query_key} | {c: np.asarray(x[f"r_{c}"])[j] for c in ties}
-                out.append(pd.DataFrame(got | {"similarity": s[i, j]}))
+        a = _unit(np.asarray(x["q_v"], float).reshape(len(x[f"q_{query_key[0]}"]), -1))
+        b = _unit(np.asarray(x["r_v"], float).reshape(len(x[f"r_{ties[0]}"]), -1))
+        held = {c: np.asarray(x[f"r_{c}"], object) for c in ties}
+        for at in range(0, len(a), 256):
+            s = np.round(a[at : at + 256] @ b.T, 12)
+            if same:
+                for row, wanted in enumerate(x[f"q_{same}"][at : at + 256]):
+                    if wanted is not None:
+                        s[row, held[same] != wanted] = -np.inf
+            level = np.zeros(s.shape, np.int32)
+            if tier:
+                for row in range(len(s)):
+                    level[row] = tier[1](tuple(x[f"q_{c}"][at + row] for c in tier[0]), held)
+            # similarities lie within 1 of 0, so a level outweighs them
+            best = np.argsort(4.0 * level - s, axis=1, kind="stable")[:, :k]
+            i, j = np.repeat(np.arange(len(s)), best.shape[1]), best.ravel()
+            i, j = i[s[i, j] > -np.inf], j[s[i, j] > -np.inf]
+            got = {c: x[c] for c in keys} | {c: np.asarray(x[f"q_{c}"])[at + i] for c in query_key} | {c: held[c][j] for c in ties}
+            out.append(pd.DataFrame(got | {"tier": level[i, j], "similarity": s[i, j]}))
         return pd.concat(out)
 
-    hits = q.join(r, keys).groupBy(*keys, "q_no", "r_no").applyInPandas(meet, schema)
-    order = Window.partitionBy(*query_key).orderBy(F.desc("similarity"), *ties)
-    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    def run(ours: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
+        if ours.empty or theirs.empty:
+            return pd.DataFrame(columns=[*keys, *query_key, *ties, "tier", "similarity"])
+        return meet({**ours.iloc[0], **theirs.iloc[0]})
+
+    def dealt(own: DataFrame, name: str, other: DataFrame, other_name: str) -> DataFrame:
+        counts = other.select(*keys, f"{other_name}_count").distinct()
+        every = F.explode(F.sequence(F.lit(0), F.col(f"{other_name}_count") - 1)).alias(f"{other_name}_no")
+        return own.join(counts, keys).select("*", every).drop(f"{other_name}_count")
+
+    pair = [*keys, "q_no", "r_no"]
+    hits = dealt(q, "q", r, "r").groupBy(*pair).cogroup(dealt(r, "r", q, "q").groupBy(*pair)).applyInPandas(run, schema)
+    order = Window.partitionBy(*query_key).orderBy("tier", F.desc("similarity"), *ties)
+    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("tier")
 
 
 def search_attempts(queries: DataFrame) -> DataFrame:
@@ -99,13 +123,19 @@ def search_attempts(queries: DataFrame) -> DataFrame:
 
 def topk_chunks(queries: DataFrame, chunks: DataFrame, k: int = 15) -> DataFrame:
     """query_id, attempt, chunk_id, similarity, rank. queries(query_id, attempt, part, reference, procedure_type, runway,
-    embedding) meet chunks of the same part and reference; chunks of the procedure and runway asked for come first."""
-    q = queries.select("query_id", "attempt", "part", "reference", F.col("procedure_type").alias("_p"), F.col("runway").alias("_r"), F.col("embedding").alias("_v"))
-    j = q.join(chunks, ["part", "reference"])
-    tier = lambda asked, hit: F.when((F.coalesce(asked, F.lit("")) == "") | F.coalesce(hit, F.lit(False)), 0).otherwise(1)
-    j = j.withColumns({"similarity": cosine_similarity(F.col("_v"), F.col("embedding")), "_t1": tier(F.col("_p"), F.contains(F.lower("procedure_type"), F.lower("_p"))), "_t2": tier(F.col("_r"), F.col("runway") == F.col("_r"))})
-    order = Window.partitionBy("query_id", "attempt").orderBy("_t1", "_t2", F.desc_nulls_last("similarity"), "chunk_id")
-    return j.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "attempt", "chunk_id", "similarity", "rank")
+    embedding) meet chunks of the same part and reference; chunks of the procedure and runway asked for come first.
+    Chunks without a vector never match."""
+
+    def level(asked: tuple, rows: dict[str, np.ndarray]) -> np.ndarray:
+        procedure, runway = ((x or "") for x in asked)
+        other = np.array([procedure.lower() not in (p or "").lower() for p in rows["procedure_type"]]) if procedure else 0
+        away = np.array([r != runway for r in rows["runway"]]) if runway else 0
+        return 2 * other + away
+
+    q = queries.withColumnsRenamed({"procedure_type": "asked_procedure", "runway": "asked_runway"})
+    held = chunks.where("embedding is not null")
+    hits = nearest(q, held, ["part", "reference"], ["query_id", "attempt"], ["chunk_id", "procedure_type", "runway"], k, tier=(["asked_procedure", "asked_runway"], level))
+    return hits.select("query_id", "attempt", "chunk_id", "similarity", "rank")
 
 
 def gated_search(hits: DataFrame, queries: DataFrame, threshold: float = 0.40) -> DataFrame:

@@ -15,9 +15,9 @@ PAGE_HEIGHT = 2000.0
 
 def assign_section(pages: DataFrame, sections: DataFrame, most_sections: int = 5000) -> DataFrame:
     """pages with section_id and kind of the section whose page range holds them, else null; of several the one with
-    the smallest seq. A section table of up to most_sections rows is broadcast as a range join; a larger one is spread
-    over its pages and joined by page."""
-    s = sections.select(F.col("doc_id").alias("_d"), "section_id", "kind", "start_page", "end_page", "seq")
+    the smallest seq; a range that ends before it starts holds none. A section table of up to most_sections rows is
+    broadcast as a range join; a larger one is spread over its pages and joined by page, with the same result."""
+    s = sections.select(F.col("doc_id").alias("_d"), "section_id", "kind", "start_page", "end_page", "seq").where("start_page <= end_page")
     if s.limit(most_sections + 1).count() <= most_sections:
         on = (F.col("doc_id") == F.col("_d")) & F.col("page").between(F.col("start_page"), F.col("end_page"))
         hits = pages.select("doc_id", "page").distinct().join(F.broadcast(s), on)

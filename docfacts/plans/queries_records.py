@@ -8,21 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import charts, chunks, evaluate, extract, facts, log, resolve, retrieve, structure, verify
 from ..sources import tables as src
+from .catalog import query, table
 from .queries_search import LOG, event_log
-from .queries_text import LINES, table
-
-QUERIES, ORACLE = {}, {}
-
-
-def query(sql: str | None = None):
-    def add(fn):
-        QUERIES[fn.__name__] = fn
-        if sql:
-            ORACLE[fn.__name__] = sql
-        return fn
-
-    return add
-
+from .queries_text import LINES
 
 def two(c, n: int = 2):
     return F.lpad(c.cast("string"), n, "0")
@@ -101,14 +89,16 @@ def positional_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {LINES}, b AS (SELECT l.doc_id, line_no, trim(l.text) AS body FROM lines l WHERE NOT regexp_matches(l.text, '\\d\\.\\d+\\.\\d') AND length(trim(l.text)) >= 12 AND l.doc_id NOT IN (SELECT doc_id FROM lines WHERE regexp_matches(text, '\\d\\.\\d+\\.\\d|  |\\t')))
+    """WITH lines AS (SELECT doc_id, unnest(range(len(l))) AS line_no, unnest(l) AS text FROM (SELECT doc_id, string_split(regexp_replace(regexp_replace(text, '[ \\t]+', ' ', 'g'), '(\\d)\\.(\\d)', '\\1,\\2', 'g'), chr(10)) AS l FROM documents WHERE text IS NOT NULL)),
+    b AS (SELECT doc_id, line_no, trim(text) AS body FROM lines WHERE length(trim(text)) >= 12)
     SELECT CAST(doc_id AS VARCHAR) AS scope_id, '2.22.' || line_no AS entity, 'Heading' AS label, CASE WHEN length(body) > 1200 THEN regexp_replace(substr(body, 1, 1200), ' [^ ]*$', '') || ' …' ELSE body END AS fact_value FROM b"""
 )
 def text_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """D3: one fact for each numbered heading with a body, cut at a blank where it is long."""
-    d = table(spark, sf_dir, "documents").where(~F.col("text").rlike(r"\d\.\d+\.\d|  |\t"))
-    numbered = F.array_join(F.transform(F.split("text", "\n"), lambda line, i: F.concat(F.lit("2.22."), i.cast("string"), F.lit(" Heading\n"), line)), "\n")
-    t = d.select(F.lit("AD").alias("scope_kind"), F.col("doc_id").cast("string").alias("scope_id"), F.lit("x").alias("scope_name"), F.lit("2.22").alias("subsection"), numbered.alias("text"))
+    """D3: one fact for each numbered heading with a body, cut at a blank where it is long. Every line of every document
+    is a body; runs of blanks are one blank, and dots within numbers commas, so that no line is a heading itself."""
+    plain = F.regexp_replace(F.regexp_replace("text", r"[ \t]+", " "), r"(\d)\.(\d)", "$1,$2")
+    numbered = F.array_join(F.transform(F.split(plain, "\n"), lambda line, i: F.concat(F.lit("2.22."), i.cast("string"), F.lit(" Heading\n"), line)), "\n")
+    t = table(spark, sf_dir, "documents").select(F.lit("AD").alias("scope_kind"), F.col("doc_id").cast("string").alias("scope_id"), F.lit("x").alias("scope_name"), F.lit("2.22").alias("subsection"), numbered.alias("text"))
     return facts.facts_from_text(t).where("entity <> ''").select("scope_id", "entity", "label", "fact_value")
 
 
@@ -127,17 +117,16 @@ def entity_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH w AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+'), lambda x: regexp_full_match(x, '[a-z]{4,}'))) AS w FROM benchmark), j AS (SELECT q.item_id AS query_id, e.item_id AS excerpt_no, len(list_intersect(q.w, e.w)) AS overlap FROM w q JOIN w e ON q.item_id // 10 = e.item_id // 10 AND q.item_id <> e.item_id)
+    """WITH w AS (SELECT DISTINCT item_id, unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+')) AS word FROM benchmark), k AS (SELECT * FROM w WHERE regexp_full_match(word, '[a-z]{4,}')),
+    j AS (SELECT q.item_id AS query_id, e.item_id AS excerpt_no, count(*) AS overlap FROM k q JOIN k e USING (word) WHERE q.item_id % 20 = 0 AND q.item_id <> e.item_id GROUP BY ALL)
     SELECT query_id, excerpt_no, overlap FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY overlap DESC, excerpt_no) AS n FROM j) WHERE n = 1"""
 )
 def best_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """the excerpt that shares most words with a query (of the ten items around it)."""
+    """of all items the one that shares most words with a query."""
     b = table(spark, sf_dir, "benchmark")
-    near = F.explode(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.floor(F.col("item_id") / 10) * 10 + i)).alias("excerpt_no")
-    pairs = b.select(F.col("item_id").alias("query_id"), near).where("query_id <> excerpt_no")
-    e = pairs.join(b.select(F.col("item_id").alias("excerpt_no"), F.col("text").alias("content")), "excerpt_no").withColumn("similarity", F.lit(0.0))
-    q = b.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return verify.best_excerpt(q, e).select("query_id", "excerpt_no", F.col("overlap").cast("long").alias("overlap"))
+    e = b.select(F.col("item_id").alias("excerpt_no"), F.col("text").alias("content"))
+    shared = verify.shared_words(b.where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), e)
+    return verify.best_of(shared.where("query_id <> excerpt_no").withColumn("similarity", F.lit(0.0))).select("query_id", "excerpt_no", "overlap")
 
 
 @query(

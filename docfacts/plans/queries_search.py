@@ -8,20 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import evaluate, log, resolve, retrieve, route, verify
 from ..streaming.stateful import health_alerts
 from ..streaming.updates import log_windows as windows
-from .queries_text import table
-
-QUERIES, ORACLE = {}, {}
-
-
-def query(sql: str | None = None):
-    def add(fn):
-        QUERIES[fn.__name__] = fn
-        if sql:
-            ORACLE[fn.__name__] = sql
-        return fn
-
-    return add
-
+from .catalog import query, table
 
 COS = "list_cosine_similarity(CAST({} AS DOUBLE[]), CAST({} AS DOUBLE[]))"
 
@@ -64,20 +51,19 @@ def gated_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH p AS (SELECT label, unnest(range(len(embedding))) AS i, unnest(CAST(embedding AS DOUBLE[])) AS x FROM embeddings), c AS (SELECT label, list(m ORDER BY i) AS w FROM (SELECT label, i, avg(x) AS m FROM p GROUP BY ALL) GROUP BY label),
-    j AS (SELECT vec_id AS query_id, c.label, round({COS.format("embedding", "w")}, 9) AS s FROM embeddings, c WHERE vec_id % 20 = 0),
+    f"""WITH j AS (SELECT q.vec_id AS query_id, f.label, max(round({COS.format("q.embedding", "f.embedding")}, 9)) AS s FROM embeddings q JOIN embeddings f ON q.vec_id <> f.vec_id WHERE q.vec_id % 20 = 0 GROUP BY ALL),
     r AS (SELECT *, row_number() OVER w AS n, lead(s) OVER w AS nx FROM j WINDOW w AS (PARTITION BY query_id ORDER BY s DESC, 'AD 2.' || label))
     SELECT query_id, CASE WHEN s >= 0.35 AND (nx IS NULL OR s - nx >= 0.03) THEN 'AD 2.' || label END AS section FROM r WHERE n = 1"""
 )
 def best_section(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """the section of the best hit, if it is clear. A label's mean vector stands for a section."""
+    """the section of the best hit, if it is clear. A label is a section; every other vector is a possible hit."""
     e = table(spark, sf_dir, "embeddings")
-    means = e.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    means = means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda x: x["m"]).alias("w"))
-    every = means.groupBy().agg(F.array_sort(F.collect_list(F.struct("label", "w"))).alias("sections")).withColumn("_j", F.lit(1))  # ten labels
-    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v"), F.lit(1).alias("_j"))
-    hits = q.join(F.broadcast(every), "_j").select("query_id", "v", F.explode("sections").alias("c"))
-    hits = hits.select("query_id", F.concat(F.lit("AD 2."), F.col("c.label")).alias("section"), F.round(retrieve.cosine_similarity(F.col("v"), F.col("c.w")), 9).alias("similarity"))
+    asked = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding", F.lit(1).alias("_j"))
+    labels = e.select(F.col("label"), F.lit(1).alias("_j")).distinct()
+    q = asked.join(labels, "_j").withColumn("pair", F.concat_ws(":", "query_id", "label"))
+    # the nearest of each label, and the next one, since the nearest may be the query itself
+    hits = retrieve.nearest(q, e, ["label"], ["pair"], ["vec_id"], 2).withColumn("query_id", F.split("pair", ":")[0].cast("long")).where("vec_id <> query_id")
+    hits = hits.select("query_id", F.concat(F.lit("AD 2."), F.col("label")).alias("section"), F.round("similarity", 9).alias("similarity"))
     return retrieve.best_section(hits, 0.35, 0.03)
 
 
@@ -165,14 +151,14 @@ def search_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH a AS (SELECT item_id, text, CASE WHEN item_id % 3 = 0 THEN reverse(text) ELSE text END AS content, substr(text, 5, 25) AS v, CASE WHEN item_id % 4 = 1 THEN '2 + 3 = 6' ELSE '' END AS comp FROM benchmark),
+    """WITH a AS (SELECT item_id, text, CASE WHEN item_id % 3 = 0 THEN reverse(text) ELSE text END AS content, text AS v, CASE WHEN item_id % 4 = 1 THEN '2 + 3 = 6' ELSE '' END AS comp FROM benchmark),
     c AS (SELECT *, contains(lower(regexp_replace(trim(content), '\\s+', ' ', 'g')), lower(regexp_replace(trim(v), '\\s+', ' ', 'g'))) AS good FROM a)
     SELECT item_id AS answer_id, good AND comp = '' AS ok, CAST(CASE WHEN good THEN 0 ELSE 1 END + CASE WHEN comp = '' THEN 0 ELSE 3 END AS BIGINT) AS n_issues FROM c"""
 )
 def verified_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """facts verbatim in their excerpts, arithmetic from trusted numbers."""
     b = table(spark, sf_dir, "benchmark")
-    value = F.substring("text", 5, 25)
+    value = F.col("text")
     answers = b.select(
         F.col("item_id").alias("answer_id"), F.lit(True).alias("answerable"), F.lit("see above").alias("answer"), F.when(F.col("item_id") % 4 == 1, "2 + 3 = 6").otherwise("").alias("computation"),
         F.array(F.struct(value.alias("value"), F.lit("fact").alias("what"), F.lit(1).alias("source_excerpt"))).alias("facts_used"),
@@ -333,21 +319,21 @@ def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.stratified_sample(table(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", "doc_id", 100, 7)
 
 
-CASES = """c AS (SELECT d.doc_id, d.lang, source, CASE WHEN quality = 0 THEN 'value is NIL here' ELSE 'AD 2.' || d.doc_id % 24 || ' ' || substr(regexp_replace(text, '[^A-Za-z]+', ' ', 'g'), 1, 120) END AS reply, ['exact', 'tokens', 'absent'][CAST(d.doc_id % 3 AS INT) + 1] AS mode,
-      trim(substr(regexp_replace(text, '[^A-Za-z]+', ' ', 'g'), 1, 20)) AS want, 'AD 2.' || d.doc_id % 12 AS sub FROM documents d JOIN labels USING (doc_id) WHERE quality IS NOT NULL AND text IS NOT NULL),
+CASES = """c AS (SELECT d.doc_id, d.lang, source, CASE WHEN quality = 0 THEN 'value is NIL here' ELSE 'AD 2.' || d.doc_id % 24 || ' ' || regexp_replace(text, '[^A-Za-z]+', ' ', 'g') END AS reply, ['exact', 'tokens', 'absent'][CAST(d.doc_id % 3 AS INT) + 1] AS mode,
+      trim(CASE WHEN d.doc_id % 7 = 0 THEN reverse(right(regexp_replace(text, '[^A-Za-z]+', ' ', 'g'), 24)) ELSE right(regexp_replace(text, '[^A-Za-z]+', ' ', 'g'), 24) END) AS want, 'AD 2.' || d.doc_id % 12 AS sub FROM documents d JOIN labels USING (doc_id) WHERE quality IS NOT NULL AND text IS NOT NULL),
     s AS (SELECT *, regexp_matches(reply, '(^|[^0-9.])' || replace(substr(sub, 4), '.', '\\.') || '($|[^0-9])') AS route, CASE mode WHEN 'absent' THEN regexp_matches(reply, '(?i)\\bnil\\b')
       WHEN 'tokens' THEN len(list_filter(string_split(want, ' '), lambda t: contains(lower(reply), lower(t)))) >= greatest(1, len(string_split(want, ' ')) // 2) ELSE contains(lower(regexp_replace(trim(reply), '\\s+', ' ', 'g')), lower(want)) END AS val FROM c),
     v AS (SELECT *, CASE WHEN route AND val THEN 'PASS' WHEN route THEN 'VALUE_MISS' WHEN val THEN 'ROUTE_MISS' ELSE 'FAIL' END AS verdict FROM s)"""
 
 
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").where("quality is not null and text is not null")
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").where("quality is not null and text is not null")  # a case needs a label and a text
     plain, k = F.regexp_replace("text", "[^A-Za-z]+", " "), F.col("doc_id")
     return evaluate.verdicts(
         d.select(
             "doc_id", "lang", "source", F.lit("answer").alias("path"), F.concat(F.lit("AD 2."), (k % 12).cast("string")).alias("subsection"), F.element_at(F.array(F.lit("exact"), F.lit("tokens"), F.lit("absent")), (k % 3 + 1).cast("int")).alias("match_mode"),
-            F.trim(F.substring(plain, 1, 20)).alias("expected_value"), F.lit(None).cast("string").alias("expected_behaviour"), F.lit(False).alias("harness_error"),
-            F.when(F.col("quality") == 0, "value is NIL here").otherwise(F.concat(F.lit("AD 2."), (k % 24).cast("string"), F.lit(" "), F.substring(plain, 1, 120))).alias("reply"),
+            F.trim(F.when(k % 7 == 0, F.reverse(F.right(plain, F.lit(24)))).otherwise(F.right(plain, F.lit(24)))).alias("expected_value"), F.lit(None).cast("string").alias("expected_behaviour"), F.lit(False).alias("harness_error"),
+            F.when(F.col("quality") == 0, "value is NIL here").otherwise(F.concat(F.lit("AD 2."), (k % 24).cast("string"), F.lit(" "), plain)).alias("reply"),
         )
     )
 

@@ -11,23 +11,7 @@ from ..functions.profile import AIP
 from ..functions.text import number_set
 from ..operators import charts, chunks, extract, facts, structure
 from ..sources import tables as src
-
-QUERIES, ORACLE = {}, {}
-
-
-def query(sql: str | None = None):
-    def add(fn):
-        QUERIES[fn.__name__] = fn
-        if sql:
-            ORACLE[fn.__name__] = sql
-        return fn
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+from .catalog import query, table
 
 LINES = "lines AS (SELECT doc_id, unnest(range(len(l))) AS line_no, unnest(l) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL))"
 PAGED = f"{LINES}, paged AS (SELECT doc_id, CAST(line_no // 40 + 1 AS INT) AS page, line_no, regexp_split_to_array(trim(text), '\\s+') AS w FROM lines WHERE trim(text) <> '')"
@@ -208,7 +192,7 @@ def entity_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def word_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens that a rendering lost."""
-    w = words(spark, sf_dir).select("doc_id", F.col("text").alias("token"), "line_no")
+    w = src.tokens(table(spark, sf_dir, "documents"))
     return extract.word_loss(w, w.where("line_no % 3 <> 1"), ["doc_id"])
 
 

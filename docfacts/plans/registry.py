@@ -1,7 +1,6 @@
 """All registered queries of the library's own operators, and the SQL that each must equal."""
 
-from . import queries_records, queries_search, queries_text
+from . import queries_enroute, queries_layout, queries_pages, queries_records, queries_scopes, queries_search, queries_text  # noqa: F401
+from .catalog import ORACLE, QUERIES  # noqa: F401
 
-QUERIES = {**queries_text.QUERIES, **queries_search.QUERIES, **queries_records.QUERIES}
-ORACLE = {**queries_text.ORACLE, **queries_search.ORACLE, **queries_records.ORACLE}
 FLAGSHIP = "heading_facts"

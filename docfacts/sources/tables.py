@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Words of a line that are placed together.
-RUN = 16
+_BLANKS = re.compile(r"[ \t\n\x0b\f\r]+")
 EVAL_SCHEMA = "id string, category string, question string, ground_truth string, test_type string"
 LOG_COLUMNS = ("id", "created_at", "path", "intent", "icao", "similarity", "charts", "needs_review", "reviewed", "feedback", "query")
 
@@ -18,37 +21,53 @@ def read_words(spark: SparkSession, path: str) -> DataFrame:
 
 def words_from_text(df: DataFrame, id_column: str = "doc_id", text: str = "text", lines_per_page: int = 40, html: bool = False) -> DataFrame:
     """Plain text or HTML as positioned words: a line is 12 points high, a character 6 points wide, a page
-    lines_per_page long. Columns doc_id, page, line_no, word_no, x0, top, x1, bottom, text."""
+    lines_per_page long. Columns doc_id, page, line_no, word_no, x0, top, x1, bottom, text. A line's places are one
+    running sum, so its length does not matter."""
     body = F.col(text)
     if html:
         body = F.regexp_replace(F.regexp_replace(body, r"(?is)<(script|style)\b.*?</\1\s*>", ""), r"(?i)</(?:p|div|li|h[1-6]|tr|article|nav|footer)\s*>|<br\s*/?>", "\n")
         body = F.regexp_replace(body, r"<[^>]*>", "")
-    lines = df.select(F.col(id_column).alias("doc_id"), F.posexplode(F.split(body, "\n")).alias("line_no", "line"))
-    lines = lines.select("doc_id", "line_no", F.split(F.trim("line"), r"\s+").alias("w"))
-
-    def before(words: Column, n: Column) -> Column:
-        """Characters in front of the n-th word (from 0)."""
-        return F.length(F.array_join(F.slice(words, F.lit(1), n), " ")) + F.when(n > 0, 1).otherwise(0)
-
-    # runs of RUN words first, so that a line of many words is not gone through again for each of them
-    run = lambda c: F.struct((c * RUN).alias("first"), F.slice("w", c * RUN + 1, F.lit(RUN)).alias("part"), before(F.col("w"), c * RUN).alias("base"))
-    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / RUN).cast("int")), run)
-    lines = lines.select("doc_id", "line_no", F.explode(runs).alias("r")).select("doc_id", "line_no", "r.*")
-    words = lines.select("doc_id", "line_no", "first", "base", "part", F.posexplode("part").alias("k", "text")).where("text != ''")
-    words = words.select("doc_id", "line_no", (F.col("first") + F.col("k")).alias("word_no"), (F.col("base") + before(F.col("part"), F.col("k"))).alias("at"), "text")
-    at = F.col("at")
-    top = (F.col("line_no") % lines_per_page) * 12.0 + 20
-    return words.select(
-        "doc_id",
-        (F.floor(F.col("line_no") / lines_per_page) + 1).cast("int").alias("page"),
-        "line_no",
-        "word_no",
-        (at * 6.0).alias("x0"),
-        top.alias("top"),
-        ((at + F.length("text")) * 6.0).alias("x1"),
-        (top + 10).alias("bottom"),
-        "text",
-    )
+    def place(batches):
+        for b in batches:
+            owner, line, nth, at, size, words = [], [], [], [], [], []
+            for k, t in enumerate(b.column("text").to_pylist()):
+                for n, row in enumerate((t or "").split("\n") if t is not None else ()):
+                    own = _BLANKS.split(row.strip(" "))
+                    long = np.fromiter(map(len, own), np.int64, len(own))
+                    start = np.cumsum(long + 1) - long - 1
+                    keep = np.flatnonzero(long)
+                    words += [w for w in own if w]
+                    nth.append(keep)
+                    at.append(start[keep])
+                    size.append(long[keep])
+                    owner.append(np.full(len(keep), k))
+                    line.append(np.full(len(keep), n))
+            flat = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (owner, line, nth, at, size)]
+            top = (flat[1] % lines_per_page) * 12.0 + 20
+            yield pa.RecordBatch.from_arrays(
+                [
+                    b.column("doc_id").take(pa.array(flat[0])),
+                    pa.array(flat[1] // lines_per_page + 1, pa.int32()),
+                    pa.array(flat[1], pa.int32()),
+                    pa.array(flat[2], pa.int32()),
+                    pa.array(flat[3] * 6.0),
+                    pa.array(top),
+                    pa.array((flat[3] + flat[4]) * 6.0),
+                    pa.array(top + 10),
+                    pa.array(words, pa.string()),
+                ],
+                names=["doc_id", "page", "line_no", "word_no", "x0", "top", "x1", "bottom", "text"],
+            )
+
+    rows = df.select(F.col(id_column).alias("doc_id"), body.alias("text"))
+    kind = dict(rows.dtypes)["doc_id"]
+    return rows.mapInArrow(place, f"doc_id {kind}, page int, line_no int, word_no int, x0 double, top double, x1 double, bottom double, text string")
+
+
+def tokens(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, line_no, token: words without places, where these do not matter."""
+    lines = text_lines(df, id_column, text)
+    return lines.select("doc_id", "line_no", F.explode(F.split(F.trim("text"), r"\s+")).alias("token")).where("token <> ''")
 
 
 def text_lines(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
