@@ -256,16 +256,20 @@ def pruned_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.prune_log(event_log(spark, sf_dir), now(), 1).select("id")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id || '-' || event_type AS k, ts, event_id, user_id, event_type, row_number() OVER (PARTITION BY user_id || '-' || event_type ORDER BY ts, event_id) AS n FROM events),
+    r AS (SELECT k, ts, event_id, n, ts AS last, true AS ok FROM e WHERE n = 1 UNION ALL SELECT e.k, e.ts, e.event_id, e.n, CASE WHEN e.ts >= r.last + INTERVAL 3600 SECOND THEN e.ts ELSE r.last END, e.ts >= r.last + INTERVAL 3600 SECOND FROM r JOIN e ON e.k = r.k AND e.n = r.n + 1)
+    SELECT k AS update_id, ts, event_id FROM r WHERE ok""")
 def deduped_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """G10 (batch twin): one update of an id an hour (a sequential rule, so rows only)."""
+    """G10 (batch twin): one update of an id an hour."""
     e = table(spark, sf_dir, "events").select(F.concat_ws("-", "user_id", "event_type").alias("update_id"), "ts", "event_id")
     return log.dedup_updates(e)
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id AS k, ts, event_id, user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+    r AS (SELECT k, ts, event_id, n, ts AS last, true AS ok FROM e WHERE n = 1 UNION ALL SELECT e.k, e.ts, e.event_id, e.n, CASE WHEN e.ts >= r.last + INTERVAL 600 SECOND THEN e.ts ELSE r.last END, e.ts >= r.last + INTERVAL 600 SECOND FROM r JOIN e ON e.k = r.k AND e.n = r.n + 1)
+    SELECT k AS chat, ts, event_id FROM r WHERE ok""")
 def throttled_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """G11 (batch twin): events of a user ten minutes apart (a sequential rule, so rows only)."""
+    """G11 (batch twin): events of a user ten minutes apart."""
     return log.throttle(table(spark, sf_dir, "events").select(F.col("user_id").alias("chat"), "ts", "event_id"), 600)
 
 
@@ -296,9 +300,15 @@ def followups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.fill_followups(m).select("event_id", "filled", "resolved_id", "query")
 
 
-@query()
+@query(
+    """WITH RECURSIVE e AS (SELECT user_id AS k, ts, event_type <> 'error' AS good, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_type <> 'error') AS n FROM events),
+    r AS (SELECT k, ts, good, n, CASE WHEN good THEN NULL ELSE ts END AS last, CASE WHEN good THEN NULL ELSE 'degraded' END AS alert FROM e WHERE n = 1
+      UNION ALL SELECT e.k, e.ts, e.good, e.n, CASE WHEN e.good THEN CASE WHEN r.good THEN r.last END WHEN r.last IS NULL OR e.ts >= r.last + INTERVAL 900 SECOND THEN e.ts ELSE r.last END,
+        CASE WHEN e.good AND NOT r.good THEN 'recovered' WHEN NOT e.good AND (r.last IS NULL OR e.ts >= r.last + INTERVAL 900 SECOND) THEN 'degraded' END FROM r JOIN e ON e.k = r.k AND e.n = r.n + 1)
+    SELECT k AS key, ts, alert FROM r WHERE alert IS NOT NULL"""
+)
 def alert_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """G15 (batch twin): alerts of each user's error events (a sequential rule, so rows only)."""
+    """G15 (batch twin): alerts of each user's error events."""
     return health_alerts(table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), "ts", (F.col("event_type") != "error").alias("ok")))
 
 

@@ -71,10 +71,17 @@ def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.page_text(words(spark, sf_dir)).select("doc_id", "page", "text")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {PAGED}, w AS (SELECT doc_id, page, line_no, w, unnest(range(1, len(w) + 1)) AS i FROM paged), x AS (SELECT doc_id, page, w[i] AS word, i - 1 AS no, length(array_to_string(w[1:i - 1], ' ')) + CASE WHEN i > 1 THEN 1 ELSE 0 END AS x0, (line_no % 40) * 12 + 20 + (i - 1) % 4 * 2 AS top FROM w),
+    t AS (SELECT doc_id, page, top, row_number() OVER (PARTITION BY doc_id, page ORDER BY top) AS n FROM (SELECT DISTINCT doc_id, page, top FROM x)),
+    r AS (SELECT doc_id, page, top, n, top AS start, 0 AS line FROM t WHERE n = 1 UNION ALL SELECT t.doc_id, t.page, t.top, t.n, CASE WHEN t.top - r.start <= 4 THEN r.start ELSE t.top END, CASE WHEN t.top - r.start <= 4 THEN r.line ELSE r.line + 1 END FROM r JOIN t ON t.doc_id = r.doc_id AND t.page = r.page AND t.n = r.n + 1)
+    SELECT doc_id, page, CAST(line AS BIGINT) AS line, string_agg(word, ' ' ORDER BY x0, no) AS text FROM x JOIN r USING (doc_id, page, top) GROUP BY ALL"""
+)
 def reading_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Proximity clusters of each page's words (a sequential rule, so rows only)."""
-    return structure.reading_lines(words(spark, sf_dir)).groupBy("doc_id", "page").agg(F.max("line").alias("last_line"), F.count("*").alias("n"))
+    """Clusters of words near the first word of their line; every word is set down up to six points."""
+    w = words(spark, sf_dir).withColumn("top", F.col("top") + F.col("word_no") % 4 * 2)
+    one = F.array_sort(F.collect_list(F.struct("pos", "text")))
+    return structure.reading_lines(w).groupBy("doc_id", "page", "line").agg(F.array_join(F.transform(one, lambda x: x["text"]), " ").alias("text"))
 
 
 @query(
@@ -365,15 +372,32 @@ def text_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.exclude_plates(d, catalogue, 400).select("doc_id", F.length("text").cast("long").alias("n"))
 
 
-@query()
+def _behind(sep: str, width: int) -> str:
+    """Place (from 0, within the window) behind the first character of the last separator in a window's second half."""
+    return f"CASE WHEN instr(reverse(win), reverse({sep})) > 0 AND length(win) - instr(reverse(win), reverse({sep})) + 1 - {width} > 750 THEN length(win) - instr(reverse(win), reverse({sep})) + 2 - {width} END"
+
+
+@query(
+    f"""WITH RECURSIVE d AS (SELECT doc_id, row_number() OVER () AS row_no, text, length(text) AS len FROM documents WHERE text <> ''),
+    r AS (SELECT doc_id, row_no, text, len, CAST(0 AS BIGINT) AS start, substr(text, 1, 1500) AS win, 0 AS i FROM d
+      UNION ALL SELECT doc_id, row_no, text, len, nxt, substr(text, nxt + 1, 1500), i + 1 FROM (SELECT *, start + CASE WHEN start + 1500 >= len THEN length(win) ELSE coalesce({_behind("'. '", 2)}, {_behind("chr(10)", 1)}, {_behind("'; '", 2)}, {_behind("', '", 2)}, 1500) END - 300 AS nxt FROM r) WHERE nxt > start AND nxt < len),
+    e AS (SELECT *, CASE WHEN start + 1500 >= len THEN length(win) ELSE coalesce({_behind("'. '", 2)}, {_behind("chr(10)", 1)}, {_behind("'; '", 2)}, {_behind("', '", 2)}, 1500) END AS size FROM r),
+    c AS (SELECT doc_id, row_no, i, regexp_replace(substr(win, 1, size), '^\\s+|\\s+$', '', 'g') AS chunk FROM e)
+    SELECT doc_id, CAST(row_number() OVER (PARTITION BY row_no ORDER BY i) - 1 AS INT) AS chunk_no, chunk FROM c WHERE length(chunk) > 50"""
+)
 def text_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """E5: overlapping chunks that end at separators (a sequential walk, so rows only)."""
+    """E5: overlapping chunks that end at separators."""
     return chunks.chunk_text(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {LINES}, p AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS n, text || CASE WHEN line_no < max(line_no) OVER (PARTITION BY doc_id) THEN chr(10) ELSE '' END AS t FROM lines),
+    k AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS n, t, length(t) AS len FROM p WHERE trim(t, ' ') <> ''),
+    r AS (SELECT doc_id, n, t, len AS size, 0 AS chunk_no FROM k WHERE n = 1 UNION ALL SELECT k.doc_id, k.n, k.t, CASE WHEN r.size + k.len <= 2000 THEN r.size + k.len ELSE k.len END, CASE WHEN r.size + k.len <= 2000 THEN r.chunk_no ELSE r.chunk_no + 1 END FROM r JOIN k ON k.doc_id = r.doc_id AND k.n = r.n + 1)
+    SELECT doc_id, chunk_no, string_agg(t, '' ORDER BY n) AS chunk FROM r GROUP BY ALL"""
+)
 def packed_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paragraphs packed up to a limit (a greedy walk, so rows only)."""
+    """Paragraphs packed up to a limit."""
     return chunks.pack_sections(table(spark, sf_dir, "documents").select("doc_id", "text"), limit=2000, heading=r"(?<=\n)")
 
 
