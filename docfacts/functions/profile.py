@@ -68,6 +68,43 @@ class Profile:
             "2.23": "additional information",
         }
     )
+    # The header of an instrument approach (runway, aid), and the headings of its parts
+    approach_header: str = r"(?i)Instrument\s+approach\s+procedures?\s+for\s+RWY\s*(\d\s*\d\s*[LRC]?)\s+base\s*d?\s+on\s+([^\n0-9.]{2,80})"
+    approach_parts: tuple[tuple[str, str], ...] = (
+        ("holding", r"holding\s+procedures?"),
+        ("letdown", r"letdown\s+procedures?"),
+        ("missed", r"(?:on\s+)?missed\s+approach(?:\s+procedure)?"),
+    )
+    # Numbered headings that end the last approach; words that end a part; what only page furniture prints
+    after_approaches: tuple[str, ...] = ("Approach minima", "Takeoff Minima", "Airport Operating Minima", "Radar Procedures", "Procedures for VFR", "PBN Procedure")
+    after_part: tuple[str, ...] = (
+        "Approach minima",
+        "OCA/H (ft)",
+        "RWY AID OCA",
+        "AIRAC AMDT",
+        "Circling OCA",
+        "Glide path inoperative",
+        "GP INOP",
+        "Designator",
+        "Instrument approach procedure",
+        "Airport Operating Minima",
+        "Delta Operator",
+        "Delta Arrival",
+        "Delta Departure",
+        "Takeoff Minima for Rwy",
+        "Takeoff Minima for Runway",
+        "Aircraft category",
+    )
+    page_marks: tuple[str, ...] = (
+        "NIGERIAN AIRSPACE MANAGEMENT AGENCY",
+        r"AD 2-DN[A-Z]{2}-\d+",
+        r"\d{2} [A-Z]{3} \d{2}",
+        "NIGERIA AIP",
+        "FLIGHT PROCEDURES INSTRUMENT APPROACH",
+        r"^\s*FLIGHT\s+PROCEDURES\s*$",
+    )
+    # Words of a request and the aid of an approach that they stand for
+    approach_aids: tuple[tuple[str, str], ...] = (("vor", "vor"), ("vor/dme", "vor"), ("ils", "ils"), ("loc", "ils"), ("rnav", "rnav"), ("gnss", "rnav"), ("rnp", "rnav"), ("ndb", "ndb"))
     scope_kinds: tuple[str, ...] = ("AD", "ENR_AREA", "ENR_POINT", "ENR_ROUTE", "ENR_AIRSPACE", "ENR_NAVAID", "ENR_FRA_DCT", "GEN")
     #: unit suffixes of record keys in the order they are shown, and how
     units: tuple[tuple[str, str], ...] = (

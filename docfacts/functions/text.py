@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -24,6 +25,11 @@ def quoted(c: Column) -> Column:
     return F.regexp_replace(c, r"([\\.\[\]{}()*+\-?^$|])", r"\\$1")
 
 
+def any_phrase(phrases: tuple[str, ...]) -> str:
+    """A pattern for any of some phrases, whatever the white space between their words."""
+    return "(?:" + "|".join(r"\s+".join(re.escape(w) for w in p.split()) for p in phrases) + ")"
+
+
 def squeeze(c: Column) -> Column:
     """White space runs become one blank, ends trimmed."""
     return F.trim(F.regexp_replace(c, r"\s+", " "))

@@ -169,11 +169,13 @@ def detect_subsection(question: Column) -> Column:
 
 def toc_lookup(questions: DataFrame, toc: DataFrame) -> DataFrame:
     """questions with reference and title of the first toc entry (rank, keyword, reference, title) whose keyword they
-    hold as whole words; null if they do not ask for structure. Questions meet keywords by an equi-join over word runs,
-    however many there are. questions(query_id, question)."""
-    keys = toc.select(F.col("keyword").alias("alias"), F.struct("rank", "keyword", "reference", "title").alias("entry")).withColumn("run", normalised(F.col("alias")))
-    longest = toc.agg(F.max(F.size(F.split(normalised(F.col("keyword")), " ")))).first()[0] or 1
-    asked = questions.where(F.col("question").rlike(STRUCTURE_QUESTION))
-    hits = word_runs(asked, "query_id", "question", longest).join(keys.where("run <> ''"), "run")
-    first = hits.groupBy("query_id").agg(F.min("entry").alias("_t"))
-    return questions.join(first, "query_id", "left").withColumns({"reference": F.col("_t.reference"), "title": F.col("_t.title")}).drop("_t")
+    hold; null if they do not ask for structure. Questions meet keywords by an equi-join over the keywords' first three
+    characters, however many there are, and containment decides. Equal questions are looked up once."""
+    keys = toc.select(F.col("keyword").alias("key"), F.struct("rank", "keyword", "reference", "title").alias("entry")).where("key <> ''")
+    keys = keys.withColumn("gram", F.substring("key", 1, 3))
+    low = F.concat(F.lit(" "), F.lower("question"), F.lit(" "))
+    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda n: F.transform(F.sequence(F.lit(1), F.length(low) - n + 1), lambda i: F.substring(low, i, n))))
+    asked = questions.select("question").where(F.col("question").rlike(STRUCTURE_QUESTION)).distinct()
+    hits = asked.select("question", F.explode(F.array_distinct(grams)).alias("gram")).join(keys, "gram").where(F.contains(low, F.col("key")))
+    first = hits.groupBy("question").agg(F.min("entry").alias("_t"))
+    return questions.join(first, "question", "left").withColumns({"reference": F.col("_t.reference"), "title": F.col("_t.title")}).drop("_t")
