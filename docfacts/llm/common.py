@@ -14,7 +14,7 @@ from ..sources.stages import durable, shared_dir
 __all__ = ["durable", "shared_dir", "table"]
 
 #: Rows an Arrow batch may hold. Texts are long, so batches are kept small.
-BATCH_ROWS = 1000
+BATCH_ROWS = 200
 
 #: A-Z to a-z; every ASCII byte that is neither a letter nor a digit to a space; bytes over 0x7F stay.
 WORD_TABLE = bytes(

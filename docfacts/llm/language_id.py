@@ -3,6 +3,9 @@
 Counting reads every text with a known language, in numpy within tasks; Spark adds the counts up. The matrix of
 log-probabilities (buckets x languages, a fixed number of buckets) goes to the tasks, which score batches of texts.
 
+Languages are few: a table that names more than MOST_LANGUAGES is refused, since the matrix grows with them, and a task
+holds the counts of HELD languages at a time.
+
 Characters that are not letters count as one blank; an n-gram of blanks alone counts for nothing. Null texts and texts
 without a letter are `und` with score 0. Ties go to the language that sorts first. Repeated rows are scored alike. With
 nothing to learn from, every text is `und`. Further columns of the input are left alone.
@@ -23,6 +26,8 @@ from .common import map_arrow
 UNKNOWN = "und"
 BUCKETS = 1 << 15
 SIZES = (2, 3)
+#: Languages that a model may have (256 kB each), and that a task counts at a time.
+MOST_LANGUAGES, HELD = 200, 32
 #: Characters that numpy works on at once; longer texts are taken in overlapping pieces.
 PIECE = 400_000
 
@@ -123,6 +128,12 @@ class Model:
 def count(rows: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """lang, bucket, n: occurrences of hashed n-grams in all rows that have a language; bucket -1 counts the rows."""
 
+    def counted(name: str, x: np.ndarray) -> pa.RecordBatch:
+        at = np.flatnonzero(x)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([name] * len(at), pa.string()), pa.array(np.where(at == BUCKETS, -1, at), pa.int32()), pa.array(x[at])], names=["lang", "bucket", "n"]
+        )
+
     def tally(batches):
         sums: dict[str, np.ndarray] = {}
         for b in batches:
@@ -133,12 +144,10 @@ def count(rows: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
                 into[BUCKETS] += len(own)
                 for group in _groups(own):
                     into[:BUCKETS] += np.bincount(hashed(group)[0], minlength=BUCKETS)
-        for name, x in sums.items():
-            at = np.flatnonzero(x)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([name] * len(at)), pa.array(np.where(at == BUCKETS, -1, at), pa.int32()), pa.array(x[at])],
-                names=["lang", "bucket", "n"],
-            )
+                if len(sums) > HELD:
+                    yield from (counted(*x) for x in sums.items())
+                    sums = {}
+        yield from (counted(*x) for x in sums.items())
 
     known = rows.where(F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
     return map_arrow(known, tally, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
@@ -146,6 +155,9 @@ def count(rows: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
 
 def fit(rows: DataFrame, text: str = "text", lang: str = "lang", smoothing: float = 0.5) -> Model:
     """The model over all rows given; what reaches the driver is BUCKETS + 1 numbers a language at most."""
+    many = rows.select(F.approx_count_distinct(F.col(lang))).first()[0]
+    if many > 1.2 * MOST_LANGUAGES:
+        raise ValueError(f"the column {lang} names about {many} languages, {MOST_LANGUAGES} at most are learned")
     found = count(rows, text, lang).toPandas()
     langs = sorted(found["lang"].unique())
     table, prior = np.zeros((BUCKETS, len(langs))), np.zeros(len(langs))

@@ -224,6 +224,16 @@ def test_language_id(spark, documents, empty):
     assert language_id.predict(empty, model).count() == 0
 
 
+def test_many_languages(spark, monkeypatch):
+    rows = spark.createDataFrame([("some words of " * 3 + str(i), f"l{i % 90}") for i in range(180)], "text string, lang string").coalesce(1)
+    whole = {(r["lang"], r["bucket"]): r["n"] for r in language_id.count(rows).collect()}
+    monkeypatch.setattr(language_id, "HELD", 1000)
+    assert {(r["lang"], r["bucket"]): r["n"] for r in language_id.count(rows).collect()} == whole
+    monkeypatch.setattr(language_id, "MOST_LANGUAGES", 20)
+    with pytest.raises(ValueError, match="languages"):
+        language_id.fit(rows)
+
+
 # SimHash
 
 

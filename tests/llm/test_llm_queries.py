@@ -37,6 +37,13 @@ def test_pipeline_stages(spark):
     assert last.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").count() == 0
 
 
+def test_pipeline_stages_over_an_empty_table(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, sf).count() == 0
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_against_sql(name, spark):
     duckdb = pytest.importorskip("duckdb")

@@ -11,6 +11,8 @@ import numpy as np
 import pytest
 from test_llm_operators import PLAIN, WORD, brute_components, brute_counts, brute_fp, low
 
+from test_near_copies import brute_kept as brute_single
+
 import corpus_pipeline
 from docfacts.llm import language_id, quality_rules
 from docfacts.llm.queries import QUERIES, tokenizer_path
@@ -147,11 +149,9 @@ def test_pipeline(spark, documents, benchmark):
     kept = [r for r in documents if brute_kept(r["text"], rules)]
     model = brute_languages(kept)
     kept = [r for r in kept if (x := brute_language(r["text"], model))[0] != "und" and x[1] >= 0.5]
-    fps = {r["doc_id"]: brute_fp(r["text"]) for r in kept}
-    root, first = brute_components(set(fps.values())), {}
-    for i in sorted(fps):
-        first.setdefault(root[fps[i]], i)
-    kept = [r for r in kept if r["doc_id"] in set(first.values())]
+    # near copies: five-word shingles with a Jaccard similarity of 0.8 or more
+    single = set(brute_single([r["doc_id"] for r in kept], [r["text"] for r in kept]))
+    kept = [r for r in kept if r["doc_id"] in single]
     windows = brute_windows(benchmark)
     judged = [(r, brute_contamination(r["text"], windows)) for r in kept]
     kept = [r for r, (n, h, _) in judged if not (h > 0 and 20 * h >= n)]
