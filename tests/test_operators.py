@@ -388,7 +388,7 @@ def test_resolution(spark):
     assert s == {1: "TEMSA", 2: "G/UG660", 3: "DNR24", 4: None}
     toc = spark.createDataFrame([(1, "danger area", "ENR 5.1", "Areas"), (2, "area", "ENR 9", "x")], "rank int, keyword string, reference string, title string")
     t = resolve.toc_lookup(spark.createDataFrame([("which section has danger areas",), ("danger areas near me",)], "question string"), toc).collect()
-    assert [x["reference"] for x in t] == ["ENR 5.1", None]
+    assert {x["question"]: x["reference"] for x in t} == {"which section has danger areas": "ENR 5.1", "danger areas near me": None}
     fix = route.intent_backstops(
         spark.createDataFrame([(1, "aerodrome_fact", "DNZZ", None, "about DNMM"), (2, "out_of_scope", None, None, "elevation of port harcourt"), (3, "out_of_scope", None, None, "ticket price to lagos"), (4, "general_greeting", None, None, "fuel at ph"), (5, "aerodrome_fact", "DNMM", None, "ils approach chart")], "query_id int, intent string, code string, name string, raw string"),
         al, valid, out, pub,
