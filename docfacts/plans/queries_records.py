@@ -33,7 +33,7 @@ def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SELECT CAST(p_partkey AS BIGINT) AS p_partkey, CASE WHEN p_size % 4 = 0 THEN NULL ELSE CAST(1000 + p_size AS DOUBLE) END AS m, CAST(p_size * 3 AS DOUBLE) AS ft, CASE WHEN p_size % 3 = 0 THEN CAST(p_size % 10 + 1 AS INT) END AS cat FROM part"""
 )
 def measures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lengths written with odd blanks, and categories."""
+    """Lengths written with odd blanks, and categories."""
     s = F.col("p_size")
     t = F.concat(F.when(s % 4 == 0, "").otherwise(F.concat(F.lit("1 "), F.substring((1000 + s).cast("string"), 2, 3), F.lit(" m / "))), (s * 3).cast("string"), F.lit(" f t"), F.when(s % 3 == 0, F.concat(F.lit(" CAT "), (s % 10 + 1).cast("string"))).otherwise(""))
     return table(spark, sf_dir, "part").select("p_partkey", tx.measure(t, "m").alias("m"), tx.measure(t, "ft").alias("ft"), tx.rff_category(t).alias("cat"))
@@ -243,7 +243,7 @@ def chart_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SELECT doc_id, CAST(length(substr(CASE WHEN contains(text, lang || ' ') THEN text ELSE lang || ' ' || chr(10) || chr(10) || text END, 1, 8000)) AS BIGINT) AS n, CAST(length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS BIGINT) AS squeezed FROM documents WHERE lang IS NOT NULL AND text IS NOT NULL"""
 )
 def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is embedded for a section, cut at the model's limit."""
+    """What is embedded for a section, cut at the model's limit; and its text, white space collapsed."""
     d = table(spark, sf_dir, "documents").where("lang is not null and text is not null")
     steer = F.concat("lang", F.lit(" "))
     return d.select("doc_id", F.length(chunks.embed_payload(steer, F.col("text"))).cast("long").alias("n"), F.length(chunks.strip_header(F.col("text"), r"\Zx")).cast("long").alias("squeezed"))

@@ -31,21 +31,23 @@ def scoped_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieve.topk_facts(q, f, 8).select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"), "rank")
 
 
-GATE = f"""j AS (SELECT q.vec_id AS query_id, k.a AS attempt, f.vec_id AS chunk_id, {COS.format("q.embedding", "f.embedding")} AS s FROM embeddings q, (SELECT unnest([0, 1, 2]) AS a) k, embeddings f WHERE q.vec_id % 20 = 0 AND f.label = (q.label + 3 * k.a + 3) % 10),
-    t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, attempt ORDER BY s DESC, chunk_id) AS n FROM j) WHERE n <= 15),
+GATE = f"""j AS (SELECT q.vec_id AS query_id, k.a AS attempt, f.vec_id AS chunk_id, {COS.format("q.embedding", "f.embedding")} AS s, CASE WHEN q.vec_id % 40 = 0 AND f.vec_id % 3 <> 1 THEN 1 ELSE 0 END AS t1, CASE WHEN q.vec_id % 60 = 0 AND f.vec_id % 2 = 0 THEN 1 ELSE 0 END AS t2
+      FROM embeddings q, (SELECT unnest([0, 1, 2]) AS a) k, embeddings f WHERE q.vec_id % 20 = 0 AND f.label = (q.label + 3 * k.a + 3) % 10),
+    t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, attempt ORDER BY t1, t2, s DESC, chunk_id) AS n FROM j) WHERE n <= 15),
     m AS (SELECT *, max(s) OVER (PARTITION BY query_id, attempt) AS top FROM t),
     c AS (SELECT *, first_value(attempt) OVER (PARTITION BY query_id ORDER BY CASE WHEN top >= 0.4 THEN 0 ELSE 1 END, CASE WHEN top >= 0.4 THEN attempt ELSE -top END, attempt) AS best FROM m)"""
 
 
 @query(f"""WITH {GATE} SELECT query_id, attempt, chunk_id, round(s, 6) AS similarity, CASE WHEN top >= 0.4 THEN 'ok' ELSE 'low_confidence' END AS status, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id) AS INT) AS rank FROM c WHERE attempt = best""")
 def gated_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """attempts in order; the first that is near enough counts, else the nearest, marked."""
+    """the nearest chunks of each attempt, those of the procedure and runway asked for first; of the attempts in
+    order the first that is near enough counts, else the nearest, marked."""
     e = table(spark, sf_dir, "embeddings")
     ref = lambda c: c.cast("string")
-    chunks = e.select(F.lit("GEN").alias("part"), ref(F.col("label")).alias("reference"), F.lit("").alias("procedure_type"), F.lit("").alias("runway"), F.col("vec_id").alias("chunk_id"), "embedding")
+    chunks = e.select(F.lit("GEN").alias("part"), ref(F.col("label")).alias("reference"), F.when(F.col("vec_id") % 3 == 1, "VOR approach").when(F.col("vec_id") % 3 == 2, "ILS approach").alias("procedure_type"), F.when(F.col("vec_id") % 2 == 1, "05").otherwise("18L").alias("runway"), F.col("vec_id").alias("chunk_id"), "embedding")
     tries = F.posexplode(F.array(*[(F.col("label") + 3 * a + 3) % 10 for a in range(3)])).alias("attempt", "r")
     q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding", tries)
-    q = q.select("query_id", "attempt", F.lit("GEN").alias("part"), ref(F.col("r")).alias("reference"), F.lit("").alias("procedure_type"), F.lit("").alias("runway"), "embedding")
+    q = q.select("query_id", "attempt", F.lit("GEN").alias("part"), ref(F.col("r")).alias("reference"), F.when(F.col("query_id") % 40 == 0, "vor").otherwise("").alias("procedure_type"), F.when(F.col("query_id") % 60 == 0, "05").alias("runway"), "embedding")
     hits = retrieve.topk_chunks(q, chunks, 15)
     return retrieve.gated_search(hits, q.select("query_id").distinct()).select("query_id", "attempt", "chunk_id", F.round("similarity", 6).alias("similarity"), "status", "rank")
 
@@ -74,7 +76,7 @@ def best_section(spark: SparkSession, sf_dir: str) -> DataFrame:
 def find_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     """names to scopes, whatever their case and blanks."""
     n = table(spark, sf_dir, "nation")
-    f = table(spark, sf_dir, "customer").join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")).select(F.lit("AD").alias("scope_kind"), F.col("n_name").alias("scope_id"))
+    f = table(spark, sf_dir, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.lit("AD").alias("scope_kind"), F.col("n_name").alias("scope_id"))
     names = table(spark, sf_dir, "supplier").select(F.concat(F.lit("nation _"), F.col("s_nationkey")).alias("name")).distinct()
     return retrieve.find_scope(names, f)
 
@@ -83,7 +85,7 @@ def find_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scope_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """the ids of a kind."""
     n = table(spark, sf_dir, "nation")
-    f = table(spark, sf_dir, "customer").join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_mktsegment").alias("scope_kind"), F.col("n_name").alias("scope_id"))
+    f = table(spark, sf_dir, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_mktsegment").alias("scope_kind"), F.col("n_name").alias("scope_id"))
     return retrieve.list_scope_ids(f, "BUILDING")
 
 

@@ -55,7 +55,7 @@ def heading_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {PAGED} SELECT doc_id, page, CAST(sum(len(w)) AS BIGINT) AS n_words, count(*) AS n_lines, CAST(max(length(array_to_string(w, ' ')) * 6) AS BIGINT) AS right_edge FROM paged GROUP BY doc_id, page"""
 )
 def text_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A1, A2: positioned words of plain text, summed up by page."""
+    """A2: positioned words of plain text, summed up by page."""
     return words(spark, sf_dir).groupBy("doc_id", "page").agg(F.count("*").alias("n_words"), F.count_distinct("line_no").alias("n_lines"), F.max("x1").cast("long").alias("right_edge"))
 
 
@@ -225,7 +225,7 @@ def validation_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.when(F.col("p_size") % 4 != 0, F.col("p_size")).alias("category"), F.when(F.col("p_size") % 3 != 0, F.lit("x")).alias("field"))
     issues = extract.validate_records(r, extract.RULES["category"] + extract.RULES["label"], ["doc_id"])
     passed = extract.gate(r, issues, ["doc_id"]).agg(F.count("*").alias("passed")).withColumn("_j", F.lit(1))
-    return issues.groupBy("severity", "field", "message").agg(F.count("*").alias("n")).withColumn("_j", F.lit(1)).join(F.broadcast(passed), "_j").drop("_j")
+    return issues.groupBy("severity", "field", "message").agg(F.count("*").alias("n")).withColumn("_j", F.lit(1)).join(passed, "_j").drop("_j")
 
 
 @query(

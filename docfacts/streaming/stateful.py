@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -19,15 +21,40 @@ def accepted(ts: np.ndarray, gap: float, last: float | None) -> tuple[np.ndarray
     return out, last
 
 
+def walk(df: DataFrame, key: str, order: list[str], step: Callable[[pd.DataFrame, object], tuple[pd.DataFrame, object]], schema) -> DataFrame:
+    """Rows of each key in order through `step`, which gets the next rows of a key and what it returned for those before
+    (None at first). A task holds one batch at a time, however many rows a key has."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, state, begun = None, None, False
+        for frame in frames:
+            if frame.empty:
+                continue
+            code = pd.factorize(frame[key], use_na_sentinel=False)[0]
+            edges = np.flatnonzero(np.diff(code)) + 1
+            for a, z in zip([0, *edges], [*edges, len(frame)], strict=True):
+                own = frame.iloc[a:z].reset_index(drop=True)
+                k = own[key].iloc[0]
+                if not begun or not (k == now or (pd.isna(k) and pd.isna(now))):
+                    now, state, begun = k, None, True
+                out, state = step(own, state)
+                yield out
+
+    return df.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
+
+
+def seconds(ts: pd.Series) -> np.ndarray:
+    return ts.astype("int64").to_numpy() / unit(ts)
+
+
 def accept_after(df: DataFrame, key: str, ts: str, gap: float) -> DataFrame:
     """Rows that pass, by key, in the order of time and then of the other columns."""
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values([ts, *[c for c in frame.columns if c != ts]], kind="stable")
-        ok, _ = accepted(frame[ts].astype("int64").to_numpy() / unit(frame[ts]), gap, None)
-        return frame[ok]
+    def step(frame: pd.DataFrame, last: float | None) -> tuple[pd.DataFrame, float | None]:
+        ok, last = accepted(seconds(frame[ts]), gap, last)
+        return frame[ok], last
 
-    return df.groupBy(key).applyInPandas(run, df.schema)
+    return walk(df, key, [ts, *[c for c in df.columns if c not in (key, ts)]], step, df.schema)
 
 
 def unit(ts: pd.Series) -> float:
@@ -54,11 +81,10 @@ def alerts(ts: np.ndarray, ok: np.ndarray, gap: float, prev: bool | None, last:
 def health_alerts(reports: DataFrame, gap: float = 900.0) -> DataFrame:
     """Batch twin of the alert stream: key, ts, alert of reports(key, ts, ok)."""
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("ts", kind="stable", ignore_index=True)
-        said, _, _ = alerts(frame["ts"].astype("int64").to_numpy() / unit(frame["ts"]), frame["ok"].to_numpy(bool), gap, None, None)
+    def step(frame: pd.DataFrame, state: tuple | None) -> tuple[pd.DataFrame, tuple]:
+        said, prev, last = alerts(seconds(frame["ts"]), frame["ok"].to_numpy(bool), gap, *(state or (None, None)))
         out = frame[["key", "ts"]].assign(alert=pd.Series(said, dtype=object))
-        return out[out["alert"].notna()]
+        return out[out["alert"].notna()], (prev, last)
 
     kinds = dict(reports.dtypes)
-    return reports.select("key", "ts", "ok").groupBy("key").applyInPandas(run, f"key {kinds['key']}, ts {kinds['ts']}, alert string")
+    return walk(reports.select("key", "ts", "ok"), "key", ["ts", "ok"], step, f"key {kinds['key']}, ts {kinds['ts']}, alert string")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from .stateful import accepted, alerts, unit
+from .stateful import accepted, alerts, unit, walk
 
 
 def dedup_stream(updates: DataFrame, ttl: str = "3600 seconds") -> DataFrame:
@@ -90,12 +90,11 @@ def context_walk(frame: pd.DataFrame, seconds: np.ndarray, ctx: tuple | None, tt
 def context_batch(messages: DataFrame, ttl_seconds: int = 600) -> DataFrame:
     """Batch twin of context_stream."""
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("ts", kind="stable", ignore_index=True)
-        return context_walk(frame, _seconds(frame), None, ttl_seconds)[0]
+    def step(frame: pd.DataFrame, ctx: tuple | None) -> tuple[pd.DataFrame, tuple | None]:
+        return context_walk(frame, _seconds(frame), ctx, ttl_seconds)
 
     m = messages.select("chat", "ts", "kind", "last_icao", "pending", "last_query")
-    return m.groupBy("chat").applyInPandas(run, "chat string, ts timestamp, kind string, ctx_last_icao string, ctx_pending string, ctx_last_query string")
+    return walk(m, "chat", ["ts"], step, "chat string, ts timestamp, kind string, ctx_last_icao string, ctx_pending string, ctx_last_query string")
 
 
 def alert_stream(reports: DataFrame, gap: float = 900.0, watermark: str = "10 seconds") -> DataFrame:
