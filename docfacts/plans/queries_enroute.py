@@ -34,7 +34,6 @@ def lines_of(spark: SparkSession, sf_dir: str, name: str, texts: list[Column | s
     return printed(table(spark, sf_dir, name), F.col(doc), F.col(key), texts)
 
 
-P, S, K = F.col("p_partkey"), F.col("p_size"), F.col("c_custkey")
 
 
 @query(
@@ -47,12 +46,13 @@ P, S, K = F.col("p_partkey"), F.col("p_size"), F.col("c_custkey")
 )
 def areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Areas by their ids: family, name, position, levels."""
-    t, n = P % 4, P % 1000
+    part = F.col("p_partkey")
+    t, n = part % 4, part % 1000
     pick = lambda *v: F.when(t == 0, v[0]).when(t == 1, v[1]).when(t == 2, v[2]).otherwise(v[3])
     none = F.lit(None).cast("string")
     texts = [
         F.concat(pick(F.lit("DNP"), F.lit("DNR "), F.lit("DND"), F.lit("DNP ")), n),
-        pick(F.concat(letters(P), F.lit(" area")), F.lit("A circle of LAG VOR 5 NM up to"), F.concat(F.lit("NAF Local flying. "), F.col("p_name")), F.lit("*063000N 0031500W")),
+        pick(F.concat(letters(part), F.lit(" area")), F.lit("A circle of LAG VOR 5 NM up to"), F.concat(F.lit("NAF Local flying. "), F.col("p_name")), F.lit("*063000N 0031500W")),
         pick(F.lit("063000N 0031500E 064000.5N 0032500E"), F.lit("3000 FT AMSL"), none, F.lit("UNL  GND.")),
         pick(F.lit("FL150"), none, none, none),
         pick(F.concat(F.lit("GND "), F.col("p_name")), none, none, F.lit("5.1.2 RESTRICTED AREAS")),
@@ -68,10 +68,11 @@ def areas(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def point_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points of rows 'name latitude longitude tail'; the first row of a name counts."""
-    t = P % 5
+    part = F.col("p_partkey")
+    t = part % 5
     tail = F.when(t == 0, F.concat(F.lit("UA123, B45 EX "), F.col("p_name"))).when(t == 1, "B45").when(t == 2, F.concat(F.lit("H/UM998 , "), F.col("p_name"))).otherwise("IAD FIR only")
-    row = F.concat(F.when(t < 4, letters(P)).otherwise("ABCD"), F.lit(" 063000N "), F.when(t == 1, "0031500 ").otherwise("0031500.5E "), tail)
-    texts = ["NAME-CODE designator and position", row, F.when(t == 2, F.concat(letters(P), F.lit(" 070000N 0040000E again")))]
+    row = F.concat(F.when(t < 4, letters(part)).otherwise("ABCD"), F.lit(" 063000N "), F.when(t == 1, "0031500 ").otherwise("0031500.5E "), tail)
+    texts = ["NAME-CODE designator and position", row, F.when(t == 2, F.concat(letters(part), F.lit(" 070000N 0040000E again")))]
     got = extract.regex_rows(lines_of(spark, sf_dir, "part", texts))
     return got.select("doc_id", "entity_id", "latitude", "longitude", "routes", "fra_relevance", "remarks", "coordinate_defect", "warning")
 
@@ -85,12 +86,13 @@ FAMILIES = f"""f AS (SELECT c_nationkey AS doc_id, c_custkey AS k, {_letters("c_
 )
 def airspace_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Airspaces that a section declares, with what they are part of."""
-    n, two = letters(K), K % 2 == 0
+    key = F.col("c_custkey")
+    n, two = letters(key), key % 2 == 0
     said = F.concat(F.lit("("), n, F.lit(" FIR consists of "), n, F.lit(" SECTOR"), F.when(two, F.concat(F.lit(" and "), n, F.lit(" TMA"))).otherwise(", runways"), F.lit(")"))
     texts = [said, F.concat(n, F.lit(" Control Area")), F.when(two, "(CTA)").otherwise("nothing else")]
     # declared names stand in one section each, since a section is read as one text
     df = table(spark, sf_dir, "customer")
-    lines = printed(df, F.concat_ws(":", "c_nationkey", "c_custkey"), K, texts)
+    lines = printed(df, F.concat_ws(":", "c_nationkey", "c_custkey"), key, texts)
     return extract.discover_hierarchy(lines).select(F.split("doc_id", ":")[0].cast("int").alias("doc_id"), "name", "parent")
 
 
@@ -100,7 +102,8 @@ def airspace_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def airspace_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What stands under an airspace's name, each line by its kind."""
-    n, two = letters(K), K % 2 == 0
+    key = F.col("c_custkey")
+    n, two = letters(key), key % 2 == 0
     texts = [
         F.concat(n, F.lit(" TMA is described below")), F.concat(n, F.lit(" TMA.")), F.concat(F.lit("(note "), n, F.lit(" (more)")), "and on)", "from 063000N 0031500E to", F.concat(F.lit("the coast of "), n), "FL 195", "Class of airspace: D", "1500 FT ALT", "H24", "EN", "118.1 MHz NIL", F.concat(n, F.lit(" CONTROL")), "FR", "EN",
         "124,3 MHz", "NIL", F.concat(F.lit("CPDLC LOGON "), n),
@@ -109,7 +112,7 @@ def airspace_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     doc = F.concat_ws(":", "c_nationkey", "c_custkey")
     h = df.select(doc.alias("doc_id"), F.lit("X").alias("scope_id"), F.lit("5.1").alias("subsection"), F.concat(n, F.lit(" TMA")).alias("name"), F.when(two, F.concat(n, F.lit(" FIR"))).alias("parent"))
     child = df.where(two).select(doc.alias("doc_id"), F.lit("X").alias("scope_id"), F.lit("5.1").alias("subsection"), F.concat(n, F.lit(" SECTOR")).alias("name"), F.concat(n, F.lit(" TMA")).alias("parent"))
-    got = extract.airspace_fields(printed(df, doc, K, texts), h.unionByName(child))
+    got = extract.airspace_fields(printed(df, doc, key, texts), h.unionByName(child))
     return got.select(F.split("doc_id", ":")[0].cast("int").alias("doc_id"), "entity_id", "parent", "is_grouping", "note", "lateral_limits", "vertical_limits", "airspace_class", "hours", "ats_unit", "languages", "remarks", "frequencies")
 
 
@@ -121,8 +124,9 @@ def airspace_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Navaids of stations; where numbers do not agree a record carries the station's list, marked."""
-    t = K % 3
-    code = lambda d: F.char(65 + F.floor(K / d) % 26)
+    key = F.col("c_custkey")
+    t = key % 3
+    code = lambda d: F.char(65 + F.floor(key / d) % 26)
     i = F.concat(code(1), code(26), code(676))
     other = F.concat(F.lit("Z"), code(1), code(26), F.lit("Q"))
     none = F.lit(None).cast("string")
@@ -130,9 +134,9 @@ def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = [
         "Name of station", pick(F.lit("KANO"), F.lit("KANO"), F.lit("PORT")), pick(none, none, F.lit("HARCOURT")),
         pick(F.lit("VOR/DME"), F.lit("NDB"), F.concat(F.lit("ILS "), i, F.lit(" 110.3 MHZ"))), pick(F.concat(i, F.lit(" 113.5 MHZ")), i, F.concat(F.lit("DME "), other, F.lit(" 110.4 MHZ"))),
-        pick(F.lit("CH 82X"), F.lit("340 kHz"), none), pick(F.concat(F.lit("H24 063000N 0031500E 30 m (98 ft) on "), K), F.lit("H24 063000N 0031500E FRA (AD)"), F.lit("063000N 0031500E")),
+        pick(F.lit("CH 82X"), F.lit("340 kHz"), none), pick(F.concat(F.lit("H24 063000N 0031500E 30 m (98 ft) on "), key), F.lit("H24 063000N 0031500E FRA (AD)"), F.lit("063000N 0031500E")),
     ]
-    got = extract.station_navaids(printed(table(spark, sf_dir, "customer"), K, F.lit(1), texts))
+    got = extract.station_navaids(printed(table(spark, sf_dir, "customer"), key, F.lit(1), texts))
     return got.select("doc_id", "entity_id", "station", "navaid_type", "frequency", "frequency_is_ambiguous", "hours", "coordinates", "coordinates_are_ambiguous", "elevation", "fra_relevance", "remarks")
 
 
@@ -143,24 +147,26 @@ def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points of routes in order; a name counts once its position follows, a header that comes again goes on."""
-    n, t = letters(K), K % 3
-    head = F.concat(F.lit("UA"), K % 900)
+    key = F.col("c_custkey")
+    n, t = letters(key), key % 3
+    head = F.concat(F.lit("UA"), key % 900)
     texts = [
         F.when(t == 0, F.concat(head, F.lit(" (RNAV 5)"))).otherwise(head), "a name that nothing follows", n, "063000N 0031500E", F.when(t == 2, n), F.when(t == 2, "063000N 0031500E"), F.concat(F.lit("remark of more than sixty characters, which is no name of any point "), n), "KANO DVOR/DME (KAN)",
         "064000N 0032500E FL 250", F.when(t == 1, head), F.when(t == 1, "LAG"), F.when(t == 1, "070000N 0040000E"),
     ]
-    got = extract.ordered_points(printed(table(spark, sf_dir, "customer").where("c_custkey % 900 > 99"), K, F.lit(1), texts))
+    got = extract.ordered_points(printed(table(spark, sf_dir, "customer").where("c_custkey % 900 > 99"), key, F.lit(1), texts))
     shown = F.array_join(F.transform("points", lambda p: F.concat_ws(":", p["name"], p["kind"], F.coalesce(p["ident"], F.lit("")), p["coordinates"])), ";")
     return got.select("doc_id", "entity_id", "navigation_spec", "point_sequence", "point_count", shown.alias("points"))
 
 
 def direct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n, t = letters(K), K % 4
+    key = F.col("c_custkey")
+    n, t = letters(key), key % 4
     texts = [
         F.concat(n, F.lit(" DCT BBBBB"), F.when(t == 1, " H24").when(t == 2, " 0600 - 1800").otherwise("")), F.when(t == 3, "DCT CCCCC"), F.when(t == 0, "H24"), n, "063000N 0031500E FL 450", "BBBBB", F.when(t == 1, "064000N 003250E").otherwise("064000N 0032500E"), F.when(t == 3, "CCCCX"), F.when(t == 3, "070000N 0040000E"),
         F.when(t == 2, "DDDDD"), F.when(t == 2, "071000N 0041000E"), "FL 245",
     ]
-    return extract.direct_combinations(printed(table(spark, sf_dir, "customer"), F.col("c_nationkey"), K, texts))
+    return extract.direct_combinations(printed(table(spark, sf_dir, "customer"), F.col("c_nationkey"), key, texts))
 
 
 DIRECT = f"""c AS (SELECT c_nationkey AS d, c_custkey AS k, CAST(c_custkey % 4 AS INT) AS t, {_letters("c_custkey")} AS n FROM customer)"""
@@ -200,9 +206,10 @@ def marked_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def runway_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C14: lengths and widths that can be a runway's."""
-    text = F.when(S % 4 == 0, F.concat(F.lit("RWY "), F.lit("3 "), F.lpad(S.cast("string"), 3, "0"), F.lit(" x 60 asphalt"))).when(S % 4 == 1, F.concat(900 + S, F.lit("X45"))).when(S % 4 == 2, "250 x 30").otherwise(F.concat_ws(" ", F.lit("3000 x 120"), "p_name"))
+    part, size = F.col("p_partkey"), F.col("p_size")
+    text = F.when(size % 4 == 0, F.concat(F.lit("RWY "), F.lit("3 "), F.lpad(size.cast("string"), 3, "0"), F.lit(" x 60 asphalt"))).when(size % 4 == 1, F.concat(900 + size, F.lit("X45"))).when(size % 4 == 2, "250 x 30").otherwise(F.concat_ws(" ", F.lit("3000 x 120"), "p_name"))
     length, width = extract.runway_dims(text)
-    return table(spark, sf_dir, "part").select(P.alias("doc_id"), length.alias("length_m"), width.alias("width_m"))
+    return table(spark, sf_dir, "part").select(part.alias("doc_id"), length.alias("length_m"), width.alias("width_m"))
 
 
 AIDS = """s AS (SELECT s_suppkey AS k, s_name AS n, CAST(s_suppkey % 3 AS INT) AS t FROM supplier)"""
