@@ -105,24 +105,34 @@ class Model:
     log_p: np.ndarray  # BUCKETS x langs
     prior: np.ndarray
 
-    def score(self, texts: list[str]) -> tuple[list[str], list[float]]:
+    def floors(self) -> np.ndarray:
+        """For each language the mean log-probability of an n-gram below which a text is none of its: a third of the way
+        from what its own texts have to what any bucket has."""
+        own, any_bucket = (np.exp(self.log_p) * self.log_p).sum(0), self.log_p.mean(0)
+        return own - (own - any_bucket) / 3
+
+    def judge(self, texts: list[str]) -> tuple[list[str], list[float], list[bool]]:
+        """Language, posterior, and whether the text looks like the language at all (posteriors only compare)."""
         k = len(self.langs)
-        total, letters = np.zeros((len(texts), max(k, 1))), np.zeros(len(texts), bool)
+        if not k:
+            return [UNKNOWN] * len(texts), [0.0] * len(texts), [False] * len(texts)
+        total, letters, n = np.zeros((len(texts), k)), np.zeros(len(texts), bool), np.zeros(len(texts))
         for group in _groups(texts):
             b, owner, has = hashed(group)
             np.logical_or.at(letters, np.array([i for i, _, _ in group]), has)
+            n += np.bincount(owner, minlength=len(texts))
             for j in range(k):
                 total[:, j] += np.bincount(owner, self.log_p[b, j], len(texts))
-        if not k:
-            return [UNKNOWN] * len(texts), [0.0] * len(texts)
-        total += self.prior
-        total -= total.max(1, keepdims=True)
-        p = np.exp(total)
+        z = total + self.prior
+        z -= z.max(1, keepdims=True)
+        p = np.exp(z)
         p /= p.sum(1, keepdims=True)
-        best = p.argmax(1)
-        return [self.langs[b] if ok else UNKNOWN for b, ok in zip(best, letters, strict=True)], np.where(
-            letters, p[np.arange(len(texts)), best], 0.0
-        ).tolist()
+        best, row = p.argmax(1), np.arange(len(texts))
+        clear = letters & (total[row, best] >= self.floors()[best] * n)
+        return [self.langs[b] if ok else UNKNOWN for b, ok in zip(best, letters, strict=True)], np.where(letters, p[row, best], 0.0).tolist(), clear.tolist()
+
+    def score(self, texts: list[str]) -> tuple[list[str], list[float]]:
+        return self.judge(texts)[:2]
 
 
 def count(rows: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
@@ -189,12 +199,12 @@ def predict(rows: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
 
 def keep_identified(rows: DataFrame, model: Model, least: float = 0.5, text: str = "text") -> DataFrame:
-    """The rows whose language is known with a score of `least` or more, with all their columns."""
+    """The rows whose language is known with a score of `least` or more and that look like it, with all their columns."""
     sent = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         for b in batches:
-            lang, score = sent.value.score([t or "" for t in b.column(text).to_pylist()])
-            yield b.filter(pa.array([x != UNKNOWN and s >= least for x, s in zip(lang, score, strict=True)], pa.bool_()))
+            lang, score, clear = sent.value.judge([t or "" for t in b.column(text).to_pylist()])
+            yield b.filter(pa.array([x != UNKNOWN and s >= least and c for x, s, c in zip(lang, score, clear, strict=True)], pa.bool_()))
 
     return map_arrow(rows, run, rows.schema)

@@ -37,6 +37,17 @@ def test_pipeline_stages(spark):
     assert last.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").count() == 0
 
 
+def test_language_stage_rejects_foreign_texts_and_keeps_clean_ones(spark):
+    from docfacts.llm import language_id
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = language_id.fit(docs)
+    odd = ["Litwo! Ojczyzno moja! ty jesteś jak zdrowie; ile cię trzeba cenić, ten tylko się dowie, kto cię stracił. " * 3, "Мой дядя самых честных правил, когда не в шутку занемог " * 4, "xqzw vbnmk jjhgf qqpwz zxcvk wwrtp lkjhq " * 9, "1234 5678"]
+    assert not any(model.judge(odd)[2])
+    kept = language_id.keep_identified(docs, model)
+    assert kept.where("lang is not null").count() >= 0.995 * docs.where("lang is not null and text rlike '[a-zA-Z]'").count()
+
+
 def test_pipeline_stages_over_an_empty_table(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)

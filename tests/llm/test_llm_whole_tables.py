@@ -86,14 +86,23 @@ def brute_languages(rows):
     return out
 
 
-def brute_language(text, model):
+def brute_floor(p):
+    logs = [p(b) for b in range(language_id.BUCKETS)]
+    own = sum(math.exp(x) * x for x in logs)
+    return own - (own - sum(logs) / len(logs)) / 3
+
+
+def brute_language(text, model, floors=None):
+    """Language, posterior, and, with floors, whether the mean log-probability of an n-gram reaches the language's."""
     g = grams(text)
     if not g:
-        return "und", 0.0
-    z = {lang: prior + sum(k * p(brute_bucket(x)) for x, k in g.items()) for lang, (p, prior) in sorted(model.items())}
+        return ("und", 0.0, False)[: 3 if floors else 2]
+    fit = {lang: sum(k * p(brute_bucket(x)) for x, k in g.items()) for lang, (p, _) in sorted(model.items())}
+    z = {lang: fit[lang] + model[lang][1] for lang in fit}
     top = max(z.values())
     best = next(lang for lang in z if z[lang] == top)
-    return best, 1 / sum(math.exp(v - top) for v in z.values())
+    found = best, 1 / sum(math.exp(v - top) for v in z.values())
+    return (*found, fit[best] / g.total() >= floors[best]) if floors else found
 
 
 def brute_windows(items):
@@ -148,7 +157,8 @@ def test_pipeline(spark, documents, benchmark):
     rules = quality_rules.fit(frame, spark.read.parquet(f"{SF}/labels.parquet"))
     kept = [r for r in documents if brute_kept(r["text"], rules)]
     model = brute_languages(kept)
-    kept = [r for r in kept if (x := brute_language(r["text"], model))[0] != "und" and x[1] >= 0.5]
+    floors = {lang: brute_floor(p) for lang, (p, _) in model.items()}
+    kept = [r for r in kept if (x := brute_language(r["text"], model, floors))[0] != "und" and x[1] >= 0.5 and x[2]]
     # near copies: five-word shingles with a Jaccard similarity of 0.8 or more
     single = set(brute_single([r["doc_id"] for r in kept], [r["text"] for r in kept]))
     kept = [r for r in kept if r["doc_id"] in single]
