@@ -29,20 +29,22 @@ def words_from_text(df: DataFrame, id_column: str = "doc_id", text: str = "text"
         body = F.regexp_replace(body, r"<[^>]*>", "")
     def place(batches):
         for b in batches:
-            owner, line, nth, at, size, words = [], [], [], [], [], []
+            words, count, owner, number = [], [], [], []
             for k, t in enumerate(b.column("text").to_pylist()):
-                for n, row in enumerate((t or "").split("\n") if t is not None else ()):
+                for n, row in enumerate(t.split("\n") if t is not None else ()):
                     own = _BLANKS.split(row.strip(" "))
-                    long = np.fromiter(map(len, own), np.int64, len(own))
-                    start = np.cumsum(long + 1) - long - 1
-                    keep = np.flatnonzero(long)
-                    words += [w for w in own if w]
-                    nth.append(keep)
-                    at.append(start[keep])
-                    size.append(long[keep])
-                    owner.append(np.full(len(keep), k))
-                    line.append(np.full(len(keep), n))
-            flat = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (owner, line, nth, at, size)]
+                    words += own
+                    count.append(len(own))
+                    owner.append(k)
+                    number.append(n)
+            size, count = np.fromiter(map(len, words), np.int64, len(words)), np.array(count, np.int64)
+            row = np.repeat(np.arange(len(count)), count)
+            first = np.cumsum(count) - count  # of each line among all words
+            at = np.cumsum(size + 1) - size - 1
+            keep = np.flatnonzero(size)
+            row, lines = row[keep], np.array(number, np.int64)
+            flat = [np.array(owner, np.int64)[row], lines[row], keep - first[row], at[keep] - at[first[row]], size[keep]]
+            words = [w for w in words if w]
             top = (flat[1] % lines_per_page) * 12.0 + 20
             yield pa.RecordBatch.from_arrays(
                 [
