@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import (
     chat_format,
     decontaminate,
+    exact_dedup,
     html_extract,
     language_id,
     license_scan,
@@ -109,6 +110,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.groups(table(spark, sf_dir, "documents"), largest=True)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -122,8 +127,11 @@ QUERIES = {
         op8_html_extraction,
         op9_chat_formatting,
         op10_quality_rules,
+        op13_exact_dedup,
     )
 }
+
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
 
@@ -156,4 +164,6 @@ ORACLE: dict[str, str] = {
         d AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256, CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
         sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(length('{"".join((chat_format.Template().turn, chat_format.Template().text, chat_format.Template().end))}') + length({_escaped("role")}) + length({_escaped("text")})) AS BIGINT) AS formatted_chars FROM c GROUP BY conv_id)
         SELECT d.*, first_fault IS NULL AS valid, first_fault FROM d LEFT JOIN f USING (conv_id)""",
+    "op13_exact_dedup": f"""SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256({_LOW}) AS text_sha256
+        FROM documents WINDOW g AS (PARTITION BY {_LOW})""",
 }
