@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
+    centroids,
     chat_format,
     decontaminate,
     exact_dedup,
@@ -110,6 +111,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"), k=40, rounds=5, width=64, seed="2:").drop("n_verified")
+
+
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(table(spark, sf_dir, "documents"), largest=True)
 
@@ -127,6 +132,7 @@ QUERIES = {
         op8_html_extraction,
         op9_chat_formatting,
         op10_quality_rules,
+        op12_centroid_clustering,
         op13_exact_dedup,
     )
 }
@@ -148,6 +154,31 @@ def _moves() -> str:
     return ", ".join(f"'{state}>{role}'" for state, by in chat_format.Template().machine.items() for role in by)
 
 
+#: Embeddings whose components are all there and finite, as whole numbers.
+_WHOLE = """SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0"""
+
+
+def _clustered(rounds: int) -> str:
+    """Rounds of assignment (a<r>) and floored means (c<r>), one after the other."""
+    steps = [
+        f"""v AS (SELECT vec_id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM ({_WHOLE}) WHERE len(v) = 64),
+        c0 AS (SELECT c, i, x FROM v JOIN (SELECT vec_id, row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS c FROM (SELECT DISTINCT vec_id FROM v)) USING (vec_id) WHERE c < 40)"""
+    ]
+    for r in range(rounds + 1):
+        steps.append(
+            f"""a{r} AS (SELECT vec_id, min(c) AS cluster, min(d) AS distance FROM (SELECT *, min(d) OVER (PARTITION BY vec_id) AS low FROM (
+        SELECT vec_id, c, sum((v.x - c{r}.x) * (v.x - c{r}.x)) AS d FROM v JOIN c{r} USING (i) GROUP BY vec_id, c)) WHERE d = low GROUP BY vec_id)"""
+        )
+        if r < rounds:
+            steps.append(
+                f"""c{r + 1} AS (SELECT c, i, coalesce(m, x) AS x FROM c{r} LEFT JOIN (SELECT cluster AS c, i, CAST(floor(sum(x) / count(*)) AS BIGINT) AS m FROM v JOIN a{r} USING (vec_id) GROUP BY cluster, i) USING (c, i))"""
+            )
+    return f"""WITH {", ".join(steps)}, named AS (SELECT c AS cluster, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256 FROM c{rounds} GROUP BY c)
+        SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, CAST(distance AS BIGINT) AS distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+        CAST(sum(distance) OVER () AS BIGINT) AS inertia, centroid_sha256 FROM a{rounds} JOIN named USING (cluster)"""
+
+
 ORACLE: dict[str, str] = {
     "op5_decontamination": f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark),
         win AS (SELECT DISTINCT item, least({decontaminate.WINDOW}, len(w)) AS n, unnest(list_transform(range(1, greatest(len(w) - {decontaminate.WINDOW}, 0) + 2), lambda i: array_to_string(w[i:i + {decontaminate.WINDOW - 1}], ' '))) AS g FROM b WHERE len(w) > 0),
@@ -164,6 +195,7 @@ ORACLE: dict[str, str] = {
         d AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256, CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
         sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(length('{"".join((chat_format.Template().turn, chat_format.Template().text, chat_format.Template().end))}') + length({_escaped("role")}) + length({_escaped("text")})) AS BIGINT) AS formatted_chars FROM c GROUP BY conv_id)
         SELECT d.*, first_fault IS NULL AS valid, first_fault FROM d LEFT JOIN f USING (conv_id)""",
+    "op12_centroid_clustering": _clustered(5),
     "op13_exact_dedup": f"""SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256({_LOW}) AS text_sha256
         FROM documents WINDOW g AS (PARTITION BY {_LOW})""",
 }

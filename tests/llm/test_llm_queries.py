@@ -59,7 +59,7 @@ def test_pipeline_stages_over_an_empty_table(spark):
 def test_against_sql(name, spark):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "conversations"):
+    for t in ("documents", "benchmark", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     cur = con.execute(ORACLE[name])
     columns = [d[0] for d in cur.description]
