@@ -48,6 +48,15 @@ def matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), width)
 
 
+def sampled(rows: DataFrame, n: int, most: int, *by: str) -> list:
+    """At most `most` of n rows, chosen by a hash of the columns `by`. A threshold thins a large table first, and the
+    rows meet in a task, not in the driver, before it sees them."""
+    h = F.xxhash64(*by)
+    if n > most:
+        rows = rows.where(F.pmod(h, F.lit(1_000_000)) < int(1.1e6 * most / n) + 1)
+    return durable(rows.orderBy(h, *by).limit(most), "sample").collect()
+
+
 @dataclass
 class Frame:
     """Leading principal axes, as columns."""
@@ -149,13 +158,13 @@ def cluster(embeddings: DataFrame, k: int = 40, rounds: int = 5, width: int = 64
     spark = embeddings.sparkSession
     kept = embeddings.where((F.size("embedding") == width) & usable(F.col("embedding"))).select("vec_id", whole(F.col("embedding")).alias("v"))
     kept = durable(kept, "vectors")
-    most = kept.agg(F.max(F.array_max(F.transform("v", lambda x: F.greatest(x, -x - 1))))).first()[0]
+    n, most = kept.agg(F.count("*"), F.max(F.array_max(F.transform("v", lambda x: F.greatest(x, -x - 1))))).first()
     if most is not None and most >= MOST:
         raise OverflowError(f"components of {most / 256:.3g} and more give squared distances beyond a long")
-    sample = kept.orderBy(F.xxhash64("vec_id"), "v").limit(SAMPLE).collect()
-    frame = Frame.fit(np.array([r["v"] for r in sample], float).reshape(-1, width), min(leading, width))
+    frame = Frame.fit(np.array([r["v"] for r in sampled(kept, n, SAMPLE, "vec_id")], float).reshape(-1, width), min(leading, width))
     rows = durable(rotated(kept, frame, width), "rotated")
-    first = kept.orderBy(F.asc_nulls_last(F.sha2(F.concat(F.lit(seed), F.col("vec_id").cast("string")), 256)), "v").limit(k).collect()
+    order = F.asc_nulls_last(F.sha2(F.concat(F.lit(seed), F.col("vec_id").cast("string")), 256))
+    first = durable(kept.orderBy(order, "v").limit(k), "seeds").orderBy(order, "v").collect()
     now = Centroids(np.array([r["v"] for r in first], np.int64).reshape(-1, width), frame)
     for _ in range(rounds if first else 0):
         now = Centroids(moved(rows, now, width), frame)

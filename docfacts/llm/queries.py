@@ -10,6 +10,7 @@ from . import (
     chat_format,
     decontaminate,
     exact_dedup,
+    hard_negatives,
     html_extract,
     language_id,
     license_scan,
@@ -111,6 +112,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vec_id = F.col("vec_id")
+    moved = F.when(vec_id % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", moved), vec_id % 50 == 0, positives=5, negatives=3, low=50, high=95)
+
+
 def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(table(spark, sf_dir, "embeddings"), k=40, rounds=5, width=64, seed="2:").drop("n_verified")
 
@@ -132,6 +139,7 @@ QUERIES = {
         op8_html_extraction,
         op9_chat_formatting,
         op10_quality_rules,
+        op11_hard_negatives,
         op12_centroid_clustering,
         op13_exact_dedup,
     )
@@ -195,6 +203,12 @@ ORACLE: dict[str, str] = {
         d AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256, CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
         sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(length('{"".join((chat_format.Template().turn, chat_format.Template().text, chat_format.Template().end))}') + length({_escaped("role")}) + length({_escaped("text")})) AS BIGINT) AS formatted_chars FROM c GROUP BY conv_id)
         SELECT d.*, first_fault IS NULL AS valid, first_fault FROM d LEFT JOIN f USING (conv_id)""",
+    "op11_hard_negatives": f"""WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, CAST(v AS DOUBLE[]) AS v FROM ({_WHOLE}) WHERE label IS NOT NULL),
+        s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score FROM r a JOIN r b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+        p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+        SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score FROM p JOIN s USING (anchor_id)
+        WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+        WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 3""",
     "op12_centroid_clustering": _clustered(5),
     "op13_exact_dedup": f"""SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256({_LOW}) AS text_sha256
         FROM documents WINDOW g AS (PARTITION BY {_LOW})""",
