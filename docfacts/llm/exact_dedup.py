@@ -63,6 +63,7 @@ def groups(documents: DataFrame, largest: bool = False, digest: Callable[[Column
         F.count("*").alias("group_size"),
         F.coalesce(by("row_no", "doc_id"), F.min("row_no")).alias("keep_row"),
     )
-    return rows.join(sizes, ["h", "class"]).select(
+    # stored, so that both sides of the join are shuffled for it and Spark may split the rows of a large group
+    return rows.join(durable(sizes, "groups"), ["h", "class"]).select(
         "doc_id", "keep_id", "group_size", (F.col("row_no") == F.col("keep_row")).alias("kept"), "text_sha256"
     )
