@@ -62,29 +62,34 @@ def unit(ts: pd.Series) -> float:
     return {"s": 1.0, "ms": 1e3, "us": 1e6, "ns": 1e9}[np.datetime_data(ts.dt.tz_localize(None).dtype if ts.dt.tz is not None else ts.dtype)[0]]
 
 
-def alerts(ts: np.ndarray, ok: np.ndarray, gap: float, prev: bool | None, last: float | None) -> tuple[list, bool | None, float | None]:
+def alerts(
+    ts: np.ndarray, ok: np.ndarray, gap: float, prev: bool | None = None, last: float | None = None, seen: float | None = None, idle: float | None = None
+) -> tuple[list, bool | None, float | None, float | None]:
     """'degraded', 'recovered' or None for each report; a degraded alert at most once in `gap` seconds, and recovery
-    clears that timer."""
+    clears that timer. Then the last report's verdict, the time of the last degraded alert, and of the last report.
+    After more than `idle` seconds without a report a key counts as new."""
     out = []
     for t, good in zip(ts, ok, strict=True):
         said = None
+        if idle is not None and seen is not None and t - seen > idle:
+            prev, last = None, None
         if not good:
             if last is None or t - last >= gap:
                 said, last = "degraded", float(t)
         elif prev is False:
             said, last = "recovered", None
-        prev = bool(good)
+        prev, seen = bool(good), float(t)
         out.append(said)
-    return out, prev, last
+    return out, prev, last, seen
 
 
-def health_alerts(reports: DataFrame, gap: float = 900.0) -> DataFrame:
-    """Batch twin of the alert stream: key, ts, alert of reports(key, ts, ok)."""
+def health_alerts(reports: DataFrame, gap: float = 900.0, idle: float | None = None) -> DataFrame:
+    """Batch twin of the alert stream: key, ts, alert of reports(key, ts, ok); null verdicts don't count."""
 
     def step(frame: pd.DataFrame, state: tuple | None) -> tuple[pd.DataFrame, tuple]:
-        said, prev, last = alerts(seconds(frame["ts"]), frame["ok"].to_numpy(bool), gap, *(state or (None, None)))
+        said, *after = alerts(seconds(frame["ts"]), frame["ok"].to_numpy(bool), gap, *(state or (None, None, None)), idle=idle)
         out = frame[["key", "ts"]].assign(alert=pd.Series(said, dtype=object))
-        return out[out["alert"].notna()], (prev, last)
+        return out[out["alert"].notna()], tuple(after)
 
     kinds = dict(reports.dtypes)
-    return walk(reports.select("key", "ts", "ok"), "key", ["ts", "ok"], step, f"key {kinds['key']}, ts {kinds['ts']}, alert string")
+    return walk(reports.select("key", "ts", "ok").where("ok is not null"), "key", ["ts", "ok"], step, f"key {kinds['key']}, ts {kinds['ts']}, alert string")

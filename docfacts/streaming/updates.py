@@ -1,71 +1,57 @@
-"""Structured Streaming jobs over updates, chats and health reports. Time is event time, so batch twins agree."""
+"""Structured Streaming jobs over updates, chats and health reports. Time is event time and rows wait for their turn (see
+ordered.py), so a stream gives what its batch twin gives over the whole table, however it is cut into micro-batches."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from .stateful import accepted, alerts, unit, walk
+from .ordered import in_order
+from .stateful import accepted, alerts, seconds, walk
+
+#: Seconds after which a silent key is forgotten by the alert stream.
+IDLE = 30 * 86400.0
 
 
-def dedup_stream(updates: DataFrame, ttl: str = "3600 seconds") -> DataFrame:
-    """An update id passes once within the ttl; null ids all pass (each counts as an id of its own)."""
-    own = F.coalesce(F.concat(F.lit("i"), F.col("update_id").cast("string")), F.concat(F.lit("n"), F.uuid()))
-    marked = updates.withColumn("_id", own).withWatermark("ts", ttl)
-    return marked.dropDuplicatesWithinWatermark(["_id"]).drop("_id")
+def _spaced(stream: DataFrame, key: str, gap: float, watermark: str) -> DataFrame:
+    """Rows at least `gap` seconds after the last of their key that passed; the state is the time of that one."""
 
+    def step(frame: pd.DataFrame, carried: tuple | None) -> tuple[pd.DataFrame, tuple | None, float | None]:
+        ok, last = accepted(frame["_at"].to_numpy(), gap, carried[0] if carried else None)
+        return frame[ok], (last,), last + gap
 
-def _seconds(frame: pd.DataFrame) -> np.ndarray:
-    return frame["ts"].astype("int64").to_numpy() / unit(frame["ts"])
+    return in_order(stream, key, "ts", step, "last double", watermark)
 
 
-def throttle_stream(events: DataFrame, seconds: float = 1.5, watermark: str = "10 seconds") -> DataFrame:
-    """A chat's events that pass; the state is the time of the last one and goes when the watermark has passed it.
-    events(chat, ts, ...); rows are taken in event time within a batch."""
-    cols = events.columns
+def dedup_stream(updates: DataFrame, ttl_seconds: float = 3600, watermark: str = "10 seconds") -> DataFrame:
+    """An update id passes once within the ttl, which begins at an update that passes; null ids all pass, without state.
+    Stream of log.dedup_updates."""
+    known = _spaced(updates.where("update_id is not null"), "update_id", ttl_seconds, watermark)
+    return known.unionByName(updates.where("update_id is null"))
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        frame = pd.concat(list(frames), ignore_index=True).sort_values(["ts", *[c for c in cols if c != "ts"]], kind="stable", ignore_index=True)
-        last = state.get[0] if state.exists else None
-        ok, last = accepted(_seconds(frame), seconds, last)
-        if last is not None:
-            state.update((last,))
-            state.setTimeoutTimestamp(max(int((last + seconds) * 1000), state.getCurrentWatermarkMs()) + 1)
-        yield frame[ok][cols]
 
-    return events.withWatermark("ts", watermark).groupBy("chat").applyInPandasWithState(run, events.schema, "last double", "append", GroupStateTimeout.EventTimeTimeout)
+def throttle_stream(events: DataFrame, gap: float = 1.5, watermark: str = "10 seconds") -> DataFrame:
+    """A chat's events that pass. Stream of log.throttle."""
+    return _spaced(events, "chat", gap, watermark)
 
 
 def context_stream(messages: DataFrame, ttl_seconds: int = 600, watermark: str = "10 seconds") -> DataFrame:
     """messages(chat, ts, kind, last_icao, pending, last_query, ...) with the context each one meets. kind 'save' writes
     the place and query and clears what is pending, 'ask' writes what is pending, 'reset' deletes, 'read' only looks.
-    Output: chat, ts, kind, ctx_last_icao, ctx_pending, ctx_last_query."""
-    out = "chat string, ts timestamp, kind string, ctx_last_icao string, ctx_pending string, ctx_last_query string"
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        frame = pd.concat(list(frames), ignore_index=True).sort_values("ts", kind="stable", ignore_index=True)
-        rows, last = context_walk(frame, _seconds(frame), tuple(state.get) if state.exists else None, ttl_seconds)
-        if last is None:
-            if state.exists:
-                state.remove()
-        else:
-            state.update(last)
-            state.setTimeoutTimestamp(max(int((last[3] + ttl_seconds) * 1000), state.getCurrentWatermarkMs()) + 1)
-        yield rows
-
-    m = messages.select("chat", "ts", "kind", "last_icao", "pending", "last_query")
-    return m.withWatermark("ts", watermark).groupBy("chat").applyInPandasWithState(run, out, "last_icao string, pending string, last_query string, at double", "append", GroupStateTimeout.EventTimeTimeout)
+    Output: chat, ts, kind, ctx_last_icao, ctx_pending, ctx_last_query. Stream of context_batch."""
+
+    def step(frame: pd.DataFrame, carried: tuple | None) -> tuple[pd.DataFrame, tuple | None, float | None]:
+        rows, last = context_walk(frame, frame["_at"].to_numpy(), carried, ttl_seconds)
+        return rows, last, None if last is None else last[3] + ttl_seconds
+
+    out = "chat string, ts long, kind string, ctx_last_icao string, ctx_pending string, ctx_last_query string"
+    made = in_order(messages.select(*_MESSAGE), "chat", "ts", step, "last_icao string, pending string, last_query string, at double", watermark, out)
+    return made.withColumn("ts", F.timestamp_micros("ts"))
+
+
+_MESSAGE = ["chat", "ts", "kind", "last_icao", "pending", "last_query"]
 
 
 def context_walk(frame: pd.DataFrame, seconds: np.ndarray, ctx: tuple | None, ttl: float) -> tuple[pd.DataFrame, tuple | None]:
@@ -91,25 +77,24 @@ def context_batch(messages: DataFrame, ttl_seconds: int = 600) -> DataFrame:
     """Batch twin of context_stream."""
 
     def step(frame: pd.DataFrame, ctx: tuple | None) -> tuple[pd.DataFrame, tuple | None]:
-        return context_walk(frame, _seconds(frame), ctx, ttl_seconds)
+        return context_walk(frame, seconds(frame["ts"]), ctx, ttl_seconds)
 
-    m = messages.select("chat", "ts", "kind", "last_icao", "pending", "last_query")
-    return walk(m, "chat", ["ts"], step, "chat string, ts timestamp, kind string, ctx_last_icao string, ctx_pending string, ctx_last_query string")
+    return walk(messages.select(*_MESSAGE), "chat", _MESSAGE[1:], step, "chat string, ts timestamp, kind string, ctx_last_icao string, ctx_pending string, ctx_last_query string")
 
 
-def alert_stream(reports: DataFrame, gap: float = 900.0, watermark: str = "10 seconds") -> DataFrame:
-    """key, ts, alert of reports(key, ts, ok)."""
+def alert_stream(reports: DataFrame, gap: float = 900.0, watermark: str = "10 seconds", idle: float = IDLE) -> DataFrame:
+    """key, ts, alert of reports(key, ts, ok). A key that is in order has no state; one that is not is forgotten after
+    `idle` seconds without a report. Stream of stateful.health_alerts with the same idle."""
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(frames), ignore_index=True).sort_values("ts", kind="stable", ignore_index=True)
-        prev, last = state.get if state.exists else (None, None)
-        said, prev, last = alerts(_seconds(frame), frame["ok"].to_numpy(bool), gap, prev, last)
-        state.update((prev, last))
-        out = frame[["key", "ts"]].assign(alert=pd.Series(said, dtype=object))
-        yield out[out["alert"].notna()]
+    def step(frame: pd.DataFrame, carried: tuple | None) -> tuple[pd.DataFrame, tuple | None, float | None]:
+        at = frame["_at"].to_numpy()
+        said, *after = alerts(at, frame["ok"].to_numpy(bool), gap, *(carried or (None, None, None)), idle=idle)
+        out = frame.assign(alert=pd.Series(said, dtype=object))
+        return out[out["alert"].notna()], *((None, None) if after[0] else (tuple(after), float(at[-1]) + idle))
 
-    r = reports.select("key", "ts", "ok")
-    return r.withWatermark("ts", watermark).groupBy("key").applyInPandasWithState(run, "key string, ts timestamp, alert string", "prev boolean, last double", "append", GroupStateTimeout.NoTimeout)
+    kind = dict(reports.dtypes)["key"]
+    made = in_order(reports.select("key", "ts", "ok").where("ok is not null"), "key", "ts", step, "prev boolean, last double, seen double", watermark, f"key {kind}, ts long, alert string")
+    return made.withColumn("ts", F.timestamp_micros("ts"))
 
 
 def log_windows(log: DataFrame, width: str = "1 day", slide: str | None = None, watermark: str = "1 hour") -> DataFrame:
