@@ -8,11 +8,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.profile import AIP, Profile
 from ..functions.text import blank_to_null, squeeze, title_case
+from ..sources.stages import durable
 
 KEY = ["scope_kind", "scope_id", "subsection", "entity", "label"]
 
@@ -236,23 +238,77 @@ def facts_pending(new: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def embedding_batches(facts: DataFrame, embed: Callable[[list[str]], list], size: int = 100, text: str = "fact_text") -> DataFrame:
-    """facts with embedding from a function that is given; it gets up to `size` stripped one-line texts at once. What it
-    cannot embed is null."""
+    """facts with embedding from a function that is given; it gets `size` stripped one-line texts at once (a task's last
+    call: what is left), however many rows an Arrow batch has. What it cannot embed is null."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        waiting: list[pd.DataFrame] = []
+        n = 0
         for b in batches:
-            clean = [t.strip().replace("\n", " ") if t else "" for t in b[text]]
-            vectors: list = []
-            for a in range(0, len(clean), size):
-                part = clean[a : a + size]
-                got = embed(part)
-                vectors += list(got) + [None] * (len(part) - len(got))
-            yield b.assign(embedding=pd.Series(vectors, index=b.index, dtype=object))
+            waiting.append(b)
+            n += len(b)
+            if n >= size:
+                rows = pd.concat(waiting, ignore_index=True)
+                full = n - n % size
+                yield embedded(rows.iloc[:full])
+                waiting, n = [rows.iloc[full:]], n % size
+        if n:
+            yield embedded(pd.concat(waiting, ignore_index=True))
+
+    def embedded(rows: pd.DataFrame) -> pd.DataFrame:
+        clean = [t.strip().replace("\n", " ") if t else "" for t in rows[text]]
+        vectors: list = []
+        for a in range(0, len(clean), size):
+            part = clean[a : a + size]
+            got = embed(part)
+            vectors += list(got) + [None] * (len(part) - len(got))
+        return rows.assign(embedding=pd.Series(vectors, index=rows.index, dtype=object))
 
     kind = ", ".join(f"`{c}` {t}" for c, t in facts.dtypes)
     return facts.mapInPandas(run, f"{kind}, embedding array<float>")
 
 
+def numbered(rows: DataFrame, order: list[str], number: str = "row_no", label: str = "numbered") -> DataFrame:
+    """Rows with numbers from 0 without gaps in the given order, as a stored table. Ranges are sorted and counted each by
+    itself, and a range's rows are shifted by the rows before it, so no task sees all rows."""
+    sorted_ = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    held = durable(sorted_, label)
+    part = F.shiftright("_at", 33)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    first = held.groupBy(part.alias("_part")).agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    within = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return held.withColumn("_part", part).join(F.broadcast(first), "_part").withColumn(number, F.col("_first") + within).drop("_part", "_at", "_first")
+
+
+def embed_into(facts: DataFrame, path: str, embed: Callable[[list[str]], list], size: int = 100, commit: int = 64, text: str = "fact_text") -> DataFrame:
+    """Embed what the Parquet table in `path` does not hold yet, and return that table. The table is the ledger: facts
+    that are pending are numbered in the order of their keys and cut into batches of exactly `size` (but the last), each
+    a group of its own and one call of the function; `commit` batches are appended at once. A run that was stopped and is
+    started again calls the function for what was not appended alone. A fact counts as held with its present text;
+    a fact without a vector is never written, so it stays pending."""
+    spark = facts.sparkSession
+    schema = facts.withColumn("embedding", F.lit(None).cast("array<float>")).schema
+    try:
+        held = spark.read.schema(schema).parquet(path)
+    except AnalysisException:  # not there yet
+        spark.createDataFrame([], schema).write.parquet(path)
+        held = spark.read.schema(schema).parquet(path)
+    same = [facts[c].eqNullSafe(held[c]) for c in [*KEY, text]]
+    todo = numbered(facts.join(held, same, "left_anti"), [*KEY, text], "_no", "pending").withColumn("_batch", F.floor(F.col("_no") / size))
+    last = todo.agg(F.max("_batch")).first()[0]
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("_no")
+        got = list(embed([t.strip().replace("\n", " ") if t else "" for t in rows[text]]))
+        return rows.drop(columns=["_no", "_batch"]).assign(embedding=pd.Series(got + [None] * (len(rows) - len(got)), index=rows.index, dtype=object))
+
+    for start in range(0, -1 if last is None else last + 1, commit):
+        part = todo.where(F.col("_batch").between(start, start + commit - 1))
+        made = part.groupBy("_batch").applyInPandas(one, schema)
+        made.where("embedding is not null").write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
 def embedded_and_failed(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """A fact without a vector is never written."""
     return facts.where("embedding is not null"), facts.where("embedding is null").drop("embedding")

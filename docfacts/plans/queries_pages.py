@@ -286,7 +286,8 @@ def obstacle_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT doc_id, CAST(2 AS BIGINT) AS n, CAST(length(trim(regexp_replace(lower(coalesce(text, '')), '\\s+', ' ', 'g'))) AS BIGINT) % 1000 AS first, doc_id % 10 = 7 AS failed FROM documents WHERE text IS NOT NULL"""
+    """WITH t AS (SELECT doc_id, trim(regexp_replace(lower(coalesce(text, '')), '\\s+', ' ', 'g')) || (doc_id % 10) AS t FROM documents)
+    SELECT doc_id, CASE WHEN doc_id % 10 <> 7 THEN CAST(length(t) AS BIGINT) END AS size, CASE WHEN doc_id % 10 <> 7 THEN CAST(length(t) - length(replace(t, 'e', '')) AS BIGINT) END AS letters, doc_id % 10 = 7 AS failed FROM t"""
 )
 def embedded_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors of a function that is given, in batches; what it cannot embed has none."""
@@ -294,14 +295,12 @@ def embedded_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     def embed(texts: list[str]) -> list:
         if len(texts) > 10 or any("\n" in t for t in texts):
             raise ValueError("batches of ten one-line texts were asked for")
-        return [[float(t[-1]), float(len(" ".join(t[:-1].split())) % 1000)] if t[-1] != "7" else None for t in texts]
+        return [[float(len(t)), float(t.count("e"))] if t[-1] != "7" else None for t in texts]
 
-    d = table(spark, sf_dir, "documents").where("text is not null")
-    one = F.concat(F.lower(F.trim(F.regexp_replace("text", r"\s+", " "))), (F.col("doc_id") % 10).cast("string"))
-    got = facts.embedding_batches(d.select("doc_id", one.alias("fact_text")), embed, 10)
-    got = got.withColumn("failed", F.col("embedding").isNull()).withColumn("want", F.length("fact_text") - 1)
-    first = F.coalesce(F.get("embedding", F.lit(1)).cast("long"), (F.length(F.expr("left(fact_text, length(fact_text) - 1)")) % 1000).cast("long"))
-    return got.select("doc_id", F.lit(2).cast("long").alias("n"), first.alias("first"), "failed")
+    one = F.concat(F.trim(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"\s+", " ")), (F.col("doc_id") % 10).cast("string"))
+    got = facts.embedding_batches(table(spark, sf_dir, "documents").select("doc_id", one.alias("fact_text")), embed, 10)
+    size, letters = (F.get("embedding", F.lit(i)).cast("long") for i in (0, 1))
+    return got.select("doc_id", size.alias("size"), letters.alias("letters"), F.col("embedding").isNull().alias("failed"))
 
 
 @query(

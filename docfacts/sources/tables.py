@@ -110,13 +110,18 @@ def write_spans(spans: DataFrame, path: str) -> None:
     spans.where("start_page is not null").groupBy().agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("section_id", entry)))).alias("m")).select(F.to_json("m").alias("value")).write.mode("overwrite").text(path)
 
 
+def latest(updates: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """The last row in `order` of each key; without an order, the updates as they are."""
+    if not order:
+        return updates
+    payload = F.struct(order, *[c for c in updates.columns if c != order])
+    return updates.groupBy(*keys).agg(F.max(payload).alias("p")).select(*[F.col(f"p.{c}").alias(c) for c in updates.columns])
+
+
 def upsert(target: DataFrame, updates: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
     """Target with updates merged by key; of several updates for a key the last in `order` wins. Write the result to a
-    new path: a plan must not overwrite what it reads."""
-    last = updates
-    if order:
-        payload = F.struct(order, *[c for c in updates.columns if c != order])
-        last = updates.groupBy(*keys).agg(F.max(payload).alias("p")).select(*[F.col(f"p.{c}").alias(c) for c in updates.columns])
+    new path: a plan must not overwrite what it reads. `store.Store` writes in place, partition by partition."""
+    last = latest(updates, keys, order)
     same = [target[k].eqNullSafe(last[k]) for k in keys]
     return target.join(last, same, "left_anti").unionByName(last, allowMissingColumns=True)
 
