@@ -190,22 +190,35 @@ def train(texts: list[bytes], good: np.ndarray, steps: int = 600, batch: int = 3
     return net
 
 
+def fitting(sizes: list[int], most: int) -> list[int]:
+    """Places of the sizes that fit, taken in order: one that would exceed the sum is left out and the next ones follow."""
+    out, total = [], 0
+    for k, n in enumerate(sizes):
+        if total + n <= most:
+            out.append(k)
+            total += n
+    return out
+
+
 def sample(documents: DataFrame, labels: DataFrame, most_rows: int, most_bytes: int) -> DataFrame:
-    """text and quality of labelled rows in the order of a hash of their ids: at most most_rows of them, and the first
-    that fit into most_bytes of text. Both bounds hold before a row leaves the tasks."""
+    """number, text and quality of labelled rows in the order of a hash of their ids: at most most_rows of them, and as
+    many as fit into most_bytes of text. A text that does not fit beside those before it is left out, a longer one than
+    most_bytes always, and the ones after it still teach. Both bounds hold before a text leaves the tasks."""
     marked = labelled_sample(labels, most_rows)
     size = F.coalesce(F.octet_length("text"), F.lit(0))
     held = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), size.alias("size"), F.xxhash64("text").alias("print"))
-    # a repeated row teaches once; ids are few here, so their rows meet in one place
+    # a repeated row teaches once; ids are few here, and their sizes come to the driver
     few = held.select("doc_id", "print", "size").join(F.broadcast(marked), "doc_id").groupBy("doc_id", "print").agg(F.first("size").alias("size"), F.first("quality").alias("quality"))
-    line = Window.orderBy(F.xxhash64("doc_id"), "doc_id", "print")
-    few = few.orderBy(F.xxhash64("doc_id"), "doc_id", "print").limit(most_rows).withColumn("sum", F.sum("size").over(line)).where(F.col("sum") <= most_bytes)
-    return held.join(F.broadcast(few.drop("size")), ["doc_id", "print"]).dropDuplicates(["doc_id", "print"]).select("sum", "text", "quality", "doc_id", "print")
+    rows = few.orderBy(F.xxhash64("doc_id"), "doc_id", "print").limit(most_rows).collect()
+    taken = [(n, rows[k]["doc_id"], rows[k]["print"], rows[k]["quality"]) for n, k in enumerate(fitting([r["size"] for r in rows], most_bytes))]
+    kinds = dict(few.dtypes)
+    chosen = documents.sparkSession.createDataFrame(taken, f"number int, doc_id {kinds['doc_id']}, print long, quality {kinds['quality']}")
+    return held.join(F.broadcast(chosen), ["doc_id", "print"]).dropDuplicates(["doc_id", "print"]).select("number", "text", "quality", "doc_id", "print")
 
 
 def fit(documents: DataFrame, labels: DataFrame, most_rows: int = 3000, most_bytes: int = 12_000_000, **options) -> Network:
     """Train on at most `most_rows` labelled rows and `most_bytes` of text, whatever the size of the tables."""
-    rows = sample(documents, labels, most_rows, most_bytes).toPandas().sort_values(["sum", "doc_id", "print"], kind="stable")
+    rows = sample(documents, labels, most_rows, most_bytes).toPandas().sort_values("number", kind="stable")
     return train([t.encode("utf-8", "replace") for t in rows["text"]], rows["quality"].to_numpy(float), **options)
 
 
