@@ -3,12 +3,13 @@
 Counting reads every text with a known language, in numpy within tasks; Spark adds the counts up. The matrix of
 log-probabilities (buckets x languages, a fixed number of buckets) goes to the tasks, which score batches of texts.
 
-Languages are few: a table that names more than MOST_LANGUAGES is refused, since the matrix grows with them, and a task
-holds the counts of HELD languages at a time.
+The matrix grows with the languages. Up to MOST_LANGUAGES make one model; more are cut into models of that many, each
+of which goes over the texts in a pass of its own, and the passes' verdicts are put together by document, with the same
+result. A task holds the counts of HELD languages at a time.
 
 Characters that are not letters count as one blank; an n-gram of blanks alone counts for nothing. Null texts and texts
 without a letter are `und` with score 0. Ties go to the language that sorts first. Repeated rows are scored alike. With
-nothing to learn from, every text is `und`. Further columns of the input are left alone.
+nothing to learn from, every text is `und`; an empty table gives an empty one. Further columns are left alone.
 """
 
 from __future__ import annotations
@@ -21,12 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow
+from .common import durable, fresh, map_arrow
 
 UNKNOWN = "und"
 BUCKETS = 1 << 15
 SIZES = (2, 3)
-#: Languages that a model may have (256 kB each), and that a task counts at a time.
+#: Languages that one model has at most (256 kB each), and that a task counts at a time.
 MOST_LANGUAGES, HELD = 200, 32
 #: Characters that numpy works on at once; longer texts are taken in overlapping pieces.
 PIECE = 400_000
@@ -111,18 +112,22 @@ class Model:
         own, any_bucket = (np.exp(self.log_p) * self.log_p).sum(0), self.log_p.mean(0)
         return own - (own - any_bucket) / 3
 
-    def judge(self, texts: list[str]) -> tuple[list[str], list[float], list[bool]]:
-        """Language, posterior, and whether the text looks like the language at all (posteriors only compare)."""
-        k = len(self.langs)
-        if not k:
-            return [UNKNOWN] * len(texts), [0.0] * len(texts), [False] * len(texts)
-        total, letters, n = np.zeros((len(texts), k)), np.zeros(len(texts), bool), np.zeros(len(texts))
+    def weighed(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each text the log-probability with each language, whether it has a letter, and its n-grams."""
+        total, letters, n = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts), bool), np.zeros(len(texts))
         for group in _groups(texts):
             b, owner, has = hashed(group)
             np.logical_or.at(letters, np.array([i for i, _, _ in group]), has)
             n += np.bincount(owner, minlength=len(texts))
-            for j in range(k):
+            for j in range(len(self.langs)):
                 total[:, j] += np.bincount(owner, self.log_p[b, j], len(texts))
+        return total, letters, n
+
+    def judge(self, texts: list[str]) -> tuple[list[str], list[float], list[bool]]:
+        """Language, posterior, and whether the text looks like the language at all (posteriors only compare)."""
+        if not self.langs:
+            return [UNKNOWN] * len(texts), [0.0] * len(texts), [False] * len(texts)
+        total, letters, n = self.weighed(texts)
         z = total + self.prior
         z -= z.max(1, keepdims=True)
         p = np.exp(z)
@@ -131,6 +136,17 @@ class Model:
         clear = letters & (total[row, best] >= self.floors()[best] * n)
         return [self.langs[b] if ok else UNKNOWN for b, ok in zip(best, letters, strict=True)], np.where(letters, p[row, best], 0.0).tolist(), clear.tolist()
 
+    def part(self, texts: list[str]) -> list[tuple]:
+        """What one of several models says: the best language, its log-probability, the log of the sum over all its
+        languages, whether the text has a letter and looks like that language."""
+        total, letters, n = self.weighed(texts)
+        z = total + self.prior
+        best, row = z.argmax(1), np.arange(len(texts))
+        top = z[row, best]
+        every = top + np.log(np.exp(z - top[:, None]).sum(1))
+        clear = letters & (total[row, best] >= self.floors()[best] * n)
+        return list(zip([self.langs[b] for b in best], top.tolist(), every.tolist(), letters.tolist(), clear.tolist(), strict=True))
+
     def score(self, texts: list[str]) -> tuple[list[str], list[float]]:
         return self.judge(texts)[:2]
 
@@ -163,13 +179,8 @@ def count(rows: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     return map_arrow(known, tally, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
-def fit(rows: DataFrame, text: str = "text", lang: str = "lang", smoothing: float = 0.5) -> Model:
-    """The model over all rows given; what reaches the driver is BUCKETS + 1 numbers a language at most."""
-    many = rows.select(F.approx_count_distinct(F.col(lang))).first()[0]
-    if many > 1.2 * MOST_LANGUAGES:
-        raise ValueError(f"the column {lang} names about {many} languages, {MOST_LANGUAGES} at most are learned")
-    found = count(rows, text, lang).toPandas()
-    langs = sorted(found["lang"].unique())
+def _model(found, langs: list[str], documents: float, smoothing: float) -> Model:
+    """found: lang, bucket and n of these languages, as a frame; documents: how many all languages have."""
     table, prior = np.zeros((BUCKETS, len(langs))), np.zeros(len(langs))
     for j, name in enumerate(langs):
         own = found[found["lang"] == name]
@@ -177,11 +188,70 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", smoothing: floa
         table[at[at >= 0], j] = n[at >= 0]
         prior[j] = n[at < 0].sum()
     table += smoothing
-    return Model(langs, np.log(table / table.sum(0)) if langs else table, np.log(prior / prior.sum()) if langs else prior)
+    return Model(langs, np.log(table / table.sum(0)) if langs else table, np.log(prior / documents) if langs else prior)
 
 
-def predict(rows: DataFrame, model: Model, text: str = "text") -> DataFrame:
+@dataclass
+class Models:
+    """More languages than one model has: their counts as a stored table, and the names with their documents."""
+
+    counts: DataFrame
+    langs: list[str]
+    documents: float
+    smoothing: float
+
+    def each(self):
+        for a in range(0, len(self.langs), MOST_LANGUAGES):
+            own = self.langs[a : a + MOST_LANGUAGES]
+            yield _model(self.counts.where(F.col("lang").isin(own)).toPandas(), own, self.documents, self.smoothing)
+
+
+def fit(rows: DataFrame, text: str = "text", lang: str = "lang", smoothing: float = 0.5) -> Model | Models:
+    """The model over all rows given; what reaches the driver at a time is BUCKETS + 1 numbers for each of
+    MOST_LANGUAGES languages at most."""
+    many = rows.where(F.col(lang).isNotNull()).select(lang).distinct().limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES
+    found = count(rows, text, lang)
+    if not many:
+        found = found.toPandas()
+        return _model(found, sorted(found["lang"].unique()), found["n"][found["bucket"] < 0].sum(), smoothing)
+    found = durable(found, "ngrams")
+    size = found.where("bucket < 0").toPandas()  # a row for each language
+    return Models(found, sorted(size["lang"]), float(size["n"].sum()), smoothing)
+
+
+def _verdicts(rows: DataFrame, models: Models, key: str, text: str) -> DataFrame:
+    """key, lang, score and clear of each row, put together from a pass for each model. rows: a stored table."""
+    kind, every = dict(rows.dtypes)[key], None
+    names = ["lang", "top", "every", "letters", "clear"]
+    for model in models.each():
+        sent = rows.sparkSession.sparkContext.broadcast(model)  # MOST_LANGUAGES at most
+
+        def run(batches, sent=sent):
+            for b in batches:
+                found = sent.value.part([t or "" for t in b.column("text").to_pylist()])
+                cols = list(zip(*found, strict=True)) or [[]] * len(names)
+                kinds = (pa.string(), pa.float64(), pa.float64(), pa.bool_(), pa.bool_())
+                yield pa.RecordBatch.from_arrays([b.column("key"), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=["key", *names])
+
+        own = map_arrow(rows.select(F.col(key).alias("key"), F.col(text).alias("text")), run, f"key {kind}, lang string, top double, every double, letters boolean, clear boolean")
+        own = durable(own, "languages")
+        sent.unpersist()
+        every = own if every is None else every.unionByName(own)
+    # of equal probabilities the language that sorts first; sums by their differences from the largest
+    best = F.min(F.struct((-F.col("top")).alias("below"), "lang", "letters", "clear")).alias("b")
+    top = every.groupBy("key").agg(best, F.max("every").alias("m"), F.collect_list("every").alias("e"))
+    total = F.col("m") + F.log(F.aggregate(F.transform("e", lambda x: F.exp(x - F.col("m"))), F.lit(0.0), lambda s, x: s + x))
+    known = F.col("b.letters")
+    return top.select(
+        "key", F.when(known, F.col("b.lang")).otherwise(UNKNOWN).alias("lang"), F.when(known, F.exp(-F.col("b.below") - total)).otherwise(0.0).alias("score"), F.col("b.clear").alias("clear")
+    )
+
+
+def predict(rows: DataFrame, model: Model | Models, text: str = "text") -> DataFrame:
     """doc_id, lang_pred, score for each row."""
+    if isinstance(model, Models):
+        held = durable(rows.select(F.struct("doc_id", F.monotonically_increasing_id().alias("no")).alias("key"), F.col(text).alias("text")), "texts")
+        return _verdicts(held, model, "key", "text").select("key.doc_id", F.col("lang").alias("lang_pred"), "score")
     sent = rows.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages doubles: 1 MB for four
 
     def run(batches):
@@ -198,8 +268,13 @@ def predict(rows: DataFrame, model: Model, text: str = "text") -> DataFrame:
     )
 
 
-def keep_identified(rows: DataFrame, model: Model, least: float = 0.5, text: str = "text") -> DataFrame:
+def keep_identified(rows: DataFrame, model: Model | Models, least: float = 0.5, text: str = "text") -> DataFrame:
     """The rows whose language is known with a score of `least` or more and that look like it, with all their columns."""
+    if isinstance(model, Models):
+        key = fresh(rows, "row_no")
+        held = durable(rows.withColumn(key, F.monotonically_increasing_id()), "texts")
+        good = _verdicts(held, model, key, text).where((F.col("lang") != UNKNOWN) & (F.col("score") >= least) & F.col("clear"))
+        return held.join(good.select(F.col("key").alias(key)), key, "left_semi").select(*rows.columns)
     sent = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

@@ -188,8 +188,11 @@ def test_training_sample_is_bounded_before_it_travels(spark):
     marks = spark.createDataFrame([(i, i % 2) for i in range(90)], "doc_id long, quality int")
     rows = quality_cnn.sample(docs, marks, 40, 8000).collect()
     assert 5 < len(rows) <= 40 and sum(len(r["text"]) for r in rows) <= 8000
-    assert sorted(r["sum"] for r in rows) == np.cumsum([len(r["text"]) for r in sorted(rows, key=lambda r: r["sum"])]).tolist()
     assert quality_cnn.sample(docs, marks, 3000, 10**7).count() == 90
+    assert quality_cnn.fitting([5, 100, 3, 3, 1], 9) == [0, 2, 4]
+    long = spark.createDataFrame([(i, "y" * 20_000) for i in range(0, 90, 9)], "doc_id long, text string")
+    others = quality_cnn.sample(docs.where("doc_id % 9 > 0").unionByName(long), marks, 3000, 15_000).collect()
+    assert 15_000 - 100 <= sum(len(r["text"]) for r in others) <= 15_000 and not any("y" in r["text"] for r in others)
 
 
 def test_rules_hold_no_threshold_twice():
@@ -229,9 +232,30 @@ def test_many_languages(spark, monkeypatch):
     whole = {(r["lang"], r["bucket"]): r["n"] for r in language_id.count(rows).collect()}
     monkeypatch.setattr(language_id, "HELD", 1000)
     assert {(r["lang"], r["bucket"]): r["n"] for r in language_id.count(rows).collect()} == whole
-    monkeypatch.setattr(language_id, "MOST_LANGUAGES", 20)
-    with pytest.raises(ValueError, match="languages"):
-        language_id.fit(rows)
+
+
+def test_more_languages_than_a_model_has(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    words = [["".join(rng.choice(list("abcdefghijklmnop"), 4)) for _ in range(12)] for _ in range(100)]
+    text = lambda k: " ".join(rng.choice(words[k], 9))
+    known = [(text(i % 100), f"l{i % 100:03}") for i in range(400)] + [(text(0), None), (None, "l007")]
+    asked = [(i, text(i % 100), "a", "b") for i in range(150)] + [(5, None, "a", "b"), (None, "12 !", "a", "b"), (6, text(6), "a", "b"), (6, "ßßß zzz qqq", "a", "b")]
+    rows = spark.createDataFrame(known, "text string, lang string").repartition(3)
+    docs = spark.createDataFrame(asked, "doc_id long, text string, lang string, row_no string").repartition(3)
+
+    def found(model):
+        return Counter((r["doc_id"], r["lang_pred"], round(r["score"], 9)) for r in language_id.predict(docs, model).collect())
+
+    one = language_id.fit(rows)
+    assert isinstance(one, language_id.Model) and len(one.langs) == 100
+    whole, kept = found(one), Counter(map(tuple, language_id.keep_identified(docs, one).collect()))
+    monkeypatch.setattr(language_id, "MOST_LANGUAGES", 7)
+    many = language_id.fit(rows)
+    assert isinstance(many, language_id.Models) and [len(m.langs) for m in many.each()] == [7] * 14 + [2]
+    assert found(many) == whole
+    again = language_id.keep_identified(docs, many)
+    assert again.columns == docs.columns and Counter(map(tuple, again.collect())) == kept and 100 < sum(kept.values()) < 154
+    assert language_id.predict(docs.limit(0), many).count() == 0
 
 
 # SimHash
