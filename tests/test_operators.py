@@ -2,7 +2,9 @@
 
 import datetime as dt
 import json
+import re
 
+import numpy as np
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -429,6 +431,24 @@ def test_verification(spark):
     assert verify.best_excerpt(q, e).first()["excerpt_no"] == 2
 
 
+@pytest.mark.parametrize("by", ["words", "numbers"])
+def test_excerpts_that_share_most(spark, by):
+    rng = np.random.default_rng(6)
+    stems = [f"word{'abcdefghij'[i // 10]}{'abcdefghij'[i % 10]}" for i in range(100)] if by == "words" else [str(i) for i in range(100)]
+    weight = 1 / np.arange(1, 101)  # a few are in nearly all texts
+    text = lambda n: " ; ".join(rng.choice(stems, n, p=weight / weight.sum()))
+    e = [(i, text(int(rng.integers(0, 25)))) for i in range(150)] + [(150, None), (151, ""), (152, " ; ".join(stems))]
+    q = [(i, c, i if i % 3 else None) for i, c in e[:60]] + [(900, "zzzz", None), (901, None, None), (902, " ; ".join(stems[:9]), 152)]
+    find = (lambda t: set(re.findall(r"\b[a-z]{4,}\b", t or ""))) if by == "words" else (lambda t: set(re.findall(r"\d+", t or "")))
+    want = set()
+    for i, c, out in q:
+        n = {j: len(find(c) & find(d)) for j, d in e if j != out}
+        top = max(n.values())
+        want |= {(i, j, top) for j, k in n.items() if k == top > 0}
+    got = verify.most_shared(spark.createDataFrame(q, "query_id int, query string, leave_out int"), spark.createDataFrame(e, "excerpt_no int, content string"), by).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
 def test_fields(spark):
     df = spark.createDataFrame([(1, "Head: Runway 18L TORA=2745 m; Runway 18R TORA=3900 m LDA= 3900; Fuel type=Jet A1"), (2, "no pairs")], "query_id int, text string")
     f = verify.parse_field_table(df)
