@@ -13,17 +13,43 @@ from ..functions.text import found, quoted, squeeze, strip_all
 PAGE_HEIGHT = 2000.0
 
 
+#: Levels of aligned blocks (of 1, 2, 4 ... pages) that a range may be cut into.
+LEVELS = 62
+
+
+def range_blocks(start: Column, end: Column) -> Column:
+    """The range start..end (whole numbers, both included) as an array of aligned blocks (level, block), two a level at
+    most: block b of level k holds the numbers from b * 2^k on, 2^k of them."""
+    first, stop = start.cast("long"), end.cast("long") + 1
+
+    def at(k: Column) -> Column:
+        return F.struct(k.alias("level"), (-F.call_function("shiftright", -first, k)).alias("lo"), F.call_function("shiftright", stop, k).alias("hi"))
+
+    levels = F.filter(F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), at), lambda x: x["lo"] < x["hi"])
+
+    def edge(odd: str, block) -> Column:
+        kept = F.filter(levels, lambda x: F.pmod(x[odd], F.lit(2)) == 1)
+        return F.transform(kept, lambda x: F.struct(x["level"].alias("level"), block(x).alias("block")))
+
+    return F.concat(edge("lo", lambda x: x["lo"]), edge("hi", lambda x: x["hi"] - 1))
+
+
 def assign_section(pages: DataFrame, sections: DataFrame, most_sections: int = 5000) -> DataFrame:
     """pages with section_id and kind of the section whose page range holds them, else null; of several the one with
     the smallest seq; a range that ends before it starts holds none. A section table of up to most_sections rows is
-    broadcast as a range join; a larger one is spread over its pages and joined by page, with the same result."""
+    broadcast as a range join. A larger one is an index of intervals: each range is cut into aligned blocks, some fifty
+    at most however many pages it holds, and a page looks up the block it lies in at each level that occurs."""
     s = sections.select(F.col("doc_id").alias("_d"), "section_id", "kind", "start_page", "end_page", "seq").where("start_page <= end_page")
+    asked = pages.select("doc_id", "page").distinct()
     if s.limit(most_sections + 1).count() <= most_sections:
         on = (F.col("doc_id") == F.col("_d")) & F.col("page").between(F.col("start_page"), F.col("end_page"))
-        hits = pages.select("doc_id", "page").distinct().join(F.broadcast(s), on)
+        hits = asked.join(F.broadcast(s), on)
     else:
-        spread = s.withColumn("_p", F.explode(F.sequence("start_page", "end_page")))
-        hits = pages.select("doc_id", "page").distinct().join(spread, (F.col("doc_id") == F.col("_d")) & (F.col("page") == F.col("_p")))
+        blocks = s.withColumn("_b", F.explode(range_blocks(F.col("start_page"), F.col("end_page")))).select("_d", "section_id", "kind", "seq", "_b.*")
+        levels = sorted(r[0] for r in blocks.select("level").distinct().collect())  # LEVELS at most
+        looked = asked.withColumn("_level", F.explode(F.array(*[F.lit(k) for k in levels])))
+        looked = looked.withColumn("_block", F.call_function("shiftright", F.col("page").cast("long"), F.col("_level")))
+        hits = looked.join(blocks, (F.col("doc_id") == F.col("_d")) & (F.col("_level") == F.col("level")) & (F.col("_block") == F.col("block")))
     first = hits.groupBy("doc_id", "page").agg(F.min_by(F.struct("section_id", "kind"), "seq").alias("s"))
     return pages.join(first, ["doc_id", "page"], "left").withColumns({"section_id": F.col("s.section_id"), "kind": F.col("s.kind")}).drop("s")
 

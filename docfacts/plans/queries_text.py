@@ -152,6 +152,19 @@ def range_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.assign_section(pages, sections).groupBy("doc_id", "page", "section_id").agg(F.count("*").alias("n"))
 
 
+@query(
+    """WITH p AS (SELECT o_custkey % 20 AS doc_id, o_orderkey AS page FROM orders), s AS (SELECT c_custkey % 20 AS doc_id, c_custkey AS seq, c_custkey * 3 AS a, CASE WHEN c_custkey % 40 = 7 THEN 100000000 ELSE c_custkey * 3 + c_nationkey END AS z FROM customer WHERE c_custkey % 2 = 1)
+    SELECT p.doc_id, p.page, min(s.seq) AS section FROM (SELECT DISTINCT * FROM p) p LEFT JOIN s ON p.doc_id = s.doc_id AND p.page BETWEEN s.a AND s.z GROUP BY ALL"""
+)
+def range_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B1: pages to the first of many ranges, short ones and some of a hundred million pages, by an index of intervals."""
+    pages = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 20).alias("doc_id"), F.col("o_orderkey").alias("page"))
+    c = F.col("c_custkey")
+    end = F.when(c % 40 == 7, 100_000_000).otherwise(c * 3 + F.col("c_nationkey"))
+    sections = table(spark, sf_dir, "customer").where(c % 2 == 1).select((c % 20).alias("doc_id"), c.alias("section_id"), F.lit("standard").alias("kind"), (c * 3).alias("start_page"), end.alias("end_page"), c.alias("seq"))
+    return structure.assign_section(pages, sections, 0).select("doc_id", "page", F.col("section_id").alias("section")).distinct()
+
+
 @query(
     f"""WITH {EVENT_PAGES}, m AS (SELECT *, min(CASE WHEN event_type = 'signup' THEN page END) OVER (PARTITION BY doc_id) AS s FROM pages),
     g AS (SELECT doc_id, any_value(s) AS s, min(CASE WHEN event_type = 'purchase' AND page > s THEN page END) AS e, max(page) AS z FROM m GROUP BY doc_id)

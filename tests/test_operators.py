@@ -416,6 +416,17 @@ def test_procedures(spark):
     assert [r["r"] for r in block.select(route.info_block(F.col("t"), F.col("q")).alias("r")).collect()] == ["The wind decides", None]
 
 
+def test_ranges_as_blocks(spark):
+    ranges = [(a, b) for a in (-9, -1, 0, 1, 5, 7, 8) for b in range(a, a + 20)] + [(1, 10_000_000), (3, 10_000_003), (5, 4)]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(ranges)], "k int, a int, b int")
+    got = {r["k"]: [(x["level"], x["block"]) for x in r["x"]] for r in df.select("k", structure.range_blocks(F.col("a"), F.col("b")).alias("x")).collect()}
+    for k, (a, b) in enumerate(ranges):
+        covered = sorted((n << level, (n + 1) << level) for level, n in got[k])
+        assert len(got[k]) <= 50
+        assert sum(z - x for x, z in covered) == max(0, b - a + 1)
+        assert not covered or (covered[0][0], covered[-1][1]) == (a, b + 1) and all(x[1] == y[0] for x, y in zip(covered, covered[1:], strict=False))
+
+
 def test_verification(spark):
     ex = spark.createDataFrame([(i, 1, "TORA is 3 610 m and LDA  2745 m") for i in range(1, 9)] + [(1, 2, "other 99")], "answer_id int, excerpt_no int, content string")
     fact = lambda v, n=1: [(v, "w", n)]
