@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -113,19 +114,31 @@ def split_subsections(df: DataFrame, text: str = "text", least: int = 30) -> Dat
     return parts.withColumn("chunk", F.regexp_replace("chunk", r"^\s+|\s+$", "")).withColumn("subsection", number).where(F.col("subsection").isNotNull() & (F.length("chunk") > least))
 
 
+def packed_starts(sizes: np.ndarray, limit: int) -> list[int]:
+    """Where chunks begin if parts of these sizes are merged in order up to the limit; a longer part stands alone. A
+    search in the running sums for each chunk, not a step for each part."""
+    ends, starts, at = np.cumsum(sizes), [], 0
+    while at < len(sizes):
+        starts.append(at)
+        before = ends[at - 1] if at else 0
+        at = max(at + 1, int(np.searchsorted(ends, before + limit, "right")))
+    return starts
+
+
 def pack_sections(df: DataFrame, text: str = "text", limit: int = 7500, heading: str = r"(?m)^(?=\s*2\.22\.\d+\b)") -> DataFrame:
-    """df's other columns with chunk_no (from 0, in order) and chunk: text split at headings, merged up to the limit."""
-    parts = F.filter(F.split(text, heading), lambda p: F.trim(p) != "")
-    zero = F.struct(F.expr("cast(array() as array<string>)").alias("done"), F.lit("").alias("buf"))
+    """df's other columns with chunk_no (from 0, in order) and chunk: text split at headings, merged up to the limit. Only
+    the lengths of the parts go through Python; time and memory are in proportion to the text."""
 
-    def merge(a: Column, p: Column) -> Column:
-        fits = F.length(a["buf"]) + F.length(p) <= limit
-        done = F.when(fits | (F.trim(a["buf"]) == ""), a["done"]).otherwise(F.concat(a["done"], F.array(a["buf"])))
-        return F.struct(done.alias("done"), F.when(fits, F.concat(a["buf"], p)).otherwise(p).alias("buf"))
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def starts(sizes: pd.Series) -> pd.Series:
+        return sizes.map(lambda x: packed_starts(np.asarray(x, np.int64), limit) if x is not None else None)
 
-    packed = F.aggregate(parts, zero, merge, lambda a: F.when(F.trim(a["buf"]) == "", a["done"]).otherwise(F.concat(a["done"], F.array(a["buf"]))))
     rest = [c for c in df.columns if c != text]
-    return df.select(*rest, F.posexplode(packed).alias("chunk_no", "chunk"))
+    parts = df.select(*rest, F.filter(F.split(text, heading), lambda p: F.trim(p) != "").alias("_parts"))
+    cut = parts.withColumn("_starts", starts(F.transform("_parts", F.length)))
+    stop = F.coalesce(F.get("_starts", F.col("chunk_no") + 1), F.size("_parts"))
+    cut = cut.select(*rest, "_parts", "_starts", F.posexplode("_starts").alias("chunk_no", "_from"))
+    return cut.select(*rest, "chunk_no", F.array_join(F.slice("_parts", F.col("_from") + 1, stop - F.col("_from")), "").alias("chunk"))
 
 
 def build_prefix(part: Column, section: Column, title: Column, name: Column, reference: Column, document: str) -> Column:

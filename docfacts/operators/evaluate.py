@@ -87,10 +87,12 @@ def verdicts(rows: DataFrame) -> DataFrame:
     return r.withColumns({"verdict": verdict, "value_ok": F.when(~clarify & ~refused & ~failed, value)}).drop("_v")
 
 
+CASE_VERDICTS = ("PASS", "VALUE_MISS", "ROUTE_MISS", "FAIL", "GUARD_REFUSAL", "CLARIFY_OK", "CLARIFY_MISS", "HARNESS_ERROR")
+
+
 def verdict_matrix(rows: DataFrame, by: str) -> DataFrame:
     """Counts of each verdict by a column."""
-    kinds = ["PASS", "VALUE_MISS", "ROUTE_MISS", "FAIL", "GUARD_REFUSAL", "CLARIFY_OK", "CLARIFY_MISS", "HARNESS_ERROR"]
-    return rows.groupBy(by).agg(*[F.count_if(F.col("verdict") == k).alias(k.lower()) for k in kinds], F.count("*").alias("n"))
+    return rows.groupBy(by).agg(*[F.count_if(F.col("verdict") == k).alias(k.lower()) for k in CASE_VERDICTS], F.count("*").alias("n"))
 
 
 def worst_sections(rows: DataFrame, by: str = "subsection", k: int = 8, least: int = 3) -> DataFrame:
@@ -99,9 +101,20 @@ def worst_sections(rows: DataFrame, by: str = "subsection", k: int = 8, least: i
     return m.withColumn("miss_rate", F.round(1 - F.col("passed") / F.col("n"), 6)).orderBy(F.desc("miss_rate"), by).limit(k)
 
 
-def corruption_rates(rows: DataFrame, by: str = "corruption") -> DataFrame:
-    m = rows.groupBy(by).agg(F.count("*").alias("n"), F.count_if(F.col("verdict").isin("PASS", "CLARIFY_OK")).alias("ok"))
-    return m.withColumn("ok_pct", F.floor(100 * F.col("ok") / F.col("n")).cast("long"))
+def verdict_levels(rows: DataFrame, by: tuple[str, ...] = ("subsection", "corruption")) -> DataFrame:
+    """level (a column's name, or 'total'), name, counts of each verdict, n, ok (passed, or asked back rightly) and ok_pct
+    (whole per cent): every level of the report from one pass over the rows, by grouping sets. A null name is a name."""
+    sets = [[F.col(c)] for c in by] + [[]]
+    n = F.count("*")
+    ok = F.count_if(F.col("verdict").isin("PASS", "CLARIFY_OK"))
+    counts = [F.count_if(F.col("verdict") == k).alias(k.lower()) for k in CASE_VERDICTS]
+    # grouping() is 0 for the column that a row is grouped by
+    own = [F.grouping(c) == 0 for c in by]
+    level, name = F.lit("total"), F.lit(None).cast("string")
+    for c, mine in zip(by, own, strict=True):
+        level, name = F.when(mine, F.lit(c)).otherwise(level), F.when(mine, F.col(c).cast("string")).otherwise(name)
+    made = rows.groupingSets(sets, *[F.col(c) for c in by]).agg(level.alias("level"), name.alias("name"), *counts, n.alias("n"), ok.alias("ok"))
+    return made.select("level", "name", *[k.lower() for k in CASE_VERDICTS], "n", "ok", F.floor(100 * F.col("ok") / F.greatest("n", F.lit(1))).cast("long").alias("ok_pct"))
 
 
 def has_number(reply: Column, number: Column) -> Column:

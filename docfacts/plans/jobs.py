@@ -94,4 +94,4 @@ def observe(entries: DataFrame, feedback: DataFrame, now: Column, days: int = 30
 def assess(rows: DataFrame) -> dict[str, DataFrame]:
     """Verdicts of replies, and where they fail."""
     judged = evaluate.verdicts(rows)
-    return {"rows": judged, "sections": evaluate.verdict_matrix(judged, "subsection"), "worst": evaluate.worst_sections(judged), "corruption": evaluate.corruption_rates(judged)}
+    return {"rows": judged, "levels": evaluate.verdict_levels(judged), "worst": evaluate.worst_sections(judged)}

@@ -170,17 +170,30 @@ def stored_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return src.read_words(spark, path).groupBy("doc_id", "page").agg(F.count("*").alias("n"))
 
 
-@query("SELECT conv_id || '-' || turn AS id, role AS category, text AS question, CASE WHEN turn % 2 = 0 THEN 'say \"' || role || '\", then' || chr(10) || 'stop' END AS ground_truth, 'retrieval' AS test_type FROM conversations WHERE text IS NOT NULL AND trim(text) = text AND text <> ''")
+@query("SELECT conv_id || '-' || turn AS id, role AS category, text AS question, CASE WHEN turn % 2 = 0 THEN 'say \"' || role || '\", then' || chr(10) || 'stop' END AS ground_truth, CASE WHEN turn % 3 = 0 THEN '  ' || role || ' ' ELSE '' END AS test_type FROM conversations")
 def read_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A3: test cases with quotes and line ends, from CSV."""
+    """A3: test cases with quotes, line ends, outer blanks, empty and missing texts, from CSV."""
     path = scratch(spark, "cases")
-    c = table(spark, sf_dir, "conversations").where("text is not null and trim(text) = text and text <> ''")
+    c = table(spark, sf_dir, "conversations")
     truth = F.when(F.col("turn") % 2 == 0, F.concat(F.lit('say "'), "role", F.lit('", then\nstop')))
-    rows = c.select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("role").alias("category"), F.col("text").alias("question"), truth.alias("ground_truth"), F.lit("retrieval").alias("test_type"))
-    rows.write.csv(path, header=True, quote='"', escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    kind = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("  "), "role", F.lit(" "))).otherwise("")
+    rows = c.select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("role").alias("category"), F.col("text").alias("question"), truth.alias("ground_truth"), kind.alias("test_type"))
+    src.write_cases_csv(rows, path)
     return src.read_eval_csv(spark, path)
 
 
+@query(
+    "SELECT conv_id || '-' || turn AS id, CAST(turn AS VARCHAR) AS turn, substr(regexp_replace(text, '\\r?\\n', ' ⏎ ', 'g'), 1, 200) AS reply, role || CASE WHEN turn % 2 = 0 THEN ', said \"x\"' ELSE '' END AS note FROM conversations"
+)
+def written_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A3: results with replies on one line and cut to a width, as a CSV file, read again."""
+    path = scratch(spark, "results")
+    note = F.concat("role", F.when(F.col("turn") % 2 == 0, ', said "x"').otherwise(""))
+    rows = table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), "turn", F.col("text").alias("reply"), note.alias("note"))
+    src.write_results_csv(rows, path, 200)
+    return src.read_eval_csv(spark, path, "id string, turn string, reply string, note string")
+
+
 @query(
     f"""WITH {EVENT_PAGES}, m AS (SELECT *, min(CASE WHEN event_type = 'signup' THEN page END) OVER (PARTITION BY doc_id) AS s FROM pages), g AS (SELECT doc_id, any_value(s) AS s, min(CASE WHEN event_type = 'purchase' AND page > s THEN page END) AS e, max(page) AS z FROM m GROUP BY doc_id)
     SELECT 'U' || doc_id AS section_id, CAST(s AS INT) AS start_page, CAST(coalesce(e, z) AS INT) AS end_page, CASE WHEN e IS NULL THEN 'no end: last page of the section' END AS note FROM g WHERE s IS NOT NULL"""
@@ -191,7 +204,7 @@ def stored_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = structure.find_spans(p.select("doc_id", F.concat(F.lit("U"), "doc_id").alias("section_id"), "page", F.col("event_type").alias("text")), "signup", "purchase")
     path = scratch(spark, "spans")
     src.write_spans(spans, path)
-    return src.read_spans(spark, path)
+    return src.read_spans(spark, path, lines=True)
 
 
 @query(
@@ -226,15 +239,15 @@ def leaked_plates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {LINES}, b AS (SELECT doc_id, line_no, text, CAST(line_no % 24 + 1 AS VARCHAR) AS no FROM lines)
-    SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS INT) AS nth, '2.' || no AS subsection, length(trim('DNAA AD 2.' || no || ' ' || text)) AS n FROM b WHERE length(trim('DNAA AD 2.' || no || ' ' || text)) > 30"""
+    SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS INT) AS nth, '2.' || no AS subsection, trim('DNAA AD 2.' || no || ' ' || text) AS chunk FROM b WHERE length(trim('DNAA AD 2.' || no || ' ' || text)) > 30"""
 )
 def subsection_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bodies that begin at a subsection header; every line of a document is one."""
-    d = table(spark, sf_dir, "documents").where("text is not null")
+    d = table(spark, sf_dir, "documents")  # a missing text has no chunk
     headed = F.array_join(F.transform(F.split("text", "\n"), lambda line, i: F.concat(F.lit("DNAA AD 2."), (i % 24 + 1).cast("string"), F.lit(" "), line)), "\n")
     got = chunks.split_subsections(d.select("doc_id", headed.alias("text")))
     nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("chunk_no"))
-    return got.select("doc_id", nth.alias("nth"), "subsection", F.length("chunk").cast("long").alias("n"))
+    return got.select("doc_id", nth.alias("nth"), "subsection", "chunk")
 
 
 @query(

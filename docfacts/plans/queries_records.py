@@ -240,11 +240,11 @@ def chart_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT doc_id, CAST(length(substr(CASE WHEN contains(text, lang || ' ') THEN text ELSE lang || ' ' || chr(10) || chr(10) || text END, 1, 8000)) AS BIGINT) AS n, CAST(length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS BIGINT) AS squeezed FROM documents WHERE lang IS NOT NULL AND text IS NOT NULL"""
+    """SELECT doc_id, CAST(length(substr(CASE WHEN contains(text, lang || ' ') THEN text ELSE lang || ' ' || chr(10) || chr(10) || text END, 1, 8000)) AS BIGINT) AS n, CAST(length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS BIGINT) AS squeezed FROM documents"""
 )
 def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is embedded for a section, cut at the model's limit; and its text, white space collapsed."""
-    d = table(spark, sf_dir, "documents").where("lang is not null and text is not null")
+    d = table(spark, sf_dir, "documents")
     steer = F.concat("lang", F.lit(" "))
     return d.select("doc_id", F.length(chunks.embed_payload(steer, F.col("text"))).cast("long").alias("n"), F.length(chunks.strip_header(F.col("text"), r"\Zx")).cast("long").alias("squeezed"))
 

@@ -136,13 +136,13 @@ FLAT = "trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))"
 
 
 @query(
-    f"""WITH t AS (SELECT doc_id, {FLAT} AS t FROM documents WHERE text IS NOT NULL), n AS (SELECT *, instr(lower(t), 'that') AS a, instr(lower(t), 'que') AS b FROM t),
+    f"""WITH t AS (SELECT doc_id, {FLAT} AS t FROM documents), n AS (SELECT *, instr(lower(t), 'that') AS a, instr(lower(t), 'que') AS b FROM t),
     x AS (SELECT *, CASE WHEN a > 0 AND b > 0 THEN least(a, b) WHEN a > 0 THEN a WHEN b > 0 THEN b END AS lo, greatest(a, b) AS hi FROM n), s AS (SELECT *, greatest(lo - 1 - 90, 0) AS st FROM x), e AS (SELECT *, least(greatest(hi - 1 + 210, st), st + 500, length(t)) AS en FROM s)
     SELECT doc_id, CASE WHEN length(t) <= 500 THEN t WHEN lo IS NOT NULL THEN CASE WHEN st > 0 THEN '… ' ELSE '' END || trim(substr(t, CAST(st + 1 AS BIGINT), CAST(en - st AS BIGINT))) || CASE WHEN en < length(t) THEN ' …' ELSE '' END ELSE trim(substr(t, 1, 500)) || ' …' END AS shown FROM e"""
 )
 def focused_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """a window of a text around what was asked for."""
-    d = table(spark, sf_dir, "documents").where("text is not null")
+    d = table(spark, sf_dir, "documents")
     return d.select("doc_id", focus_window(F.col("text"), F.array(F.lit("THAT"), F.lit("que"))).alias("shown"))
 
 

@@ -423,6 +423,24 @@ def chunk_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", chunks.build_prefix(F.col("p_type"), F.lit("AD 2"), F.col("p_brand"), name, F.col("p_partkey").cast("string"), "Parts").alias("prefix"))
 
 
+@query(
+    """WITH t AS (SELECT DISTINCT p_brand AS section, 'Title of ' || p_brand AS title, CASE WHEN substr(p_brand, 7, 1) = '1' THEN NULL WHEN substr(p_brand, 7, 1) = '2' THEN '' ELSE 'terms: ' || p_brand END AS terms FROM part)
+    SELECT CAST(p_partkey AS BIGINT) AS p_partkey, '[Parts | ' || p_type || ' | ' || p_brand || ' — ' || title || CASE WHEN p_size % 3 = 0 THEN '' WHEN p_size % 2 = 0 THEN ' | Place ' || p_size || ' (S' || p_size || ')' ELSE ' | S' || p_size END || ']' ||
+      CASE WHEN coalesce(terms, '') <> '' THEN ' ' || terms ELSE '' END || coalesce(' ' || CASE WHEN p_partkey % 10 > 0 THEN p_name END, '') AS content FROM part JOIN t ON p_brand = section"""
+)
+def enriched_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks under their prefix with the term pack of their section."""
+    p = table(spark, sf_dir, "part")
+    size = F.col("p_size")
+    reference = F.when(size % 3 == 0, "NATIONAL").otherwise(F.concat(F.lit("S"), size.cast("string")))
+    c = p.select("p_partkey", F.col("p_type").alias("part"), F.col("p_brand").alias("section"), reference.alias("reference"), F.when(F.col("p_partkey") % 10 > 0, F.col("p_name")).alias("chunk"))
+    digit = F.substring("p_brand", 7, 1)
+    titles = p.select(F.col("p_brand").alias("section"), F.concat(F.lit("Title of "), "p_brand").alias("title")).distinct()
+    terms = p.select(F.col("p_brand").alias("section"), F.when(digit == "1", None).when(digit == "2", "").otherwise(F.concat(F.lit("terms: "), "p_brand")).alias("terms")).distinct()
+    names = p.where("p_size % 2 = 0 and p_size % 3 > 0").select(F.concat(F.lit("S"), size.cast("string")).alias("reference"), F.concat(F.lit("Place "), size.cast("string")).alias("name")).distinct()
+    return chunks.enrich(c, titles, names, terms, "Parts").select("p_partkey", "content")
+
+
 TITLE_CASES = " ".join(f"WHEN regexp_matches(t, '{p}') THEN '{n}'" for p, n, _ in charts.TITLES)
 TITLE_RUNWAYS = " ".join(f"WHEN regexp_matches(t, '{p}') THEN " + (f"regexp_extract(t, '{p}', 1)" if named else "''") for p, _, named in charts.TITLES)
 

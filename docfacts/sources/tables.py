@@ -77,8 +77,17 @@ def text_lines(df: DataFrame, id_column: str = "doc_id", text: str = "text") ->
     return df.select(F.col(id_column).alias("doc_id"), F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "text"))
 
 
+#: How test cases and results are written: all values in quotes, so that an empty text is not a missing one.
+CSV = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "nullValue": "\\N", "emptyValue": ""}
+
+
 def read_eval_csv(spark: SparkSession, path: str, schema: str = EVAL_SCHEMA) -> DataFrame:
-    return spark.read.csv(path, schema=schema, header=True, multiLine=True, quote='"', escape='"')
+    """Rows of a CSV file with quotes and line ends in its values; \\N is a missing one."""
+    return spark.read.csv(path, schema=schema, header=True, multiLine=True, **CSV)
+
+
+def write_cases_csv(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").csv(path, header=True, quoteAll=True, **CSV)
 
 
 def shown(c: Column, width: int = 600, marker: str = " ⏎ ") -> Column:
@@ -88,15 +97,16 @@ def shown(c: Column, width: int = 600, marker: str = " ⏎ ") -> Column:
 
 def write_results_csv(df: DataFrame, path: str, width: int = 600) -> None:
     cols = [shown(F.col(c), width).alias(c) if t == "string" else F.col(c) for c, t in df.dtypes]
-    df.select(*cols).write.mode("overwrite").csv(path, header=True, quote='"', escape='"')
+    write_cases_csv(df.select(*cols), path)
 
 
 SPAN = "map<string,struct<s22:int,end22:int,note:string>>"
 
 
-def read_spans(spark: SparkSession, path: str) -> DataFrame:
-    """section_id, start_page, end_page, note from a JSON map; ids without a start are left out."""
-    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", SPAN).alias("m"))
+def read_spans(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """section_id, start_page, end_page, note from a JSON map; ids without a start are left out. With `lines` each line
+    is such a map (what write_spans writes), so files of any size are split over tasks."""
+    whole = spark.read.text(path, wholetext=not lines).select(F.from_json("value", SPAN).alias("m"))
     return (
         whole.select(F.explode("m").alias("section_id", "v"))
         .select("section_id", F.col("v.s22").alias("start_page"), F.col("v.end22").alias("end_page"), F.col("v.note").alias("note"))
@@ -105,9 +115,11 @@ def read_spans(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_spans(spans: DataFrame, path: str) -> None:
-    """One JSON object a line, {id: {s22, end22, note}}; read_spans reads such files too, one by one."""
+    """A JSON map {id: {s22, end22, note}} of one section a line, in the order of the ids: sections are cut into ranges,
+    and each task sorts and writes its own. read_spans reads it with lines."""
     entry = F.struct(F.col("start_page").alias("s22"), F.col("end_page").alias("end22"), "note")
-    spans.where("start_page is not null").groupBy().agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("section_id", entry)))).alias("m")).select(F.to_json("m").alias("value")).write.mode("overwrite").text(path)
+    known = spans.where("start_page is not null").repartitionByRange("section_id").sortWithinPartitions("section_id")
+    known.select(F.to_json(F.create_map("section_id", entry)).alias("value")).write.mode("overwrite").text(path)
 
 
 def latest(updates: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:

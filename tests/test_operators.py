@@ -427,6 +427,23 @@ def test_ranges_as_blocks(spark):
         assert not covered or (covered[0][0], covered[-1][1]) == (a, b + 1) and all(x[1] == y[0] for x, y in zip(covered, covered[1:], strict=False))
 
 
+def test_packing_of_many_parts(spark):
+    rng = np.random.default_rng(9)
+    for limit in (1, 7, 30):
+        sizes = rng.integers(1, 12, 200)
+        want, size = [], 0
+        for k, n in enumerate(sizes):
+            if not k or size + n > limit:
+                want.append(k)
+                size = 0
+            size += n
+        assert chunks.packed_starts(sizes, limit) == want
+    long = spark.createDataFrame([("\n".join(f"part {i}" for i in range(300_000)), 1), (None, 2), ("   ", 3)], "text string, n int")
+    got = chunks.pack_sections(long, limit=5000, heading=r"(?<=\n)").collect()
+    assert {r["n"] for r in got} == {1} and all(len(r["chunk"]) <= 5000 for r in got)
+    assert "".join(r["chunk"] for r in sorted(got, key=lambda r: r["chunk_no"])) == long.first()["text"]
+
+
 def test_verification(spark):
     ex = spark.createDataFrame([(i, 1, "TORA is 3 610 m and LDA  2745 m") for i in range(1, 9)] + [(1, 2, "other 99")], "answer_id int, excerpt_no int, content string")
     fact = lambda v, n=1: [(v, "w", n)]
@@ -524,4 +541,6 @@ def test_scores(spark):
     inv = spark.createDataFrame([("answer", "DNAA", None, "Reference aid only 03/2026 [50% MATCH] yes", 0.3, "answer", None, None, ["yes"], 0.4), ("answer", "DNAA", None, "scale 1: bare", 0.9, "chart", None, None, ["no"], None)], "path string, icao string, ref string, reply string, similarity double, exp_path string, exp_icao string, exp_ref string, exp_contains array<string>, exp_min_similarity double")
     a, b = evaluate.invariant_checks(inv, "Reference aid only", "03/2026").collect()
     assert a["fails"] == [] and a["warns"] == ["low similarity"] and len(b["fails"]) == 6
-    assert evaluate.corruption_rates(evaluate.verdicts(df).withColumn("corruption", F.lit("typo"))).first()["ok_pct"] == 33
+    levels = {(r["level"], r["name"]): r for r in evaluate.verdict_levels(evaluate.verdicts(df).withColumn("corruption", F.lit("typo")).withColumn("subsection", F.lit(None).cast("string"))).collect()}
+    assert set(levels) == {("subsection", None), ("corruption", "typo"), ("total", None)}
+    assert {r["ok_pct"] for r in levels.values()} == {33}
