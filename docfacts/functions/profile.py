@@ -105,6 +105,47 @@ class Profile:
     )
     # Words of a request and the aid of an approach that they stand for
     approach_aids: tuple[tuple[str, str], ...] = (("vor", "vor"), ("vor/dme", "vor"), ("ils", "ils"), ("loc", "ils"), ("rnav", "rnav"), ("gnss", "rnav"), ("rnp", "rnav"), ("ndb", "ndb"))
+    # The number before a part's heading, the number of any section, the number of a major one, and a row of
+    # a minima table
+    part_number: str = r"\d\.\d+(?:\.\d+){1,4}\s+"
+    section_number: str = r"\b\d+\.\d+(?:\.\d+){1,4}\b"
+    major_number: str = r"\d\.\d+(?:\.\d+)*\s+"
+    minima_row: str = r"\b[A-D]\s+\d{3,4}(?:\s*\(\d{2,4}\))?\s+\d{3,4}\b"
+    # Headings that are answered as they stand and the words that a question must hold; where such a text
+    # ends; what only page furniture prints in it
+    info_headings: tuple[tuple[str, str], ...] = (
+        ("runway in use", r"2\.22\.2\s+Runway\s+in\s+use"),
+        ("general", r"2\.22\.1\s+General"),
+        ("radar", r"2\.22\.\d+\s+Radar\s+Procedures"),
+        ("vfr minima", r"2\.22\.\d+(?:\.\d+)?\s+VFR\s+weather\s+minima"),
+        ("vfr", r"2\.22\.\d+\s+Procedures\s+for\s+VFR\s+flights"),
+    )
+    info_ends: tuple[str, ...] = (r"2\.22\.\d+(?:\.\d+)*\s+[A-Z]", r"Instrument\s+approach\s+procedures?\s+for\s+RWY")
+    info_furniture: tuple[str, ...] = (r"AD\s*2-DN[A-Z]{2}-\d+", "NIGERIAN AIRSPACE MANAGEMENT AGENCY", r"AIRAC\s+AMDT[^\n]*", r"\b2\.22(?:\.\d+)+\b")
+    # How the text of an area begins, the heading after a table of areas, the column heads that end up at the end of a row, a position given
+    # by a navaid, and a name that is a designation
+    area_openings: tuple[str, ...] = (r"A\s+circle", r"Area\s+(?:bounded|within)", r"It\s+is\b", r"Line\s+joining", r"NAF\s+Local", r"DANA\s+Training", r"\(?[a-z]\)", r"Military\s+Restricted")
+    area_next: str = r"\s*5\.1\.\d+\s+(?:PROHIBITED|RESTRICTED|DANGER|MILITARY|ADJOINING)[A-Z\s]*"
+    area_columns: tuple[str, ...] = (
+        r"Identification,?\s*name\s*and\s*hazard",
+        r"Lateral\s+limits?",
+        r"Upper\s+limit",
+        r"Lower\s+limit",
+        r"Type\s+of\s+restriction",
+        r"Activation\s+Hours?",
+        "Remarks",
+        "coordinates",
+        "restriction",
+        r"[\d\s]{3,12}",
+    )
+    area_navaid: tuple[str, ...] = (
+        r"\b(?:VOR|DME|NDB|VOR/DME|TACAN)\b(?=.*\b(?:radial|R\s?\d{3}|arc|NM|north|south|east|west)\b)",
+        r"\b(?:radial|R\s?\d{3}\s*°?|arc)\b(?=.*\b(?:VOR|DME|NDB)\b)",
+    )
+    area_designation: str = r"^((?:NAF|DANA|Military|Air Force)\s+[A-Za-z0-9 /]{3,48}?)(?=[.;:]|\s+(?:Line|It\s+is|Area\s+[A-Z]\b|established))"
+    # A heading that names an airspace, and the kind alone on the next line
+    airspace_heading: str = r"^([A-Z][A-Za-z' ]{1,28}?)\s+(?:Flight\s+Information\s+Region|Terminal\s+Control\s+Area|Control\s+Area)(?:\s*\((?:FIR|TMA|CTA|UIR)\))?\s*$"
+    airspace_kind: str = r"^\((?:FIR|UIR|TMA|CTA)\)$"
     scope_kinds: tuple[str, ...] = ("AD", "ENR_AREA", "ENR_POINT", "ENR_ROUTE", "ENR_AIRSPACE", "ENR_NAVAID", "ENR_FRA_DCT", "GEN")
     #: unit suffixes of record keys in the order they are shown, and how
     units: tuple[tuple[str, str], ...] = (

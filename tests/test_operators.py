@@ -416,6 +416,16 @@ def test_procedures(spark):
     assert [r["r"] for r in block.select(route.info_block(F.col("t"), F.col("q")).alias("r")).collect()] == ["The wind decides", None]
 
 
+def test_what_a_part_says(spark):
+    rows = [
+        ("– hold at  the beacon -\n left turns\n\n2.22.4.1 climb - then turn\nNIGERIA AIP\nto 2 000 ft. AIRAC AMDT 2 more", "hold at the beacon\n• left turns\n climb\n• then turn\nto 2 000 ft"),
+        ("join the hold A 1700 2610(540) B", "join the hold A 1700 2610(540) B"), ("join the hold A 1700(200) 540 more", None), ("On the outbound track 032 M,", None), ("too short", None), (None, None),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "i int, t string")
+    got = [r["b"] for r in df.orderBy("i").select(route.part_body(F.col("t")).alias("b")).collect()]
+    assert got == [None if k == 1 else want for k, (_, want) in enumerate(rows)]
+
+
 def test_ranges_as_blocks(spark):
     ranges = [(a, b) for a in (-9, -1, 0, 1, 5, 7, 8) for b in range(a, a + 20)] + [(1, 10_000_000), (3, 10_000_003), (5, 4)]
     df = spark.createDataFrame([(k, *r) for k, r in enumerate(ranges)], "k int, a int, b int")
