@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.profile import AIP, Profile
 from ..functions.text import blank_to_null, squeeze, title_case
-from ..sources.stages import durable
+from ..sources.stages import bounded_batches, durable
 
 KEY = ["scope_kind", "scope_id", "subsection", "entity", "label"]
 
@@ -264,6 +264,7 @@ def embedding_batches(facts: DataFrame, embed: Callable[[list[str]], list], size
             vectors += list(got) + [None] * (len(part) - len(got))
         return rows.assign(embedding=pd.Series(vectors, index=rows.index, dtype=object))
 
+    bounded_batches(facts.sparkSession)
     kind = ", ".join(f"`{c}` {t}" for c, t in facts.dtypes)
     return facts.mapInPandas(run, f"{kind}, embedding array<float>")
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.profile import AIP, Profile
 from ..functions.text import found, quoted, squeeze, strip_all
+from ..sources.stages import bounded_batches
 
 PAGE_HEIGHT = 2000.0
 
@@ -190,6 +191,7 @@ def reading_lines(words: DataFrame, tolerance: float = 4.0) -> DataFrame:
 
     cols = ["doc_id", "page", "word_no", "x0", "top", "x1", "text"]
     kind = ", ".join(f"{c} {t}" for c, t in words.select(*cols).dtypes)
+    bounded_batches(words.sparkSession)
     ordered = words.select(*cols).repartition("doc_id", "page").sortWithinPartitions("doc_id", "page", "top", "x0", "word_no")
     return ordered.mapInPandas(run, f"{kind}, line long, pos long")
 

@@ -7,16 +7,27 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import facts
+from ..operators import facts, structure
+from ..sources import tables as src
 from ..sources.stages import shared_dir
 from ..sources.store import Store
 from .catalog import query, table
+from .queries_text import PAGED, words
 
 
 def place(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/docfacts-{name}-{uuid.uuid4().hex}"
 
 
+@query(f"WITH {PAGED} SELECT doc_id, count(DISTINCT page) AS pages, count(*) AS lines, CAST(sum(length(array_to_string(w, ' '))) AS BIGINT) AS size FROM paged GROUP BY doc_id")
+def bucketed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words kept in buckets by document; lines and what is counted over them need no shuffle."""
+    name = f"docfacts_words_{uuid.uuid4().hex}"
+    src.save_words(words(spark, sf_dir), name, buckets=16)
+    lines = structure.visual_lines(spark.table(name))
+    return lines.groupBy("doc_id").agg(F.count_distinct("page").alias("pages"), F.count("*").alias("lines"), F.sum(F.length("text")).alias("size"))
+
+
 @query(
     """WITH u AS (SELECT o_orderkey, o_orderstatus, 'changed' AS o_orderpriority FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 5 = 0
       UNION ALL SELECT o_orderkey, 'F', o_orderpriority FROM orders WHERE o_orderstatus = 'P'

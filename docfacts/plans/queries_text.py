@@ -11,6 +11,7 @@ from ..functions.profile import AIP
 from ..functions.text import number_set
 from ..operators import charts, chunks, extract, facts, structure
 from ..sources import tables as src
+from ..sources.stages import spread
 from .catalog import query, table
 
 LINES = "lines AS (SELECT doc_id, unnest(range(len(l))) AS line_no, unnest(l) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL))"
@@ -20,7 +21,7 @@ EVENT_PAGES = "pages AS (SELECT user_id AS doc_id, row_number() OVER (PARTITION
 
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return src.words_from_text(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return src.words_from_text(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def event_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,3 +27,23 @@ def durable(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark)}/docfacts-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Bytes of an Arrow batch that goes to Python; a longer text is a batch of its own.
+BATCH_BYTES = 4 << 20
+_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes, so that whole texts fit whatever their number; a bound that the session has set itself
+    is left alone."""
+    held = spark.conf.get(_BYTES, None)
+    if held is None or not 0 < int(held) < 2**31 - 1:
+        spark.conf.set(_BYTES, str(BATCH_BYTES))
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A plain scan of few large pieces (a file with one row group), dealt out over the cores before dear work on its rows.
+    A scan that has a piece for every core already is not shuffled."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .stages import bounded_batches
+
 _BLANKS = re.compile(r"[ \t\n\x0b\f\r]+")
 EVAL_SCHEMA = "id string, category string, question string, ground_truth string, test_type string"
 LOG_COLUMNS = ("id", "created_at", "path", "intent", "icao", "similarity", "charts", "needs_review", "reviewed", "feedback", "query")
@@ -19,6 +21,13 @@ def read_words(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).where(F.trim("text") != "")
 
 
+def save_words(words: DataFrame, table: str, by: tuple[str, ...] = ("doc_id",), buckets: int = 64) -> None:
+    """Keep placed words as a table in buckets by document (or document and page), in reading order: lines, pages and
+    sections of a document are then worked out without a shuffle of its words."""
+    own = words.repartition(buckets, *by).sortWithinPartitions(*by, "top", "x0")
+    own.write.mode("overwrite").bucketBy(buckets, *by).sortBy(*by, "top", "x0").saveAsTable(table)
+
+
 def words_from_text(df: DataFrame, id_column: str = "doc_id", text: str = "text", lines_per_page: int = 40, html: bool = False) -> DataFrame:
     """Plain text or HTML as positioned words: a line is 12 points high, a character 6 points wide, a page
     lines_per_page long. Columns doc_id, page, line_no, word_no, x0, top, x1, bottom, text. A line's places are one
@@ -27,6 +36,7 @@ def words_from_text(df: DataFrame, id_column: str = "doc_id", text: str = "text"
     if html:
         body = F.regexp_replace(F.regexp_replace(body, r"(?is)<(script|style)\b.*?</\1\s*>", ""), r"(?i)</(?:p|div|li|h[1-6]|tr|article|nav|footer)\s*>|<br\s*/?>", "\n")
         body = F.regexp_replace(body, r"<[^>]*>", "")
+
     def place(batches):
         for b in batches:
             words, count, owner, number = [], [], [], []
@@ -61,6 +71,7 @@ def words_from_text(df: DataFrame, id_column: str = "doc_id", text: str = "text"
                 names=["doc_id", "page", "line_no", "word_no", "x0", "top", "x1", "bottom", "text"],
             )
 
+    bounded_batches(df.sparkSession)
     rows = df.select(F.col(id_column).alias("doc_id"), body.alias("text"))
     kind = dict(rows.dtypes)["doc_id"]
     return rows.mapInArrow(place, f"doc_id {kind}, page int, line_no int, word_no int, x0 double, top double, x1 double, bottom double, text string")

@@ -4,10 +4,11 @@ import os
 import uuid
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docfacts.operators import facts
-from docfacts.sources import store
+from docfacts.operators import facts, structure
+from docfacts.sources import stages, store, tables
 from docfacts.sources.store import Store
 
 SCHEMA = T.StructType().add("part", "string").add("section", "string").add("id", "long").add("v", "string").add("at", "integer")
@@ -174,3 +175,29 @@ def test_numbers_without_gaps(spark):
     assert [n for n, _, _ in got] == list(range(502))
     nulls_first = lambda v: (v is not None, v or 0)
     assert [r[1] for r in got] == sorted((r[0] for r in rows), key=nulls_first)
+
+
+def test_lines_of_bucketed_words_need_no_shuffle(spark):
+    placed = tables.words_from_text(spark.createDataFrame([(i, f"a b {i}\nc d\n\n e") for i in range(50)], "doc_id int, text string"))
+    name = f"words_{uuid.uuid4().hex}"
+    tables.save_words(placed, name, buckets=4)
+    lines = structure.visual_lines(spark.table(name))
+    assert "Exchange" not in lines._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r) for r in lines.collect()) == sorted(tuple(r) for r in structure.visual_lines(placed).collect())
+    by_page = f"words_{uuid.uuid4().hex}"
+    tables.save_words(placed, by_page, ("doc_id", "page"), 4)
+    assert "Exchange" not in structure.visual_lines(spark.table(by_page))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_long_texts_are_batches_of_their_own(spark):
+    long = "word " * 6_000_000  # 30 MB
+    df = spark.createDataFrame([(1, "x"), (2, long), (3, "y z")], "doc_id int, text string").coalesce(1)
+    placed = tables.words_from_text(df)
+    assert {r["doc_id"]: r["n"] for r in placed.groupBy("doc_id").agg(F.count("*").alias("n")).collect()} == {1: 1, 2: 6_000_000, 3: 2}
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(stages.BATCH_BYTES)
+
+
+def test_scans_are_spread_only_when_they_are_few_pieces(spark):
+    assert stages.spread(spark.range(10).coalesce(1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    wide = spark.range(0, 1000, 1, 40)
+    assert stages.spread(wide) is wide
