@@ -540,6 +540,34 @@ def test_pairs_of_a_notice_set_apart_are_no_notice(spark):
     assert [tuple(x) for x in got[3]["spans"]] == [(9, 9 + len(notice), "mit")] and got[3]["score"] == 1.0
 
 
+def test_whole_licence_texts(spark):
+    bodies = license_scan.BODIES
+    rng = np.random.default_rng(12)
+    prose = lambda n: " ".join(rng.choice("the of and to in is that for this software license any copyright notice shall be".split(), n))
+    rows, want = [], {}
+    for k, (label, text) in enumerate(bodies.items()):
+        words = text.split()
+        rows.append((k, f"{prose(40)}\n{text}\n{prose(40)}"))
+        want[k] = label
+        changed = [w if i % 40 != 20 else "Contributors of X" for i, w in enumerate(words)]  # names put in here and there
+        rows.append((100 + k, " * ".join(changed)))
+        want[100 + k] = label
+        rows.append((200 + k, " ".join(words[: len(words) // 4])))  # a quarter is no licence text
+        rows.append((300 + k, " ".join(f"{a} {b} {prose(3)}" for a, b in zip(words[::2], words[1::2], strict=False))))  # nor are its pairs set apart
+    rows += [(400, "// SPDX-License-Identifier: MPL-2.0"), (401, "SPDX-License-Identifier: ISC and SPDX-License-Identifier: CC0-1.0"), (402, "spdx license"), (403, prose(4000))]
+    want |= {400: "mpl", 401: "cc0,isc", 402: "", 403: ""}
+    got = {r["doc_id"]: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, label in want.items():
+        found = set(got[k]["labels"].split(","))
+        assert set(label.split(",")) <= found, (k, label, found)
+        assert len(found) <= 3, (k, found)
+    for k, label in enumerate(bodies):
+        assert max(z - a for a, z, x in got[k]["spans"] if x == label) > 0.9 * len(license_scan.plain_words(bodies[label]))
+        spans = {x for a, z, x in got[200 + k]["spans"] if z - a > 40} | {x for a, z, x in got[300 + k]["spans"] if z - a > 40}
+        assert not spans
+    assert len(set(bodies)) >= 15 and max(t.grams for t in license_scan.TEMPLATES) > 128
+
+
 def test_alignment_is_a_longest_common_subsequence():
     rng = np.random.default_rng(3)
     for _ in range(300):
