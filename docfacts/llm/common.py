@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.stages import durable, shared_dir
+from ..sources.stages import durable, shared_dir, spread
 
 __all__ = ["durable", "shared_dir", "table"]
 
@@ -23,7 +23,9 @@ WORD_TABLE = bytes(
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table as it is stored; texts and pages are dealt out where they come in fewer pieces than there are cores."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in ("documents", "pages") else df
 
 
 def small_batches(spark: SparkSession) -> None:
