@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import scope_key
+from ..sources.stages import durable
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -111,6 +113,113 @@ def nearest(
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("tier")
 
 
+#: Pivots, and rows that they are chosen from.
+PIVOTS, PIVOT_SAMPLE = 32, 2048
+
+
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Distances of unit vectors."""
+    return np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1) - 2 * (x @ y.T), 0))
+
+
+@dataclass
+class Ranges:
+    """Pivots, and the range of the distances of each (columns) to the rows of every cell (rows)."""
+
+    pivots: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+
+    def alive(self, x: np.ndarray, least: np.ndarray) -> np.ndarray:
+        """Which cells may hold a row with at least the given similarity to each unit vector: by the triangle inequality a
+        row of the cell is as far from the vector as the pivot's distances to the two differ, or farther."""
+        d = _apart(x, self.pivots)[:, None, :]
+        gap = np.maximum(d - self.high, self.low - d).max(2, initial=0)
+        return gap <= np.sqrt(np.maximum(2 - 2 * least, 0))[:, None] + 1e-6
+
+
+class Cells:
+    """Rows by their nearest pivot, and for each pivot the range of its distances to the rows of every cell. Pivots come
+    from a bounded sample, as far from each other as can be; the ranges cover all rows. The driver holds PIVOTS vectors and
+    PIVOTS x PIVOTS ranges."""
+
+    def __init__(self, rows: DataFrame) -> None:
+        known = rows.where("embedding is not null")
+        n = known.count()
+        h = F.xxhash64("embedding")
+        thin = known.where(F.pmod(h, F.lit(1_000_000)) < int(1.1e6 * PIVOT_SAMPLE / n) + 1) if n > PIVOT_SAMPLE else known
+        sample = durable(thin.orderBy(h).limit(PIVOT_SAMPLE).select("embedding"), "sample").collect()
+        x = _unit(np.array([r[0] for r in sample], float)) if sample else np.zeros((0, 1))
+        chosen, away = [0] if len(x) else [], np.full(len(x), np.inf)
+        while chosen and len(chosen) < PIVOTS:
+            away = np.minimum(away, _apart(x, x[chosen[-1:]])[:, 0])
+            if away.max() <= 1e-9:
+                break
+            chosen.append(int(away.argmax()))
+        self.pivots = x[chosen]
+        self.rows = durable(self.placed(known), "cells")
+        self.ranges = Ranges(self.pivots, *self._ranges())
+
+    def placed(self, df: DataFrame) -> DataFrame:
+        """df with the cell of each vector."""
+        pivots = self.pivots
+
+        def run(frames):
+            for f in frames:
+                if len(f):
+                    yield f.assign(cell=_apart(_unit(np.array(f["embedding"].tolist(), float)), pivots).argmin(1).astype("int32"))
+
+        kind = ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
+        return df.mapInPandas(run, f"{kind}, cell int")
+
+    def _ranges(self) -> tuple[np.ndarray, np.ndarray]:
+        pivots, count = self.pivots, len(self.pivots)
+
+        def run(frames):
+            low, high = np.full((count, count), np.inf), np.full((count, count), -np.inf)
+            for f in frames:
+                d, cell = _apart(_unit(np.array(f["embedding"].tolist(), float)), pivots) if len(f) else None, f["cell"].to_numpy()
+                for j in np.unique(cell):
+                    own = d[cell == j]
+                    low[j], high[j] = np.minimum(low[j], own.min(0)), np.maximum(high[j], own.max(0))
+            i, j = np.nonzero(high > -np.inf)
+            yield pd.DataFrame({"cell": i.astype("int32"), "pivot": j.astype("int32"), "low": low[i, j], "high": high[i, j]})
+
+        parts = self.rows.select("embedding", "cell").mapInPandas(run, "cell int, pivot int, low double, high double")
+        low, high = np.full((count, count), np.inf), np.full((count, count), -np.inf)
+        for r in parts.groupBy("cell", "pivot").agg(F.min("low").alias("low"), F.max("high").alias("high")).collect():  # PIVOTS x PIVOTS
+            low[r["cell"], r["pivot"]], high[r["cell"], r["pivot"]] = r["low"], r["high"]
+        return low, high
+
+    def visits(self, queries: DataFrame) -> DataFrame:
+        """A row for each query and cell that may hold a hit: queries with `least`, the similarity of a k-th best hit."""
+        ranges = self.ranges
+
+        def run(frames):
+            for f in frames:
+                if len(f):
+                    i, cell = np.nonzero(ranges.alive(_unit(np.array(f["embedding"].tolist(), float)), f["least"].to_numpy()))
+                    yield f.iloc[i].assign(cell=cell.astype("int32"))
+
+        kind = ", ".join(f"`{c}` {t}" for c, t in queries.dtypes)
+        return queries.mapInPandas(run, f"{kind}, cell int")
+
+
+def nearest_by_cells(queries: DataFrame, rows: DataFrame, keys: list[str], query_key: list[str], ties: list[str], k: int, same: str | None = None) -> DataFrame:
+    """What `nearest` returns, for scopes of very many rows: a query first looks into its own cell, and then into those
+    alone that can hold a better hit than its k-th best there."""
+    cells = Cells(rows)
+    asked = queries.select(*keys, *query_key, *([same] if same else []), "embedding").where("embedding is not null")
+    inner = [*keys, "cell"]
+    first = nearest(cells.placed(asked), cells.rows, inner, query_key, ties, k, same)
+    least = F.when(F.count("*") >= k, F.min("similarity")).otherwise(-1.0).alias("_least")
+    bound = first.groupBy(*[F.col(c).alias(f"_{c}") for c in query_key]).agg(least)
+    both = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in query_key]
+    visits = cells.visits(asked.join(bound, both, "left").select(*asked.columns, F.coalesce("_least", F.lit(-1.0)).alias("least")))
+    visits = durable(visits, "visits")
+    return nearest(visits.drop("least"), cells.rows, inner, query_key, ties, k, same).drop("cell")
+
+
 def search_attempts(queries: DataFrame) -> DataFrame:
     """query_id, attempt, part, reference: distinct pairs in order. A query with an id tries AD, ENR, GEN for it; others
     try the tags, the preferred one first, by the parts, the preferred one first."""
@@ -150,13 +259,16 @@ def gated_search(hits: DataFrame, queries: DataFrame, threshold: float = 0.40) -
     return queries.select("query_id").join(kept, "query_id", "left").withColumn("status", F.coalesce("status", F.lit("no_match")))
 
 
-def topk_facts(queries: DataFrame, facts: DataFrame, k: int = 8) -> DataFrame:
+def topk_facts(queries: DataFrame, facts: DataFrame, k: int = 8, hot_rows: int = 50 * BLOCK_ROWS) -> DataFrame:
     """The k nearest facts of a query's scope (and subsection, if it names one) with similarity and rank; facts are told
-    apart by their key. k is kept in 1..50; facts without a vector never match."""
+    apart by their key. k is kept in 1..50; facts without a vector never match. Where a scope has more than hot_rows facts,
+    cells that can't hold a hit are skipped, with the same result."""
     k = max(1, min(50, k))
     scope = ["scope_kind", "scope_id"]
     held, ties = facts.where("embedding is not null"), ["subsection", "entity", "label"]
-    hits = nearest(queries, held, scope, ["query_id"], ties, k, "subsection")
+    largest = held.groupBy(*scope).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    find = nearest_by_cells if largest > hot_rows else nearest
+    hits = find(queries, held, scope, ["query_id"], ties, k, "subsection")
     return hits.join(held.drop("embedding"), [*scope, *ties])
 
 

@@ -31,6 +31,16 @@ def scoped_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieve.topk_facts(q, f, 8).select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"), "rank")
 
 
+@query(
+    f"""WITH j AS (SELECT q.vec_id AS query_id, f.vec_id, {COS.format("q.embedding", "f.embedding")} AS s FROM embeddings q JOIN embeddings f ON q.label % 2 = f.label % 2 WHERE q.vec_id % 20 = 0)
+    SELECT query_id, vec_id, round(s, 6) AS similarity, CAST(n AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS n FROM j) WHERE n <= 8"""
+)
+def hot_scope_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """the nearest facts of scopes that hold half of all facts each, by cells that bounds allow to skip."""
+    q, f = (df.withColumn("scope_id", (F.col("scope_id").cast("int") % 2).cast("string")) for df in vectors(spark, sf_dir))
+    return retrieve.topk_facts(q, f, 8, hot_rows=0).select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"), "rank")
+
+
 GATE = f"""j AS (SELECT q.vec_id AS query_id, k.a AS attempt, f.vec_id AS chunk_id, {COS.format("q.embedding", "f.embedding")} AS s, CASE WHEN q.vec_id % 40 = 0 AND f.vec_id % 3 <> 1 THEN 1 ELSE 0 END AS t1, CASE WHEN q.vec_id % 60 = 0 AND f.vec_id % 2 = 0 THEN 1 ELSE 0 END AS t2
       FROM embeddings q, (SELECT unnest([0, 1, 2]) AS a) k, embeddings f WHERE q.vec_id % 20 = 0 AND f.label = (q.label + 3 * k.a + 3) % 10),
     t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, attempt ORDER BY t1, t2, s DESC, chunk_id) AS n FROM j) WHERE n <= 15),

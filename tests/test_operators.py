@@ -426,6 +426,28 @@ def test_what_a_part_says(spark):
     assert got == [None if k == 1 else want for k, (_, want) in enumerate(rows)]
 
 
+@pytest.mark.parametrize("spread", [0.02, 1.0])
+def test_cells_that_cannot_hold_a_hit_are_skipped_without_loss(spark, monkeypatch, spread):
+    monkeypatch.setattr(retrieve, "PIVOTS", 12)
+    rng = np.random.default_rng(2)
+    middle = rng.normal(size=(12, 8))
+    v = [(i, f"s{i % 2}", "x" if i % 5 else None, (middle[i % 12] + spread * rng.normal(size=8)).tolist()) for i in range(600)]
+    v += [(600 + i, "s0", "x", [0.5] * 8) for i in range(40)] + [(700, "s1", "x", [0.0] * 8), (701, "s1", "x", None)]  # copies, a zero vector, none
+    rows = spark.createDataFrame(v, "id int, scope string, part string, embedding array<double>")
+    asked = [(i, s, p if i % 2 == 0 else None, x) for i, s, p, x in v if i % 9 == 0 or i == 700]
+    q = spark.createDataFrame(asked, "query_id int, scope string, part string, embedding array<double>")
+    held = rows.withColumn("part", F.coalesce("part", F.lit("y")))
+    for same in (None, "part"):
+        want = retrieve.nearest(q, held.where("embedding is not null"), ["scope"], ["query_id"], ["part", "id"], 5, same)
+        got = retrieve.nearest_by_cells(q, held, ["scope"], ["query_id"], ["part", "id"], 5, same)
+        cols = ["query_id", "rank", "part", "id", "similarity"]
+        assert sorted(map(tuple, got.select(cols).collect())) == sorted(map(tuple, want.select(cols).collect()))
+    cells = retrieve.Cells(held)
+    x = np.array([r[3] for r in v[:100]])
+    share = cells.ranges.alive(x / np.linalg.norm(x, axis=1, keepdims=True), np.full(100, 0.99)).mean()
+    assert share < (0.25 if spread < 1 else 1.01)
+
+
 def test_ranges_as_blocks(spark):
     ranges = [(a, b) for a in (-9, -1, 0, 1, 5, 7, 8) for b in range(a, a + 20)] + [(1, 10_000_000), (3, 10_000_003), (5, 4)]
     df = spark.createDataFrame([(k, *r) for k, r in enumerate(ranges)], "k int, a int, b int")
