@@ -7,7 +7,8 @@ are split further, round by round, until every cut is exact; a round sends a bou
 whatever the number of groups.
 
 Ties cannot arise (hashes differ), repeated rows stay together and are numbered one by one, rows with null ids are
-numbered like others, an empty table gives an empty result, and further columns are left alone.
+numbered like others, an empty table gives an empty result, a very long text is read once, for its hash, in the task that scans it, and further
+columns are left alone.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ the links of a spanning forest, not all pairs: same components, rows in proporti
 
 Null and empty texts have fingerprint 0 and link like others; null doc_ids take part in links but never name a
 component, unless it has no other id (then null). Repeated rows are returned as often as they come. Further columns are
-left alone, an empty table gives an empty one.
+left alone, an empty table gives an empty one. A very long text is fingerprinted whole in one task, which holds a hash for
+each of its shingles.
 """
 
 from __future__ import annotations

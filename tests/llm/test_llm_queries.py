@@ -37,6 +37,28 @@ def test_pipeline_stages(spark):
     assert last.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").count() == 0
 
 
+def test_pipeline_stages_over_odd_rows_and_clashing_columns(spark):
+    """Each stage over all rows, odd ones too, with columns that are named like the operators' own."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    long = " ".join(f"Wort{i % 991} und{i % 7}" for i in range(120_000))
+    odd = [(10**9, None), (10**9 + 1, ""), (None, "some words of a text without an id " * 3), (10**9 + 2, long), (10**9 + 2, long), (10**9 + 3, " \n ")]
+    rows = docs.select("doc_id", "text", "lang", "source").unionByName(spark.createDataFrame([(i, t, "de", "s") for i, t in odd], "doc_id long, text string, lang string, source string"))
+    for name in ("fp", "key", "k1", "n", "score", "row_no", "c0", "h", "quality", "items", "unit"):
+        rows = rows.withColumn(name, F.lit("x"))
+    rows = rows.cache()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, rows, sf)
+        assert got.columns == rows.columns, name
+        kept = got.select("doc_id", "text").collect()
+        assert 0 < len(kept) <= rows.count(), name
+        assert {r["text"] for r in kept} <= {r["text"] for r in rows.select("text").collect()}
+        n = sum(r["doc_id"] == 10**9 + 2 for r in kept)
+        assert n == 1 if name == "near_dedup" else n in (0, 2), name
+    packed = corpus_pipeline.STAGES[-1][1](spark, rows, sf).where(f"doc_id = {10**9} or doc_id is null").collect()
+    assert sorted((r["doc_id"] is None, r["piece"]) for r in packed) == [(False, 0), (True, 0)]
+
+
 def test_language_stage_rejects_foreign_texts_and_keeps_clean_ones(spark):
     from docfacts.llm import language_id
 
