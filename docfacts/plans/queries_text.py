@@ -442,18 +442,16 @@ def enriched_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.enrich(c, titles, names, terms, "Parts").select("p_partkey", "content")
 
 
-TITLE_CASES = " ".join(f"WHEN regexp_matches(t, '{p}') THEN '{n}'" for p, n, _ in charts.TITLES)
-TITLE_RUNWAYS = " ".join(f"WHEN regexp_matches(t, '{p}') THEN " + (f"regexp_extract(t, '{p}', 1)" if named else "''") for p, _, named in charts.TITLES)
-
-
 @query(
-    f"""WITH b AS (SELECT p_partkey, upper(p_name || ' ' || CASE CAST(p_size % 8 AS INT) WHEN 0 THEN 'ILS/DME RWY 18L' WHEN 1 THEN 'VOR RWY 05' WHEN 2 THEN 'Area chart arrival and transit' WHEN 3 THEN 'Aerodrome chart' WHEN 4 THEN 'RNAV (GNSS) RWY 23' WHEN 5 THEN 'parking chart' WHEN 6 THEN 'Standard instrument departure' ELSE 'none' END) AS t FROM part)
-    SELECT CAST(p_partkey AS BIGINT) AS p_partkey, CASE {TITLE_CASES} END AS kind, CASE {TITLE_RUNWAYS} END AS runway FROM b"""
+    """SELECT CAST(p_partkey AS BIGINT) AS p_partkey, (['Precision Approach Terrain Chart', 'ILS Approach Chart', 'ILS Approach Chart', 'RNAV Approach Chart', 'RNAV Approach Chart', 'VOR Approach Chart', 'NDB Approach Chart', 'Instrument Approach Chart', 'Visual Approach Chart', 'Aerodrome Obstacle Chart', 'SID Chart', 'SID Chart', 'STAR Chart', 'STAR Chart', 'Area Chart - Arrival and Transit Routes', 'Area Chart - Departure and Transit Routes', 'Area Chart', 'Ground Movement Chart', 'Parking / Docking Chart', 'Aerodrome Chart', 'Heliport Chart', 'Helicopter Traffic Chart', 'En-Route Chart', 'Search and Rescue Units Chart', 'Aerodrome Index Chart', NULL])[CAST(p_partkey % 26 AS INT) + 1] AS kind,
+      (['', '18L', '04', '23', '36R', '05', '09', '22', '31', '18', '', '', '', '', '', '', '', '', '', '', '', '', '', '', '', NULL])[CAST(p_partkey % 26 AS INT) + 1] AS runway FROM part"""
 )
 def chart_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chart types of titles, the first pattern winning."""
-    names = ("ILS/DME RWY 18L", "VOR RWY 05", "Area chart arrival and transit", "Aerodrome chart", "RNAV (GNSS) RWY 23", "parking chart", "Standard instrument departure", "none")
-    title = F.concat_ws(" ", "p_name", F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("p_size") % 8 + 1).cast("int")))
+    """Chart types of titles, the first pattern winning; every pattern occurs, and a title of no type."""
+    names = (
+        "Precision approach terrain chart", "ILS/DME RWY 18L", "ILS or LOC RWY 04", "RNAV (GNSS) RWY 23", "RNP RWY 36R", "VOR/DME RWY 05", "NDB RWY 09", "Instrument approach chart RWY 22", "Visual approach chart RWY 31", "Obstacle chart type A RWY 18", "Standard instrument departure", "SID - ICAO", "Standard arrival", "STAR ICAO", "Area chart arrival and transit", "Area chart departure and transit", "Area chart", "Ground movement chart", "Aircraft parking/docking chart", "Aerodrome chart", "Heliport chart", "Helicopter traffic chart", "En-route chart", "Search and rescue", "Aerodrome index", "none",
+    )
+    title = F.concat_ws(" ", "p_name", F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("p_partkey") % len(names) + 1).cast("int")))
     kind, runway = charts.chart_type(title)
     return table(spark, sf_dir, "part").select("p_partkey", kind.alias("kind"), runway.alias("runway"))
 

@@ -25,10 +25,25 @@ def durable(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it again: cuts lineage and outlives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/docfacts-{label}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: What durable has written, by application.
+_written: dict[str, list[str]] = {}
+
+
+def clear(spark: SparkSession) -> int:
+    """Remove the tables that durable has written in this application, and tell how many. Only for the end of a run:
+    a result that has not been read or stored yet hangs on them."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    return len(paths)
+
+
 #: Bytes of an Arrow batch that goes to Python; a longer text is a batch of its own.
 BATCH_BYTES = 4 << 20
 _BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"

@@ -201,3 +201,11 @@ def test_scans_are_spread_only_when_they_are_few_pieces(spark):
     assert stages.spread(spark.range(10).coalesce(1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     wide = spark.range(0, 1000, 1, 40)
     assert stages.spread(wide) is wide
+
+
+def test_stages_are_cleared_at_the_end_of_a_run(spark):
+    stages.clear(spark)
+    held = stages.durable(spark.range(5), "some")
+    path = held.inputFiles()[0].removeprefix("file://").removeprefix("file:").rpartition("/")[0]
+    assert held.count() == 5 and os.path.exists(path)
+    assert stages.clear(spark) == 1 and not os.path.exists(path) and stages.clear(spark) == 0
