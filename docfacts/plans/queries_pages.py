@@ -285,17 +285,22 @@ def whole_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH d AS (SELECT doc_id, repeat('tower ', 11) || doc_id || '  063210.5N 0031200E' AS long FROM documents)
-    SELECT 'D' || doc_id AS scope_id, CASE CAST(doc_id % 4 AS INT) WHEN 3 THEN '063210.5N' WHEN 2 THEN substr(long, 1, 40) ELSE 'Mast ' || doc_id END AS entity, 'Obstacle' AS label,
-      CASE CAST(doc_id % 4 AS INT) WHEN 3 THEN '063210.5N 0031200E mast ' || doc_id WHEN 2 THEN replace(long, '  ', ' ') ELSE 'Mast ' || doc_id || ' 063210.5N 0031200E lit' END AS fact_value FROM d"""
+    f"""WITH {LINES}, p AS (SELECT doc_id, line_no, CASE line_no % 4 WHEN 0 THEN text || '  063210.5N 0031200E lit' WHEN 1 THEN '063210.5N 0031200E ' || text WHEN 3 THEN '. ' || text || ' 063210N tail' ELSE text END AS t FROM lines),
+    n AS (SELECT doc_id, line_no, trim(regexp_replace(t, '[ \\t]{{2,}}', ' ', 'g')) AS line FROM p),
+    k AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(line, '\\s+\\d{{6}}.*$', '', 's'), '^[ .;:]+', ''), '[ .;:]+$', '') AS name FROM n WHERE regexp_matches(line, '\\d{{6}}(?:\\.\\d+)?[NS]\\s') AND length(line) >= 20)
+    SELECT 'D' || doc_id AS scope_id, CASE WHEN name = '' OR length(name) > 60 THEN substr(line, 1, 40) ELSE name END AS entity, 'Obstacle' AS label, line AS fact_value, CAST(line_no AS BIGINT) AS seq FROM k"""
 )
 def obstacle_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One fact for each line with a position, called by the text before it, or by its start."""
-    k = F.col("doc_id")
-    row = F.when(k % 4 == 3, F.concat(F.lit("063210.5N 0031200E mast "), k)).when(k % 4 == 2, F.concat(F.lit("tower " * 11), k, F.lit("  063210.5N 0031200E"))).otherwise(F.concat(F.lit("Mast "), k, F.lit("  063210.5N 0031200E lit")))
-    text = F.concat(F.lit("Area 2\nno position here at all\n"), F.when(k % 3 == 0, "  ").otherwise(""), row, F.lit("\n12N"))
-    t = table(spark, sf_dir, "documents").select(F.lit("AD").alias("scope_kind"), F.concat(F.lit("D"), k).alias("scope_id"), F.lit("n").alias("scope_name"), F.lit("2.10").alias("subsection"), text.alias("text"))
-    return facts.obstacle_facts(t).select("scope_id", "entity", "label", "fact_value")
+    """One fact for each line with a position, called by the text before it, or by its start. Positions are put before
+    or behind the lines of the documents."""
+    at = "063210.5N 0031200E"
+
+    def row(line: Column, i: Column) -> Column:
+        return F.when(i % 4 == 0, F.concat(line, F.lit(f"  {at} lit"))).when(i % 4 == 1, F.concat(F.lit(f"{at} "), line)).when(i % 4 == 3, F.concat(F.lit(". "), line, F.lit(" 063210N tail"))).otherwise(line)
+
+    text = F.array_join(F.transform(F.split("text", "\n"), row), "\n")
+    t = table(spark, sf_dir, "documents").select(F.lit("AD").alias("scope_kind"), F.concat(F.lit("D"), "doc_id").alias("scope_id"), F.lit("n").alias("scope_name"), F.lit("2.10").alias("subsection"), text.alias("text"))
+    return facts.obstacle_facts(t).select("scope_id", "entity", "label", "fact_value", "seq")
 
 
 @query(

@@ -449,7 +449,7 @@ def enriched_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chart_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chart types of titles, the first pattern winning; every pattern occurs, and a title of no type."""
     names = (
-        "Precision approach terrain chart", "ILS/DME RWY 18L", "ILS or LOC RWY 04", "RNAV (GNSS) RWY 23", "RNP RWY 36R", "VOR/DME RWY 05", "NDB RWY 09", "Instrument approach chart RWY 22", "Visual approach chart RWY 31", "Obstacle chart type A RWY 18", "Standard instrument departure", "SID - ICAO", "Standard arrival", "STAR ICAO", "Area chart arrival and transit", "Area chart departure and transit", "Area chart", "Ground movement chart", "Aircraft parking/docking chart", "Aerodrome chart", "Heliport chart", "Helicopter traffic chart", "En-route chart", "Search and rescue", "Aerodrome index", "none",
+        "Precision approach terrain chart", "ILS/DME RWY 18L", "ILS or LOC RWY 04", "RNAV (GNSS) RWY 23", "RNP RWY 36R", "VOR/DME RWY 05", "NDB RWY 09", "Instrument approach RWY 22", "Visual approach RWY 31", "Obstacle chart type A RWY 18", "Standard instrument departure", "SID - ICAO", "Standard arrival", "STAR ICAO", "Area chart arrival and transit", "Area chart departure and transit", "Area chart", "Ground movement chart", "Aircraft parking/docking chart", "Aerodrome chart", "Heliport chart", "Helicopter traffic chart", "En-route chart", "Search and rescue", "Aerodrome index", "none",
     )
     title = F.concat_ws(" ", "p_name", F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("p_partkey") % len(names) + 1).cast("int")))
     kind, runway = charts.chart_type(title)
