@@ -229,12 +229,12 @@ def stripped_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("doc_id", "page", text.alias("text"), F.when(F.col("event_id") % 3 == 0, chunks.strip_header(body)).alias("kept"))
 
 
-@query("SELECT doc_id, 1 AS n FROM documents WHERE doc_id % 9 = 2 OR contains(upper(text), 'SCALE 1:')")
+@query("WITH d AS (SELECT doc_id, CASE WHEN doc_id % 9 = 2 THEN coalesce(text, '') || ' Bearings, tracks and radials are magnetic' ELSE text END AS t FROM documents) SELECT doc_id, md5(t) AS text_md5 FROM d WHERE contains(lower(t), 'bearings, tracks and radials are magnetic') OR contains(upper(t), 'SCALE 1:')")
 def leaked_plates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts that hold what only a chart plate prints."""
     d = table(spark, sf_dir, "documents")
     marked = d.select("doc_id", F.when(F.col("doc_id") % 9 == 2, F.concat(F.coalesce("text", F.lit("")), F.lit(" Bearings, tracks and radials are magnetic"))).otherwise(F.col("text")).alias("text"))
-    return chunks.leak_scan(marked).select("doc_id", F.lit(1).alias("n"))
+    return chunks.leak_scan(marked).select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
 @query(

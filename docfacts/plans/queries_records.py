@@ -240,13 +240,15 @@ def chart_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT doc_id, CAST(length(substr(CASE WHEN contains(text, lang || ' ') THEN text ELSE lang || ' ' || chr(10) || chr(10) || text END, 1, 8000)) AS BIGINT) AS n, CAST(length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS BIGINT) AS squeezed FROM documents"""
+    """SELECT doc_id, md5(substr(CASE WHEN lang IS NULL OR contains(text, lang || ' ') THEN text ELSE lang || ' ' || chr(10) || chr(10) || text END, 1, 8000)) AS payload_md5, md5(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS squeezed_md5 FROM documents"""
 )
 def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is embedded for a section, cut at the model's limit; and its text, white space collapsed."""
+    """What is embedded for a section, cut at the model's limit; and its text, white space collapsed (md5 of both, to
+    keep the table narrow)."""
     d = table(spark, sf_dir, "documents")
     steer = F.concat("lang", F.lit(" "))
-    return d.select("doc_id", F.length(chunks.embed_payload(steer, F.col("text"))).cast("long").alias("n"), F.length(chunks.strip_header(F.col("text"), r"\Zx")).cast("long").alias("squeezed"))
+    digest = lambda c: F.md5(c.cast("binary"))
+    return d.select("doc_id", digest(chunks.embed_payload(steer, F.col("text"))).alias("payload_md5"), digest(chunks.strip_header(F.col("text"), r"\Zx")).alias("squeezed_md5"))
 
 
 @query(

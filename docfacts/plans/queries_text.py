@@ -378,12 +378,12 @@ def accumulated_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.accumulate(context(spark, sf_dir))
 
 
-@query("SELECT doc_id, length(text) AS n FROM documents WHERE length(trim(text)) >= 400 AND NOT contains(upper(text), 'SCALE 1:') AND doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)")
+@query("SELECT doc_id, md5(text) AS text_md5 FROM documents WHERE length(trim(text)) >= 400 AND NOT contains(upper(text), 'SCALE 1:') AND doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)")
 def text_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages that are no plates: not catalogued, without markers, not nearly empty."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("page"), "text")
     catalogue = table(spark, sf_dir, "labels").where("quality = 0").select("doc_id", F.lit(1).alias("source_page"))
-    return chunks.exclude_plates(d, catalogue, 400).select("doc_id", F.length("text").cast("long").alias("n"))
+    return chunks.exclude_plates(d, catalogue, 400).select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
 def _behind(sep: str, width: int) -> str:
