@@ -54,4 +54,5 @@ def test_observe_and_assess(spark):
     assert (s["total"], s["open"], s["down"], s["review_pct"]) == (2, 2, 1, 100)
     assert [(r["cluster"], r["n"], r["example_id"]) for r in out["clusters"].collect()] == [("fuel at x", 2, 2)]
     rows = spark.createDataFrame([("answer", "AD 2.1", "exact", "x", None, "AD 2.1 x", False, "clean")], "path string, subsection string, match_mode string, expected_value string, expected_behaviour string, reply string, harness_error boolean, corruption string")
-    assert jobs.assess(rows)["corruption"].first()["ok_pct"] == 100
+    levels = jobs.assess(rows)["levels"].where("level = 'corruption'").collect()
+    assert [(r["name"], r["ok_pct"]) for r in levels] == [("clean", 100)]

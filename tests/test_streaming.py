@@ -101,7 +101,7 @@ def test_dedup_stream(spark, tmp_path, files):
     assert not carried(spark, tmp_path, name)
 
 
-@pytest.mark.parametrize("files", CUTS)
+@pytest.mark.parametrize("files", [1, 20])
 def test_context_stream_equals_batch(spark, tmp_path, files):
     rows = [
         ("a", at(0), "save", "DNMM", None, "q1"), ("a", at(10), "read", None, None, None), ("a", at(20), "ask", None, "p1", None), ("a", at(30), "read", None, None, None), ("b", at(31), "read", None, None, None),
@@ -120,7 +120,7 @@ def test_context_stream_equals_batch(spark, tmp_path, files):
     assert met[("b", at(659))] == ("DNKN", None) and met[("b", at(660))] == (None, None)
 
 
-@pytest.mark.parametrize("files", CUTS)
+@pytest.mark.parametrize("files", [1, 20])
 def test_alert_stream_equals_batch(spark, tmp_path, files):
     rows = [(f"k{i % 2}", at(i * 120 + (50_000 if i > 70 else 0)), i % 7 in (3, 4)) for i in range(120)] + [("k0", at(5), None)]
     df = spark.createDataFrame([*rows, ("end", at(END), True)], "key string, ts timestamp, ok boolean")
