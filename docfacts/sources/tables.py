@@ -21,11 +21,11 @@ def read_words(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).where(F.trim("text") != "")
 
 
-def save_words(words: DataFrame, table: str, by: tuple[str, ...] = ("doc_id",), buckets: int = 64) -> None:
-    """Keep placed words as a table in buckets by document (or document and page), in reading order: lines, pages and
-    sections of a document are then worked out without a shuffle of its words."""
+def save_words(words: DataFrame, table: str, path: str, by: tuple[str, ...] = ("doc_id",), buckets: int = 64) -> None:
+    """Keep placed words as a table with its files in `path`, in buckets by document (or document and page) and in reading
+    order: lines, pages and sections of a document are then worked out without a shuffle of its words."""
     own = words.repartition(buckets, *by).sortWithinPartitions(*by, "top", "x0")
-    own.write.mode("overwrite").bucketBy(buckets, *by).sortBy(*by, "top", "x0").saveAsTable(table)
+    own.write.mode("overwrite").option("path", path).bucketBy(buckets, *by).sortBy(*by, "top", "x0").saveAsTable(table)
 
 
 def words_from_text(df: DataFrame, id_column: str = "doc_id", text: str = "text", lines_per_page: int = 40, html: bool = False) -> DataFrame:

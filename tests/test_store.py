@@ -177,15 +177,15 @@ def test_numbers_without_gaps(spark):
     assert [r[1] for r in got] == sorted((r[0] for r in rows), key=nulls_first)
 
 
-def test_lines_of_bucketed_words_need_no_shuffle(spark):
+def test_lines_of_bucketed_words_need_no_shuffle(spark, tmp_path):
     placed = tables.words_from_text(spark.createDataFrame([(i, f"a b {i}\nc d\n\n e") for i in range(50)], "doc_id int, text string"))
     name = f"words_{uuid.uuid4().hex}"
-    tables.save_words(placed, name, buckets=4)
+    tables.save_words(placed, name, str(tmp_path / "words"), buckets=4)
     lines = structure.visual_lines(spark.table(name))
     assert "Exchange" not in lines._jdf.queryExecution().executedPlan().toString()
     assert sorted(tuple(r) for r in lines.collect()) == sorted(tuple(r) for r in structure.visual_lines(placed).collect())
     by_page = f"words_{uuid.uuid4().hex}"
-    tables.save_words(placed, by_page, ("doc_id", "page"), 4)
+    tables.save_words(placed, by_page, str(tmp_path / "pages"), ("doc_id", "page"), 4)
     assert "Exchange" not in structure.visual_lines(spark.table(by_page))._jdf.queryExecution().executedPlan().toString()
 
 
