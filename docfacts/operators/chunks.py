@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import found, squeeze
+from ..sources.stages import bounded_batches
 
 PLATE_MARKERS = ("SCALE 1:", "BEARINGS, TRACKS AND RADIALS", "BEARINGS TRACKS AND RADIALS")
 HEADER = r"(?i)[\w\s.\-]+-\d+\s+NIGERIA\s+AIP\s+NIGERIAN\s+AIRSPACE\s+MANAGEMENT\s+AGENCY\s*"
@@ -97,12 +99,18 @@ def cut_text(text: str, size: int = 1500, overlap: int = 300, least: int = 50) -
 def chunk_text(df: DataFrame, text: str = "text", size: int = 1500, overlap: int = 300) -> DataFrame:
     """df's other columns with chunk_no and chunk."""
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: cut_text(t or "", size, overlap))
-
     rest = [c for c in df.columns if c != text]
-    return df.select(*rest, F.posexplode(cut(text)).alias("chunk_no", "chunk"))
+
+    def cut(batches):
+        for b in batches:
+            pieces = [cut_text(t or "", size, overlap) for t in b.column(len(rest)).to_pylist()]
+            at = pa.array([k for k, own in enumerate(pieces) for _ in own], pa.int64())
+            made = [pa.array([n for own in pieces for n in range(len(own))], pa.int32()), pa.array([p for own in pieces for p in own], pa.string())]
+            yield pa.RecordBatch.from_arrays([*(b.column(k).take(at) for k in range(len(rest))), *made], names=[*rest, "chunk_no", "chunk"])
+
+    bounded_batches(df.sparkSession)
+    empty = df.select(*rest, F.lit(0).alias("chunk_no"), F.lit("").alias("chunk"))
+    return df.select(*rest, text).mapInArrow(cut, empty.schema)
 
 
 def split_subsections(df: DataFrame, text: str = "text", least: int = 30) -> DataFrame:
