@@ -24,7 +24,7 @@ def bucketed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words kept in buckets by document; lines and what is counted over them need no shuffle."""
     name = f"docfacts_words_{uuid.uuid4().hex}"
     src.save_words(words(spark, sf_dir), name, place(spark, "words"), buckets=16)
-    lines = structure.visual_lines(spark.table(name))
+    lines = structure.visual_lines(spark.table(name), stored=True)
     return lines.groupBy("doc_id").agg(F.count_distinct("page").alias("pages"), F.count("*").alias("lines"), F.sum(F.length("text")).alias("size"))
 
 
