@@ -12,7 +12,7 @@ from ..sources import tables as src
 from ..sources.stages import shared_dir
 from ..sources.store import Store
 from .catalog import query, table
-from .queries_text import PAGED, words
+from .queries_text import PAGED
 
 
 def place(spark: SparkSession, name: str) -> str:
@@ -21,10 +21,10 @@ def place(spark: SparkSession, name: str) -> str:
 
 @query(f"WITH {PAGED} SELECT doc_id, count(DISTINCT page) AS pages, count(*) AS lines, CAST(sum(length(array_to_string(w, ' '))) AS BIGINT) AS size FROM paged GROUP BY doc_id")
 def bucketed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words kept in buckets by document; lines and what is counted over them need no shuffle."""
+    """Words kept in buckets by document; their lines and what is counted over them need no shuffle of words."""
     name = f"docfacts_words_{uuid.uuid4().hex}"
-    src.save_words(words(spark, sf_dir), name, place(spark, "words"), buckets=16)
-    lines = structure.visual_lines(spark.table(name), stored=True)
+    src.save_text_words(table(spark, sf_dir, "documents"), name, place(spark, "words"), buckets=16)
+    lines = structure.visual_lines(spark.table(name))
     return lines.groupBy("doc_id").agg(F.count_distinct("page").alias("pages"), F.count("*").alias("lines"), F.sum(F.length("text")).alias("size"))
 
 

@@ -209,3 +209,20 @@ def test_stages_are_cleared_at_the_end_of_a_run(spark):
     path = held.inputFiles()[0].removeprefix("file://").removeprefix("file:").rpartition("/")[0]
     assert held.count() == 5 and os.path.exists(path)
     assert stages.clear(spark) == 1 and not os.path.exists(path) and stages.clear(spark) == 0
+
+
+def test_words_are_kept_in_reading_order_without_a_shuffle_of_words(spark, tmp_path):
+    texts = spark.createDataFrame([(i, "\n".join(f"a{n} b c" for n in range(90))) for i in range(30)] + [(None, "x y"), (7, "again")], "doc_id int, text string").repartition(5)
+    placed = tables.words_from_text(texts)
+    held = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    for n, save in enumerate((lambda *a, **k: tables.save_words(placed, *a, **k), lambda *a, **k: tables.save_text_words(texts, *a, **k))):
+        name, path = f"words_{uuid.uuid4().hex}", str(tmp_path / f"words{n}")
+        save(name, path, buckets=4)
+        assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == held
+        kept = spark.table(name)
+        assert rows(kept) == rows(placed) and len(files(path)) == 4
+        assert kept.select("doc_id", F.input_file_name().alias("f")).distinct().groupBy("doc_id").count().where("count > 1").isEmpty()
+        for f in files(path):
+            own = [(r["doc_id"], r["page"], r["top"], r["x0"]) for r in spark.read.parquet(f).coalesce(1).collect() if r["doc_id"] not in (7, None)]
+            assert own and own == sorted(own)
+        assert rows(structure.visual_lines(kept)) == rows(structure.visual_lines(placed))
