@@ -51,12 +51,21 @@ SECTION_TERMS = (
 STRUCTURE_QUESTION = r"(?i)\bwhich\s+(part|section|chapter)\b|\bwhat\s+(part|section|chapter)\b|\b(part|section|chapter)\s+of\s+the\s+aip\b|\bwhere\s+in\s+the\s+aip\b|\bwhere\s+(would|do|can|could|should)\s+i\s+find\b"
 
 
+#: Rows of names up to which they are broadcast, so that questions that name the same do not meet in one task.
+MOST_NAMES = 100_000
+
+
+def few(names: DataFrame) -> DataFrame:
+    """Names that questions look up: broadcast if they are few, else joined by a shuffle."""
+    return F.broadcast(names) if names.limit(MOST_NAMES + 1).count() <= MOST_NAMES else names
+
+
 def word_runs(df: DataFrame, id_column: str, text: str, longest: int = ALIAS_WORDS) -> DataFrame:
-    """id, run, n_words: every run of up to `longest` words of the normalised text."""
+    """id, run, n_words: every run of up to `longest` words of the normalised text, once for each row."""
     words = F.filter(F.split(normalised(F.coalesce(text, F.lit(""))), " "), lambda w: w != "")
     w = df.select(id_column, words.alias("w")).where("size(w) > 0")
     starts = F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("w") - i + 1)), lambda n: F.struct(F.array_join(F.slice("w", i, n), " ").alias("run"), n.alias("n_words"))))
-    return w.select(id_column, F.explode(F.flatten(starts)).alias("r")).select(id_column, "r.run", "r.n_words").distinct()
+    return w.select(id_column, F.explode(F.array_distinct(F.flatten(starts))).alias("r")).select(id_column, "r.run", "r.n_words")
 
 
 def resolve_aliases(queries: DataFrame, aliases: DataFrame, longest: int = ALIAS_WORDS) -> DataFrame:
@@ -64,11 +73,11 @@ def resolve_aliases(queries: DataFrame, aliases: DataFrame, longest: int = ALIAS
     than `longest` words are matched by containment, which only they need."""
     a = aliases.select(F.col("scope_id"), normalised(F.col("alias")).alias("run")).where("run <> ''").distinct()
     size = F.size(F.split("run", " "))
-    short = word_runs(queries, "query_id", "name", longest).join(a.where(size <= longest), "run").select("query_id", "run", "scope_id")
+    short = word_runs(queries, "query_id", "name", longest).join(few(a.where(size <= longest)), "run").select("query_id", "run", "scope_id")
     rare = a.where(size > longest).withColumn("head", F.array_join(F.slice(F.split("run", " "), 1, longest), " "))
     named = queries.select("query_id", normalised(F.col("name")).alias("n"))
     heads = word_runs(queries, "query_id", "name", longest).where(F.col("n_words") == longest).select("query_id", F.col("run").alias("head"))
-    far = heads.join(rare, "head").join(named, "query_id").where(F.contains(F.concat(F.lit(" "), "n", F.lit(" ")), F.concat(F.lit(" "), "run", F.lit(" ")))).select("query_id", "run", "scope_id")
+    far = heads.join(few(rare), "head").join(named, "query_id").where(F.contains(F.concat(F.lit(" "), "n", F.lit(" ")), F.concat(F.lit(" "), "run", F.lit(" ")))).select("query_id", "run", "scope_id")
     hits = short.unionByName(far)
     top = F.max(F.length("run")).over(Window.partitionBy("query_id"))
     best = hits.withColumn("top", top).where(F.length("run") == F.col("top")).groupBy("query_id").agg(F.array_sort(F.collect_set("scope_id")).alias("scopes"))
@@ -116,14 +125,14 @@ def resolve_scope(queries: DataFrame, aliases: DataFrame, published: DataFrame,
     hit = resolve_aliases(q.where("name is not null"), aliases)
     lost = out_of_scope.select(F.col("scope_id").alias("o_id"), F.split(normalised(F.col("place")), " ")[0].alias("o_word"))
     words = q.select("query_id", F.explode(F.split(normalised(F.coalesce("name", F.lit(""))), " ")).alias("o_word"))
-    gone = words.join(lost, "o_word").groupBy("query_id").agg(F.min("o_id").alias("o_id"))
+    gone = words.join(few(lost), "o_word").groupBy("query_id").agg(F.min("o_id").alias("o_id"))
     q = (
-        q.join(known, "token", "left")
+        q.join(few(known), "token", "left")
         .join(hit, "query_id", "left")
         .join(gone, "query_id", "left")
-        .join(valid_ids.select(F.upper("scope_id").alias("code"), F.lit(True).alias("is_valid")), "code", "left")
-        .join(out_of_scope.select(F.upper("scope_id").alias("code"), F.lit(True).alias("is_lost")), "code", "left")
-        .join(valid_ids.select(scope_key(F.col("ident")).alias("token"), F.lit(True).alias("is_ident")).where("token is not null").distinct() if "ident" in valid_ids.columns else q.select("token", F.lit(True).alias("is_ident")).limit(0), "token", "left")
+        .join(few(valid_ids.select(F.upper("scope_id").alias("code"), F.lit(True).alias("is_valid"))), "code", "left")
+        .join(few(out_of_scope.select(F.upper("scope_id").alias("code"), F.lit(True).alias("is_lost"))), "code", "left")
+        .join(few(valid_ids.select(scope_key(F.col("ident")).alias("token"), F.lit(True).alias("is_ident")).where("token is not null").distinct()) if "ident" in valid_ids.columns else q.select("token", F.lit(True).alias("is_ident")).limit(0), "token", "left")
     )
     none, n = F.lit(None).cast("string"), F.coalesce("n", F.lit(0))
 
