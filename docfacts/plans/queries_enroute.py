@@ -103,15 +103,18 @@ def airspace_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 def airspace_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What stands under an airspace's name, each line by its kind."""
     key = F.col("c_custkey")
-    n, two = letters(key), key % 2 == 0
+    n, two = F.col("n"), key % 2 == 0
     texts = [
         F.concat(n, F.lit(" TMA is described below")), F.concat(n, F.lit(" TMA.")), F.concat(F.lit("(note "), n, F.lit(" (more)")), "and on)", "from 063000N 0031500E to", F.concat(F.lit("the coast of "), n), "FL 195", "Class of airspace: D", "1500 FT ALT", "H24", "EN", "118.1 MHz NIL", F.concat(n, F.lit(" CONTROL")), "FR", "EN",
         "124,3 MHz", "NIL", F.concat(F.lit("CPDLC LOGON "), n),
     ]
-    df = table(spark, sf_dir, "customer")
-    doc = F.concat_ws(":", "c_nationkey", "c_custkey")
-    h = df.select(doc.alias("doc_id"), F.lit("X").alias("scope_id"), F.lit("5.1").alias("subsection"), F.concat(n, F.lit(" TMA")).alias("name"), F.when(two, F.concat(n, F.lit(" FIR"))).alias("parent"))
-    child = df.where(two).select(doc.alias("doc_id"), F.lit("X").alias("scope_id"), F.lit("5.1").alias("subsection"), F.concat(n, F.lit(" SECTOR")).alias("name"), F.concat(n, F.lit(" TMA")).alias("parent"))
+    # customers are dealt out by section before lines are made of them, and a name is spelt once; Spark would join parts
+    # that are small before they are printed
+    parts = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    doc = F.col("doc_id")
+    df = table(spark, sf_dir, "customer").select(F.concat_ws(":", "c_nationkey", "c_custkey").alias("doc_id"), key).repartition(parts, "doc_id").withColumn("n", letters(key))
+    h = df.select(doc, F.lit("X").alias("scope_id"), F.lit("5.1").alias("subsection"), F.concat(n, F.lit(" TMA")).alias("name"), F.when(two, F.concat(n, F.lit(" FIR"))).alias("parent"))
+    child = df.where(two).select(doc, F.lit("X").alias("scope_id"), F.lit("5.1").alias("subsection"), F.concat(n, F.lit(" SECTOR")).alias("name"), F.concat(n, F.lit(" TMA")).alias("parent"))
     got = extract.airspace_fields(printed(df, doc, key, texts), h.unionByName(child))
     return got.select(F.split("doc_id", ":")[0].cast("int").alias("doc_id"), "entity_id", "parent", "is_grouping", "note", "lateral_limits", "vertical_limits", "airspace_class", "hours", "ats_unit", "languages", "remarks", "frequencies")
 
