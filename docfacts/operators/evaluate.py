@@ -41,15 +41,15 @@ def score_routing(path: Column, subsection: Column, *cited: Column) -> Column:
     return F.coalesce(F.substring_index(path, ":", 1).isin(*SECTIONLESS), F.lit(False)) | whole | number
 
 
-def score_value(mode: Column, expected: Column, reply: Column) -> Column:
-    """absent: the reply says so; tokens: half of the tokens stand in it; exact: the value stands in it."""
+def score_value(mode: Column, expected: Column, reply: Column, absent: str = ABSENT) -> Column:
+    """absent: the reply says so; tokens: half of the tokens stand in it (a value without tokens is never found); exact: the value stands in it."""
     raw = F.coalesce(reply, F.lit(""))
     said, want = despace(raw), despace(F.coalesce(expected, F.lit("")))
     tokens = F.filter(F.split(F.coalesce(expected, F.lit("")), r"\s+"), lambda t: t != "")
     hits = F.size(F.filter(tokens, lambda t: F.contains(F.lower(raw), F.lower(t))))
     kind = F.lower(F.coalesce(mode, F.lit("exact")))
     return (
-        F.when(kind == "absent", said.rlike(ABSENT))
+        F.when(kind == "absent", said.rlike(absent))
         .when(kind == "tokens", (F.size(tokens) > 0) & (hits >= F.greatest(F.lit(1), F.floor(F.size(tokens) / 2).cast("int"))))
         .otherwise(F.contains(F.lower(said), F.lower(want)))
     )
@@ -66,13 +66,13 @@ def score_clarify(reply: Column) -> Column:
     return r.rlike(ASKING) | enumerates(r) | r.rlike(ABSENT)
 
 
-def verdicts(rows: DataFrame) -> DataFrame:
+def verdicts(rows: DataFrame, absent: str = ABSENT, refusal: str | None = REFUSAL) -> DataFrame:
     """rows(path, subsection, match_mode, expected_value, expected_behaviour, reply, harness_error) with routing_ok,
-    value_ok and verdict."""
+    value_ok and verdict. absent: how a reply says that there is no value; refusal: how it declines, None if it never does."""
     clarify = F.coalesce(F.col("expected_behaviour") == "clarify", F.lit(False))
     failed = F.coalesce("harness_error", F.lit(False))
-    refused = ~clarify & F.coalesce("reply", F.lit("")).rlike(REFUSAL)
-    r = rows.withColumns({"routing_ok": score_routing(F.col("path"), F.col("subsection"), F.col("reply"), F.col("path")), "_v": score_value(F.col("match_mode"), F.col("expected_value"), F.col("reply"))})
+    refused = ~clarify & F.coalesce("reply", F.lit("")).rlike(refusal) if refusal else F.lit(False)
+    r = rows.withColumns({"routing_ok": score_routing(F.col("path"), F.col("subsection"), F.col("reply"), F.col("path")), "_v": score_value(F.col("match_mode"), F.col("expected_value"), F.col("reply"), absent)})
     route, value = F.col("routing_ok"), F.col("_v")
     verdict = (
         F.when(failed, "HARNESS_ERROR")
